@@ -2,20 +2,36 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from proofloom.llm import media
+from proofloom.llm import bpe, media, simhash
 from proofloom.llm.common import read_table
 
+#: Where the tokenizer files are; a parameter, since they are not part of the repository.
+TOKENIZERS = os.environ.get("PROOFLOOM_TOKENIZERS", "/opt/tokenizers")
+
+
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(read_table(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json")
+
+
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
+
 
 def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digests(read_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op10_media_columns": op10_media_columns}
+    return {
+        "op8_bpe": op8_bpe,
+        "op9_simhash": op9_simhash,
+        "op10_media_columns": op10_media_columns,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
