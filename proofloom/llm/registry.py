@@ -7,18 +7,26 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from proofloom.llm import bpe, media, mixing, simhash
+from proofloom.llm import bpe, exact, licenses, media, mixing, simhash
 from proofloom.llm.common import read_table
 
 #: Where the tokenizer files are; a parameter, since they are not part of the repository.
 TOKENIZERS = os.environ.get("PROOFLOOM_TOKENIZERS", "/opt/tokenizers")
 
 
+def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.report(read_table(spark, sf_dir, "documents"))
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(read_table(spark, sf_dir, "documents"))
     return mixed.orderBy("position", "doc_id").select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.fingerprints(read_table(spark, sf_dir, "documents"))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(read_table(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json")
 
@@ -33,7 +41,9 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_licenses": op1_licenses,
         "op2_mixing": op2_mixing,
+        "op6_fingerprints": op6_fingerprints,
         "op8_bpe": op8_bpe,
         "op9_simhash": op9_simhash,
         "op10_media_columns": op10_media_columns,
