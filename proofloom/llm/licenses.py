@@ -1,7 +1,8 @@
 """License scans by ordered signature rules over whole texts.
 
 A rule is a regular expression with a label, a priority and a keyword. Texts are lower-cased (A-Z) and
-matched as UTF-8 bytes. A rule runs only where its keyword occurs as a word. Overlapping detections are
+matched as UTF-8 bytes. A rule runs only where its keyword occurs as a word, and then the words of its
+name next to each other. Overlapping detections are
 settled in the order of priority, then length, then place: a detection that lies inside one already
 kept goes, unless it is of a base rule; base rules report every place where their words stand one after
 another.
@@ -155,6 +156,7 @@ class Rule(NamedTuple):
     priority: int
     confidence: float
     keyword: bytes
+    needle: bytes
     base: bool
 
 
@@ -166,19 +168,23 @@ def _keyword(words: str) -> bytes:
     return max(re.findall(r"[0-9a-z]+", words), key=len).encode()
 
 
+def _needle(words: str) -> bytes:
+    return b" %s " % b" ".join(re.findall(rb"[0-9a-z]+", words.encode()))
+
+
 def _rule(label: str, words: str, priority: int, confidence: float, base: bool = False) -> Rule:
-    return Rule(label, re.compile(phrase(words)), priority, confidence, _keyword(words), base)
+    return Rule(label, re.compile(phrase(words)), priority, confidence, _keyword(words), _needle(words), base)
 
 
 @functools.lru_cache(maxsize=1)
 def rules() -> dict[bytes, list[Rule]]:
-    """All rules by keyword. The keyword of a rule is its longest word, and of a name rule that of the name."""
+    """All rules by keyword: the longest word of the rule, or of the name in a rule made from one."""
     made = [_rule(label, words, 100, 0.9, base=True) for words, label in BASE.items()]
     made += [_rule(label, words, 95, 1.0) for label, words in SENTENCES]
     for label, names in NAMES.items():
         for name in names:
-            keyword = _keyword(name)
-            made += [_rule(label, form.format(name), p, c)._replace(keyword=keyword) for form, p, c in TEMPLATES]
+            gate = {"keyword": _keyword(name), "needle": _needle(name)}
+            made += [_rule(label, form.format(name), p, c)._replace(**gate) for form, p, c in TEMPLATES]
     for label, places in ADDRESSES.items():
         made += [_rule(label, a, 85, 0.9)._replace(pattern=re.compile(re.escape(a.encode()))) for a in places]
     by: dict[bytes, list[Rule]] = {}
@@ -200,7 +206,10 @@ def words_of(text: bytes) -> list[bytes]:
 def detect(text: bytes, words: list[bytes]) -> list[Detection]:
     """Settled detections of a lower-cased text and its words, by place."""
     by = rules()
-    found = [Detection(m.start(), m.end(), r) for k in by.keys() & set(words) for r in by[k] for m in r.pattern.finditer(text)]
+    spaced, found = b"", []
+    for keyword in by.keys() & set(words):
+        spaced = spaced or b" %s " % b" ".join(words)
+        found += [Detection(m.start(), m.end(), r) for r in by[keyword] if r.needle in spaced for m in r.pattern.finditer(text)]
     if not found:
         return found
     found.sort(key=lambda d: (-d.rule.priority, d.start - d.end, d.start, d.rule.label))
