@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from proofloom.llm import bpe, exact, licenses, media, mixing, simhash
+from proofloom.llm import bpe, exact, licenses, media, mixing, simhash, suffixes
 from proofloom.llm.common import read_table
 
 #: Where the tokenizer files are; a parameter, since they are not part of the repository.
@@ -23,6 +23,10 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.orderBy("position", "doc_id").select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.digests(read_table(spark, sf_dir, "documents"))
+
+
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.fingerprints(read_table(spark, sf_dir, "documents"))
 
@@ -43,6 +47,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_licenses": op1_licenses,
         "op2_mixing": op2_mixing,
+        "op5_suffix_dedup": op5_suffix_dedup,
         "op6_fingerprints": op6_fingerprints,
         "op8_bpe": op8_bpe,
         "op9_simhash": op9_simhash,
