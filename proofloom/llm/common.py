@@ -73,3 +73,17 @@ def strings(column: pa.Array) -> list[str]:
 def fold_bucket(column: str, modulus: int):
     """crc32 of the id's decimal text, modulo: the fold a document belongs to. A null id is in fold 0."""
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % modulus, F.lit(0))
+
+
+def fit_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held: int, rows: int) -> DataFrame:
+    """doc_id, text, label of about ``rows`` labelled documents outside the held-out fold.
+
+    Ids are picked by a hash, so the picked labels stay bounded whatever the size of the tables and can be
+    broadcast; each id counts once. Rows without an id or a label teach nothing.
+    """
+    usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).alias("label")).dropna()
+    usable = usable.filter(fold_bucket("doc_id", modulus) != held)
+    share = min(1.0, rows / max(1, usable.count()))
+    picked = usable.filter(F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 20)) < int(share * (1 << 20))).dropDuplicates(["doc_id"])
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    return texts.join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"])

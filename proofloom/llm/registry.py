@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from proofloom.llm import bpe, exact, licenses, media, mixing, simhash, suffixes
+from proofloom.llm import bpe, exact, language, licenses, media, mixing, quality, simhash, suffixes, toxicity
 from proofloom.llm.common import read_table
 
 #: Where the tokenizer files are; a parameter, since they are not part of the repository.
@@ -23,6 +23,14 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.orderBy("position", "doc_id").select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.detect(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(read_table(spark, sf_dir, "documents"))
+
+
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.digests(read_table(spark, sf_dir, "documents"))
 
@@ -31,6 +39,10 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.fingerprints(read_table(spark, sf_dir, "documents"))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(read_table(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json")
 
@@ -47,8 +59,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_licenses": op1_licenses,
         "op2_mixing": op2_mixing,
+        "op3_toxicity": op3_toxicity,
+        "op4_language": op4_language,
         "op5_suffix_dedup": op5_suffix_dedup,
         "op6_fingerprints": op6_fingerprints,
+        "op7_quality": op7_quality,
         "op8_bpe": op8_bpe,
         "op9_simhash": op9_simhash,
         "op10_media_columns": op10_media_columns,
