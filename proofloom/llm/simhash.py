@@ -195,15 +195,44 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def classes(docs: DataFrame, hot_shard: int = HOT_SHARD) -> DataFrame:
-    """doc_id, fp, component_id for every row of ``docs``."""
-    marked = cut(fingerprints(docs))
+def _named(marked: DataFrame, hot_shard: int) -> DataFrame:
+    """fp, label (of the component), component_id for the distinct fingerprints of ``marked`` (doc_id, fp)."""
     distinct = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
     labels = components(links(distinct, hot_shard))
     grouped = distinct.join(labels, distinct.fp == labels.node, "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
     smallest = grouped.groupBy("label").agg(F.min("least").alias("component_id"))
-    named = grouped.join(smallest, "label").select("fp", "component_id")
-    return marked.join(named, "fp").select("doc_id", "fp", "component_id")
+    return grouped.join(smallest, "label").select("fp", "label", "component_id")
+
+
+def classes(docs: DataFrame, hot_shard: int = HOT_SHARD) -> DataFrame:
+    """doc_id, fp, component_id for every row of ``docs``."""
+    marked = cut(fingerprints(docs))
+    return marked.join(_named(marked, hot_shard), "fp").select("doc_id", "fp", "component_id")
+
+
+def deduplicate(docs: DataFrame, hot_shard: int = HOT_SHARD) -> DataFrame:
+    """One row of each component, with the columns of ``docs``: the one with the smallest id, the first of repeated ones."""
+    marked = cut(fingerprints(docs))
+    named = _named(marked, hot_shard)
+    first = marked.join(named, "fp").filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    keep = first.groupBy("label").agg(F.min("fp").alias("fp"), F.count(F.lit(1)).alias("rows")).select("fp", "rows", "label")
+    keep = keep.join(named.select("fp", "component_id"), "fp").select(*(F.col(c).alias(f"__{c}") for c in ("fp", "component_id", "rows", "label")))
+    found = _with_fingerprint(docs).join(keep, F.col("__own") == F.col("__fp"))
+    found = found.filter(F.col("doc_id").cast("long").eqNullSafe(F.col("__component_id")))
+    once = found.filter("__rows = 1").select(*docs.columns)
+    return once.unionByName(found.filter("__rows > 1").dropDuplicates(["__label"]).select(*docs.columns))
+
+
+def _with_fingerprint(docs: DataFrame) -> DataFrame:
+    out = docs.withColumn("__own", F.lit(0).cast("long"))
+    at = docs.columns.index("text")
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            found = np.array([fingerprint(t) for t in utf8(part.column(at))], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(found)], schema=part.schema)
+
+    return out.mapInArrow(run, out.schema)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
