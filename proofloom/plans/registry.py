@@ -6,14 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from proofloom.plans import corpus_queries, measure_queries, search_queries
+from proofloom.plans.declare import ORACLES, QUERIES
+
+__all__ = ["corpus_queries", "flagship", "measure_queries", "oracle_sql", "queries", "search_queries"]
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    return search_queries.composite_topk(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
