@@ -68,17 +68,22 @@ def following(ids: DataFrame) -> DataFrame:
 def with_next(docs: DataFrame) -> DataFrame:
     """doc_id, text, n_chars, edited (the text with its second half overwritten by the next document's start), next_digest."""
     texts = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    known = texts.filter("doc_id is not null")  # both joins below use one shuffle of these
     halves = cut(texts.groupBy(F.col("doc_id").alias("id")).agg(F.max(F.floor(F.length("text") / 2)).alias("half"), F.count(F.lit(1)).alias("rows")))
     ids = halves.filter("id is not null")
-    least, most = ids.agg(F.min("id"), F.max("rows")).first()
+    least, most, nameless = halves.agg(F.min("id"), F.max(F.when(F.col("id").isNotNull(), F.col("rows"))), F.count_if(F.col("id").isNull())).first()
     chain = following(ids.select("id"))
-    wanted = halves.join(chain, "id", "left").select("id", "half", F.coalesce("next", F.lit(least)).alias("next"))
-    given = texts.join(wanted, texts.doc_id == wanted.next).select(
+    wanted = ids.join(chain, "id").select("id", "half", F.coalesce("next", F.lit(least)).alias("next"))
+    given = known.join(wanted, known.doc_id == wanted.next).select(
         "id", F.substring("text", F.lit(1), F.col("half").cast("int")).alias("start"), wide_hash(canonical(F.col("text"))).alias("next_digest")
     )
     if most is not None and most > 1:
         given = given.groupBy("id").agg(F.min(F.struct("start", "next_digest")).alias("g")).select("id", "g.start", "g.next_digest")
-    joined = texts.join(given, texts.doc_id.eqNullSafe(given.id), "left")
+    joined = known.join(given, known.doc_id == given.id, "left").select("doc_id", "text", "start", "next_digest")
+    if nameless:
+        first = known.filter(F.col("doc_id") == least).agg(F.min("text")).first()[0] if least is not None else ""
+        digest = wide_hash(canonical(F.lit(first or "")))
+        joined = joined.unionByName(texts.filter("doc_id is null").select("doc_id", "text", F.lit(first or "").alias("start"), digest.alias("next_digest")))
     n = F.length("text")
     put = F.substring(F.coalesce("start", F.lit("")), F.lit(1), F.floor(n / 2).cast("int"))
     edited = F.concat(F.substring("text", F.lit(1), (n - F.floor(n / 2)).cast("int")), put)
