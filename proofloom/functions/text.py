@@ -36,9 +36,11 @@ def _latin_table() -> tuple[str, str]:
 
 
 def _known_class() -> str:
-    """Character class of what the JVM path handles: single-character results, the sharp s and blanks."""
-    known = [chr(c) for c in range(0x250) if len(without_marks(chr(c)).casefold()) == 1 or chr(c) == "ß"]
-    return "[^" + "".join(f"\\u{ord(c):04x}" for c in known) + "–—]"
+    """Pattern of a character outside what the JVM path handles: single-character results, the sharp s and blanks."""
+    known = [c for c in range(0x250) if len(without_marks(chr(c)).casefold()) == 1 or chr(c) == "ß"]
+    ends = [c for c in known if c + 1 not in known]
+    starts = [c for c in known if c - 1 not in known]
+    return "[^" + "".join(f"\\u{a:04x}-\\u{b:04x}" for a, b in zip(starts, ends)) + "–—]"
 
 
 _FROM, _TO = _latin_table()
