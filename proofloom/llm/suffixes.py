@@ -7,7 +7,7 @@ a document is cut into runs of positions with one token each.
 
 1. Documents are dealt into blocks of bounded size by a hash of the id. Each block sends its distinct
    tokens, range-partitioned by splitters taken from a sample. A bucket finds the tokens that more than
-   one document has and answers the blocks that sent them. This part is written to the shared folder.
+   one document has and answers the blocks that sent them.
 2. Each block sends the text of its runs with such tokens, each distinct text once with its smallest
    document. A token that very many blocks have is sent as its single 50-byte strings instead, spread
    over the buckets by their own hash, so no bucket gathers the surroundings of a very common passage.
@@ -28,11 +28,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from proofloom.llm.common import cut, utf8
+from proofloom.llm.common import utf8
 
 MATCH = 50
 GRAM = 16
@@ -42,13 +43,14 @@ BUCKET_TOKENS = 1_000_000
 #: Documents sampled for splitters, and tokens taken from each.
 SAMPLED_DOCS = 1000
 SAMPLED_TOKENS = 50
-#: Blocks that have a token beyond which it is sent string by string.
-HOT_BLOCKS = 128
+#: Blocks that have a token beyond which it is sent string by string: fewer take under a hundredth of a bucket.
+HOT_BLOCKS = 2048
 #: Suffixes sorted at once.
 SORT_ROWS = 400_000
 _LEAF = 20_000
 _NO_DOC = np.iinfo(np.int64).max
 _CONCAT = 1 << 18
+_BLOCK = "__block"
 #: Odd multipliers of the gram hash (fixed values).
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xBF58476D1CE4E5B9)]
 
@@ -144,7 +146,7 @@ def _table(kind: pa.Schema, rows: list[tuple]) -> pa.Table:
 
 SENT = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("tokens", pa.binary()), ("several", pa.binary())])
 SHARED = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("tokens", pa.binary()), ("hot", pa.binary())])
-PIECES = pa.schema([("bucket", pa.int32()), ("token", pa.int64()), ("piece", pa.binary()), ("doc", pa.int64()), ("block", pa.int64()), ("number", pa.int32())])
+PIECES = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("packed", pa.binary())])
 
 
 def _send_tokens(buckets: Buckets):
@@ -155,7 +157,7 @@ def _send_tokens(buckets: Buckets):
         tokens, counts = np.unique(np.concatenate(found), return_counts=True)
         places = buckets.place(tokens)
         starts = np.flatnonzero(np.append(True, places[1:] != places[:-1]))
-        block, rows = table.column("block")[0].as_py(), []
+        block, rows = table.column(_BLOCK)[0].as_py(), []
         for a, b in zip(starts, np.append(starts[1:], len(tokens))):
             low = (tokens[a:b] - buckets.edges[places[a]]).astype("<u4")
             rows.append((int(places[a]), block, low.tobytes(), np.packbits(counts[a:b] > 1).tobytes()))
@@ -228,23 +230,39 @@ def _pieces(texts: list[bytes], ids: np.ndarray, known: np.ndarray, hot: np.ndar
     return uses, least
 
 
+def _pack(tokens: np.ndarray, docs: np.ndarray, numbers: np.ndarray, pieces: list[bytes]) -> bytes:
+    """What one block sends to one bucket: tokens, documents, piece numbers and lengths, then the texts, compressed."""
+    sizes = np.array([len(p) for p in pieces], "<i4")
+    head = np.array([len(pieces)], "<i8").tobytes()
+    return zstandard.compress(b"".join([head, tokens.astype("<u8").tobytes(), docs.astype("<i8").tobytes(), numbers.astype("<i4").tobytes(), sizes.tobytes(), *pieces]))
+
+
+def _unpack(packed: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+    data = zstandard.decompress(packed)
+    n = int(np.frombuffer(data, "<i8", 1)[0])
+    tokens, docs = np.frombuffer(data, "<u8", n, 8), np.frombuffer(data, "<i8", n, 8 + 8 * n)
+    numbers, sizes = np.frombuffer(data, "<i4", n, 8 + 16 * n), np.frombuffer(data, "<i4", n, 8 + 20 * n)
+    ends = (8 + 24 * n + np.cumsum(sizes)).tolist()
+    return tokens, docs, numbers, [data[e - k : e] for e, k in zip(ends, sizes.tolist())]
+
+
 def _send_pieces(buckets: Buckets):
     def run(docs: pa.Table, shared: pa.Table) -> pa.Table:
         if not docs.num_rows or not shared.num_rows:
             return _table(PIECES, [])
         _, least = _pieces(_texts(docs), _ids(docs), *_known(shared, buckets), buckets)
         keys = sorted(least)
+        if not keys:
+            return _table(PIECES, [])
         tokens = np.array([k[0] for k in keys], np.uint64)
-        block = docs.column("block")[0].as_py()
-        columns = [
-            pa.array(buckets.place(tokens).astype(np.int32)),
-            pa.array(tokens.view(np.int64)),
-            pa.array([k[1] for k in keys], pa.binary()),
-            pa.array(np.array([least[k] for k in keys], np.int64)),
-            pa.array(np.full(len(keys), block, np.int64)),
-            pa.array(np.arange(len(keys), dtype=np.int32)),
-        ]
-        return pa.Table.from_arrays(columns, schema=PIECES)
+        owners = np.array([least[k] for k in keys], np.int64)
+        places = buckets.place(tokens)
+        block = docs.column(_BLOCK)[0].as_py()
+        starts = np.flatnonzero(np.append(True, places[1:] != places[:-1])).tolist()
+        rows = []
+        for a, b in zip(starts, [*starts[1:], len(keys)]):
+            rows.append((int(places[a]), block, _pack(tokens[a:b], owners[a:b], np.arange(a, b), [k[1] for k in keys[a:b]])))
+        return _table(PIECES, rows)
 
     return run
 
@@ -291,17 +309,20 @@ def _sort_bucket(table: pa.Table) -> pa.Table:
 
     The rows have the columns of shared tokens, with minus the number of pieces for a bucket.
     """
-    tokens, docs, blocks, numbers = (table.column(c).to_numpy() for c in ("token", "doc", "block", "number"))
-    pieces = table.column("piece").to_pylist()
+    parts = [_unpack(p) for p in table.column("packed").to_pylist()]
+    tokens, docs, numbers = (np.concatenate([p[k] for p in parts]) for k in range(3))
+    blocks = np.repeat(table.column("block").to_numpy(), [len(p[0]) for p in parts])
+    pieces = [piece for p in parts for piece in p[3]]
+    del parts
     distinct: dict[bytes, int] = {}
     which = np.array([distinct.setdefault(p, len(distinct)) for p in pieces])
     texts = list(distinct)
     least = np.full(len(texts), _NO_DOC)
     np.minimum.at(least, which, docs)
-    token = np.zeros(len(texts), np.int64)
+    token = np.zeros(len(texts), np.uint64)
     token[which] = tokens
     order = np.argsort(token, kind="stable")
-    edges = np.append(np.flatnonzero(np.append(True, np.diff(token[order]) != 0)), len(order))
+    edges = np.append(np.flatnonzero(np.append(True, token[order][1:] != token[order][:-1])), len(order))
     found: dict[int, np.ndarray] = {}
     batch: list[int] = []
     weight = 0
@@ -373,30 +394,45 @@ def _remove(buckets: Buckets, kind: pa.Schema):
             all_spans.append([{"start": a, "end": b} for a, b in spans])
             bounds = [0, *(x for s in spans for x in s), len(text)]
             kept.append(b"".join(text[a:b] for a, b in zip(bounds[::2], bounds[1::2])) if spans else text)
-        columns = [docs.column(c) for c in docs.column_names if c != "block"]
-        columns += [pa.array([len(t) for t in texts], pa.int64()), pa.array(all_spans, kind.field("spans").type), pa.array(kept, pa.binary())]
+        columns = [docs.column(c) for c in docs.column_names if c not in (_BLOCK, "n_bytes", "spans", "kept")]
+        columns += [pa.array([len(t) for t in texts], pa.int64()), pa.array(all_spans, kind.field("spans").type), pa.array([k.decode(errors="ignore") for k in kept] if pa.types.is_string(kind.field("kept").type) else kept)]
         return pa.Table.from_arrays([c.cast(f.type) for c, f in zip(columns, kind)], schema=kind)
 
     return run
 
 
-def removals(docs: DataFrame, block_bytes=BLOCK_BYTES, bucket_tokens=BUCKET_TOKENS, hot_blocks=HOT_BLOCKS) -> DataFrame:
-    """The columns of ``docs`` (among them doc_id and text) and n_bytes, spans (removed byte ranges), kept (bytes)."""
-    docs = docs.withColumns({"doc_id": F.col("doc_id").cast("long"), "text": F.col("text").cast("string")})
+def removals(docs: DataFrame, block_bytes=BLOCK_BYTES, bucket_tokens=BUCKET_TOKENS, hot_blocks=HOT_BLOCKS, whole=False) -> DataFrame:
+    """The columns of ``docs`` (among them doc_id and text) and n_bytes, spans (removed byte ranges), kept.
+
+    ``kept`` has the remaining bytes, or with ``whole`` a text, in which a character that lost some bytes is
+    missing. Columns of these names are replaced.
+    """
+    docs = docs.drop("n_bytes", "spans", "kept").withColumns({"doc_id": F.col("doc_id").cast("long"), "text": F.col("text").cast("string")})
     rows, size = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     blocks = max(1, -(-size // block_bytes))
     buckets = Buckets(_sample(docs, rows), max(1, -(-size // (18 * bucket_tokens))))
-    dealt = docs.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)))
-    sent = dealt.select("block", "text").groupBy("block").applyInArrow(_send_tokens(buckets), "bucket int, block long, tokens binary, several binary")
-    shared = cut(sent.groupBy("bucket").applyInArrow(_find_shared(hot_blocks), "block long, bucket int, tokens binary, hot binary"))
-    by_block = dealt.groupBy("block")
-    pieces = by_block.cogroup(shared.groupBy("block")).applyInArrow(_send_pieces(buckets), "bucket int, token long, piece binary, doc long, block long, number int")
+    dealt = docs.withColumn(_BLOCK, F.pmod(F.xxhash64("doc_id"), F.lit(blocks)))
+    by_block = dealt.groupBy(_BLOCK)  # one shuffle of the texts serves all three steps
+    sent = by_block.applyInArrow(_send_tokens(buckets), "bucket int, block long, tokens binary, several binary")
+    shared = sent.groupBy("bucket").applyInArrow(_find_shared(hot_blocks), "block long, bucket int, tokens binary, hot binary")
+    pieces = by_block.cogroup(shared.groupBy("block")).applyInArrow(_send_pieces(buckets), "bucket int, block long, packed binary")
     verdicts = pieces.groupBy("bucket").applyInArrow(_sort_bucket, "block long, bucket int, tokens binary, hot binary")
-    out = docs.withColumns({"n_bytes": F.lit(0).cast("long"), "spans": F.expr("cast(array() as array<struct<start:long,end:long>>)"), "kept": F.lit(b"")})
+    nothing = F.expr("cast(array() as array<struct<start:long,end:long>>)")
+    out = docs.withColumns({"n_bytes": F.lit(0).cast("long"), "spans": nothing, "kept": F.lit("" if whole else b"")})
     kind = to_arrow_schema(out.schema)
     return by_block.cogroup(shared.unionByName(verdicts).groupBy("block")).applyInArrow(_remove(buckets, kind), out.schema)
 
 
+def deduplicate(docs: DataFrame, **settings) -> DataFrame:
+    """``docs`` with the remaining text of each document, and n_chars, if there, of that."""
+    aside = {c: f"__{c}" for c in docs.columns if c in ("n_bytes", "spans", "kept")}
+    found = removals(docs.withColumnsRenamed(aside), whole=True, **settings)
+    changes = {"text": F.col("kept")} | {c: F.col(a) for c, a in aside.items()}
+    if "n_chars" in docs.columns:
+        changes["n_chars"] = F.length("kept").cast(docs.schema["n_chars"].dataType)
+    return found.select(*(changes.get(c, F.col(c)).alias(c) for c in docs.columns))
+
+
 def digests(docs: DataFrame) -> DataFrame:
     found = removals(docs.select("doc_id", "text"))
     return found.select(
