@@ -217,7 +217,7 @@ def digests(docs: DataFrame) -> DataFrame:
         "n_bytes",
         F.length("payload").cast("long").alias("payload_bytes"),
         F.sha2("payload", 256).alias("payload_sha256"),
-        F.crc32(F.expr(f"right(payload, {BLOCK})")).alias("tail_crc32"),
+        F.crc32(F.substring("payload", -BLOCK, BLOCK)).alias("tail_crc32"),
         F.length("media").cast("long").alias("media_bytes"),
         F.sha2("media", 256).alias("media_sha256"),
         F.format_string("%s|%.3f|%d|%d|%s", "codec", "duration", "samples", F.size("keyframes"), F.substring(ranges, 1, 16)).alias("feature"),
