@@ -30,7 +30,10 @@ def conditions() -> dict[str, Column]:
     }
 
 
-RETRIEVAL = tuple(conditions())
+RETRIEVAL = (
+    "chunk_belongs_to_institution", "document_belongs_to_institution", "version_belongs_to_institution", "version_processed", "version_is_highest_processed", "document_active",
+    "language_compatible", "chunk_language_compatible", "valid_from_compatible", "valid_until_compatible", "official_source_compatible",
+)
 #: Citing an older processed version stays allowed.
 CITATION = tuple(name for name in RETRIEVAL if name != "version_is_highest_processed")
 

@@ -22,7 +22,7 @@ DPI, MAX_PIXELS = 300, 25_000_000
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """filename, size_bytes, checksum_sha256, content of every file under a path."""
+    """filename, size_bytes, checksum_sha256, content of every file under a path (Spark lists no file of zero bytes)."""
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     return rows.select(F.element_at(F.split("path", "/"), -1).alias("filename"), F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("checksum_sha256"), "content")
 
