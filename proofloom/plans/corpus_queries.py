@@ -46,10 +46,10 @@ def admissible_chunks(spark, sf_dir):
     {'condition': 'chunk_language_compatible', 'satisfied': language = 'en'},
     {'condition': 'valid_from_compatible', 'satisfied': valid_from IS NULL OR valid_from <= DATE '2024-06-01'},
     {'condition': 'valid_until_compatible', 'satisfied': valid_until IS NULL OR valid_until >= DATE '2024-06-01'},
-    {'condition': 'official_source_compatible', 'satisfied': official_source}], recursive := true) FROM cands WHERE chunk_index < 3)""")
+    {'condition': 'official_source_compatible', 'satisfied': official_source}], recursive := true) FROM cands)""")
 def explain_conditions(spark, sf_dir):
-    """Every condition for the first lines of every document, for an English question of one institution that wants official sources."""
-    rows = adm.within(candidates(spark, sf_dir).filter("chunk_index < 3"), "i0", "en", REFERENCE_DATE, official_only=True)
+    """Every condition of every chunk, for an English question of one institution that wants official sources."""
+    rows = adm.within(candidates(spark, sf_dir), "i0", "en", REFERENCE_DATE, official_only=True)
     return adm.explain(rows, ["chunk_id"])
 
 
@@ -243,16 +243,16 @@ def conversation_titles(spark, sf_dir):
 _UNIT = "chr(31)"
 
 
-@query(f"""WITH c AS (SELECT document_id, chunk_index, sha256(chunk_index::VARCHAR || {_UNIT} || sha256(content)) AS d FROM chunks WHERE version_id % 10 = 1)
+@query(f"""WITH c AS (SELECT document_id, chunk_index, sha256(chunk_index::VARCHAR || {_UNIT} || sha256(trim(line))) AS d FROM (SELECT doc_id AS document_id, chunk_index, line FROM linesof) WHERE trim(line) <> '')
   SELECT document_id, sha256(string_agg(d, chr(10) ORDER BY chunk_index)) AS chunk_digest FROM c GROUP BY document_id""")
 def content_digest(spark, sf_dir):
-    chunks = tables.chunks(spark, sf_dir).filter("version_id % 10 = 1").withColumn("content_sha256", F.sha2("content", 256))
+    chunks = tables.lines(spark, sf_dir).withColumn("content_sha256", F.sha2("content", 256))
     return digests.document_digests(chunks)
 
 
 @query()
 def corpus_digest(spark, sf_dir):
-    chunks = tables.chunks(spark, sf_dir).filter("version_id % 10 = 1").withColumn("content_sha256", F.sha2("content", 256))
+    chunks = tables.lines(spark, sf_dir).withColumn("content_sha256", F.sha2("content", 256))
     return digests.corpus_digest(digests.document_digests(chunks))
 
 

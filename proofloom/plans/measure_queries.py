@@ -23,19 +23,18 @@ def halved(spark: SparkSession, sf_dir: str, k: int = 5) -> DataFrame:
     from proofloom.operators import dense
 
     rows = vectors(spark, sf_dir).withColumn("embedding", F.slice("embedding", 1, 32))
-    asked = rows.filter("vec_id < 10").select(F.col("vec_id").alias("query_id"), "embedding")
-    found = dense.nearest(asked, rows.filter("vec_id % 7 <> 0 AND vec_id >= 10"), k, ["vec_id"])
+    asked = rows.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    found = dense.nearest(asked, rows, k, ["vec_id"])
     return found.select(F.col("query_id").alias("question_id"), F.col("vec_id").alias("item"), F.col("rank").cast("long"), "similarity")
 
 
 def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Graded pairs of the ten query vectors with vectors whose id is even."""
+    """Graded pairs of the query vectors with all vectors of their label and of the labels next to it."""
     rows = vectors(spark, sf_dir).select("vec_id", "label")
-    asked = rows.filter("vec_id < 10").select(F.col("vec_id").alias("question_id"), F.col("label").alias("own"))
+    asked = rows.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("question_id"), F.col("label").alias("own"))
     near = F.explode(F.array(*(F.struct((F.col("own") + d).alias("label"), F.lit(g).alias("grade")) for d, g in ((0, 2), (1, 1), (-1, 1)))))
     wanted = asked.select("question_id", near.alias("w")).select("question_id", "w.label", "w.grade")
-    held = rows.filter("vec_id >= 10 AND vec_id % 2 = 0")
-    return held.join(F.broadcast(wanted), "label").select("question_id", F.col("vec_id").alias("item"), "grade")
+    return rows.join(wanted, "label").select("question_id", F.col("vec_id").alias("item"), "grade")
 
 
 _SIM = "list_cosine_similarity({0}, {1})"
@@ -44,7 +43,7 @@ _SIM = "list_cosine_similarity({0}, {1})"
 def _ranked(name: str, a: str, b: str) -> str:
     s = f"list_cosine_similarity({a}, {b})"
     return f"""{name} AS (SELECT q.vec_id AS question_id, v.vec_id AS item, {s} AS similarity, row_number() OVER (PARTITION BY q.vec_id ORDER BY {s} DESC, v.vec_id) AS rank
-  FROM embeddings q, embeddings v WHERE q.vec_id < 10 AND v.vec_id >= 10 AND v.vec_id % 7 <> 0 QUALIFY rank <= 5)"""
+  FROM embeddings q, embeddings v WHERE q.vec_id % 50 = 0 QUALIFY rank <= 5)"""
 
 
 LISTS = (
@@ -52,7 +51,7 @@ LISTS = (
     + ", "
     + _ranked("b", "v.embedding[1:32]::DOUBLE[]", "q.embedding[1:32]::DOUBLE[]")
     + """, j AS (SELECT q.vec_id AS question_id, v.vec_id AS item, CASE WHEN v.label = q.label THEN 2 ELSE 1 END AS grade FROM embeddings q, embeddings v
-  WHERE q.vec_id < 10 AND v.vec_id >= 10 AND v.vec_id % 2 = 0 AND abs(v.label - q.label) <= 1)"""
+  WHERE q.vec_id % 50 = 0 AND abs(v.label - q.label) <= 1)"""
 )
 
 _PER = """g AS (SELECT r.*, coalesce(j.grade, 0) AS grade, j.grade IS NOT NULL AS judged FROM {0} r LEFT JOIN j USING (question_id, item)),
@@ -99,11 +98,11 @@ def grade_histogram(spark, sf_dir):
     return metrics.grade_histogram(metrics.graded(exact(spark, sf_dir), judged(spark, sf_dir)))
 
 
-@query(f"""WITH {LISTS}, {_per('a')}, attrs AS (SELECT question_id, unnest(CASE WHEN question_id % 2 = 0 THEN ['even', 'any'] ELSE ['odd', 'any'] END) AS value FROM per)
+@query(f"""WITH {LISTS}, {_per('a')}, attrs AS (SELECT question_id, unnest(CASE WHEN question_id // 50 % 2 = 0 THEN ['even', 'any'] ELSE ['odd', 'any'] END) AS value FROM per)
   SELECT value, count(*) AS n_questions, avg(ndcg_5) AS mean_ndcg_5 FROM per JOIN attrs USING (question_id) GROUP BY value""")
 def difficulty_breakdown(spark, sf_dir):
     rows = metrics.per_question(exact(spark, sf_dir), judged(spark, sf_dir))
-    values = F.when(F.col("question_id") % 2 == 0, F.array(F.lit("even"), F.lit("any"))).otherwise(F.array(F.lit("odd"), F.lit("any")))
+    values = F.when(F.floor(F.col("question_id") / 50) % 2 == 0, F.array(F.lit("even"), F.lit("any"))).otherwise(F.array(F.lit("odd"), F.lit("any")))
     return metrics.breakdown(rows, rows.select("question_id", values.alias("values")), "ndcg_5")
 
 
@@ -251,13 +250,14 @@ def budget_policies(spark, sf_dir):
 
 
 _SIGNALS = """s AS (SELECT question_id, count(*) AS returned, max(similarity) FILTER (WHERE rank = 1) AS top1, max(similarity) FILTER (WHERE rank = 2) AS top2 FROM a GROUP BY question_id),
-  sig AS (SELECT *, top1 - top2 AS margin, CASE WHEN question_id % 3 = 0 THEN 'NO_EVIDENCE' ELSE 'ANSWERABLE' END AS label, question_id % 2 = 0 AS solved FROM s)"""
+  sig AS (SELECT *, top1 - top2 AS margin, CASE WHEN question_id // 50 % 3 = 0 THEN 'NO_EVIDENCE' ELSE 'ANSWERABLE' END AS label, question_id // 50 % 2 = 0 AS solved FROM s)"""
 
 
 def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = statistics.admission_signals(exact(spark, sf_dir))
-    label = F.when(F.col("question_id") % 3 == 0, "NO_EVIDENCE").otherwise("ANSWERABLE")
-    return rows.withColumns({"label": label, "solved": F.col("question_id") % 2 == 0})
+    turn = F.floor(F.col("question_id") / 50)
+    label = F.when(turn % 3 == 0, "NO_EVIDENCE").otherwise("ANSWERABLE")
+    return rows.withColumns({"label": label, "solved": turn % 2 == 0})
 
 
 @query(f"WITH {LISTS}, {_SIGNALS} SELECT question_id, returned, round(top1, 6) AS top1, round(top2, 6) AS top2, round(margin, 6) AS margin FROM sig")
@@ -329,7 +329,7 @@ def _fact_sql() -> str:
 def presence(spark: SparkSession, sf_dir: str) -> DataFrame:
     from proofloom.functions.text import normalize_text
 
-    lines = tables.chunks(spark, sf_dir).filter("version_id % 10 = 1").select("document_id", "chunk_index", normalize_text(F.col("content")).alias("normalized"))
+    lines = tables.lines(spark, sf_dir).select("document_id", "chunk_index", normalize_text(F.col("content")).alias("normalized"))
     return diagnostics.fact_presence(_facts(spark, sf_dir), lines)
 
 

@@ -173,15 +173,15 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def neighbours(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
-    """Nearest admissible vectors (ids not divisible by 7) of the ten query vectors."""
+    """Nearest vectors of the query set (ids divisible by 50) among all vectors; each finds itself first."""
     rows = vectors(spark, sf_dir)
-    asked = rows.filter("vec_id < 10").select(F.col("vec_id").alias("query_id"), "embedding")
-    return dense.nearest(asked, rows.filter("vec_id % 7 <> 0 AND vec_id >= 10"), k, ["vec_id"])
+    asked = rows.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    return dense.nearest(asked, rows, k, ["vec_id"])
 
 
 DENSE = """near AS (SELECT q.vec_id AS query_id, v.vec_id, v.label, list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS similarity,
   row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]) DESC, v.vec_id) AS rank
-  FROM embeddings q, embeddings v WHERE q.vec_id < 10 AND v.vec_id >= 10 AND v.vec_id % 7 <> 0)"""
+  FROM embeddings q, embeddings v WHERE q.vec_id % 50 = 0)"""
 
 
 @query(f"WITH {DENSE} SELECT query_id, vec_id, rank, round(similarity, 6) AS similarity FROM near WHERE rank <= 5")
@@ -278,13 +278,13 @@ def answer_metrics(spark, sf_dir):
 
 @query("""SELECT c.chunk_id, true AS "exists", c.chunk_id % 3 <> 0 AS same_content, c.chunk_id % 4 <> 0 AS same_metadata,
   coalesce(c.processing_status = 'processed' AND c.is_active AND (valid_from IS NULL OR valid_from <= DATE '2024-06-01') AND (valid_until IS NULL OR valid_until >= DATE '2024-06-01') AND c.document_language = 'en', false) AS citable
-  FROM cands c WHERE c.chunk_index = 0""")
+  FROM cands c""")
 def citation_revalidation(spark, sf_dir):
-    """Citations of every document's first line, some recorded with other content or metadata, against the rows of now."""
+    """Citations of every chunk, some recorded with other content or metadata, against the rows of now."""
     from proofloom.operators import admissibility as adm
     from proofloom.plans.corpus_queries import REFERENCE_DATE, candidates
 
-    rows = adm.within(candidates(spark, sf_dir).filter("chunk_index = 0"), F.col("chunk_institution"), "en", REFERENCE_DATE)
+    rows = adm.within(candidates(spark, sf_dir), F.col("chunk_institution"), "en", REFERENCE_DATE)
     named = adm.conditions()
     ok = None
     for name in adm.CITATION:

@@ -73,6 +73,12 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """document_id, chunk_index, content: the lines that are not blank of each document, once."""
+    flat = scan(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), F.posexplode(F.split("text", "\n")).alias("chunk_index", "line"))
+    return flat.select("document_id", "chunk_index", F.trim("line").alias("content")).filter("content <> ''")
+
+
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first words of each benchmark passage, asked in English of one institution."""
     normal = normalize_text(F.col("text"))
