@@ -123,9 +123,9 @@ def match_candidates(variants: DataFrame, chunks: DataFrame) -> DataFrame:
     return pairs.filter(matches(F.col("words"), F.col("units"))).drop("units")
 
 
-def term_frequency(pairs: DataFrame) -> Column:
-    """A raw score inside the JVM: how many places hold a question term, in tenths. Stands in for cover density."""
-    return F.size(F.filter("keys", lambda k: F.array_contains(F.col("terms"), k))) / F.lit(10.0)
+def term_frequency(pairs: DataFrame) -> DataFrame:
+    """Adds raw_score inside the JVM: how many places hold a question term, in tenths. Stands in for cover density."""
+    return pairs.withColumn("raw_score", F.size(F.filter("keys", lambda k: F.array_contains(F.col("terms"), k))) / F.lit(10.0))
 
 
 def take_quota(pairs: DataFrame) -> DataFrame:
@@ -247,12 +247,11 @@ def ranked(rows: DataFrame, top_k: int) -> DataFrame:
     return rows.filter("status = 'kept'").withColumn("rank", F.row_number().over(total_order())).filter(F.col("rank") <= top_k)
 
 
-def candidates(questions: DataFrame, chunks: DataFrame, top_k: int = 5, raw_score: Callable[[DataFrame], Column] = term_frequency) -> DataFrame:
+def candidates(questions: DataFrame, chunks: DataFrame, top_k: int = 5, raw_score: Callable[[DataFrame], DataFrame] = term_frequency) -> DataFrame:
     """Decided candidates of every question: the table that ranking, traces and experiments share."""
     asked = analyze_questions(questions)
     pairs = match_candidates(planned_variants(asked, top_k), analyze_chunks(chunks))
-    pairs = pairs.withColumn("raw_score", raw_score(pairs))
-    return decide(features(merge_variants(take_quota(pairs))))
+    return decide(features(merge_variants(take_quota(raw_score(pairs)))))
 
 
 def trace(rows: DataFrame) -> DataFrame:
