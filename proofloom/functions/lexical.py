@@ -44,7 +44,7 @@ def family(language: Column) -> Column:
 def functional_words(language: Column) -> Column:
     """The language's words without content; null where it has no list."""
     whole, primary = F.lower(F.trim(language)), F.split_part(F.lower(F.trim(language)), F.lit("-"), F.lit(1))
-    lists = {k: F.array(*map(F.lit, v.split())) for k, v in FUNCTIONAL.items()}
+    lists = {k: F.split(F.lit(v), " ") for k, v in FUNCTIONAL.items()}
     return reduce(lambda out, k: F.when((whole == k) | (primary == k), lists[k]).otherwise(out), lists, F.lit(None).cast("array<string>"))
 
 
@@ -67,7 +67,7 @@ def tokens(normalized: Column, language: Column) -> Column:
 
     A range is one unit with its ends beside it; a written or numeric ordinal is ``ord:N``.
     """
-    written = {f: F.create_map(*(F.lit(x) for kv in _written(f).items() for x in kv)) for f in ORDINALS}
+    written = {f: F.str_to_map(F.lit(" ".join(f"{w}:{n}" for w, n in _written(f).items())), F.lit(" "), F.lit(":")) for f in ORDINALS}
     fam = family(language)
 
     def unit(surface: Column, position: Column) -> Column:
@@ -76,7 +76,7 @@ def tokens(normalized: Column, language: Column) -> Column:
         is_range = surface.rlike(f"(?U)^{_RANGE}$")
         value = F.lit(None).cast("string")
         for f, pattern in _ORDINAL.items():
-            own = F.when(surface.rlike(f"^{pattern}$"), _number(numeric)).otherwise(F.element_at(written[f], surface).cast("string"))
+            own = F.when(surface.rlike(f"^{pattern}$"), _number(numeric)).otherwise(F.try_element_at(written[f], surface))
             value = F.when(fam == f, own).otherwise(value)
         lo, hi = F.element_at(ends, 1).cast("string"), F.element_at(ends, -1).cast("string")
         kind = F.when(is_range, "range").when(value.isNotNull(), "ordinal").when(surface.rlike(r"(?U)^\d+$"), "number").otherwise("word")

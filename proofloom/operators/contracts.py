@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -70,17 +70,18 @@ def expected_failures(results: DataFrame, matrix: DataFrame) -> DataFrame:
 
 
 def separation(signals: DataFrame) -> DataFrame:
-    """question_id, top1 and the smallest and largest top1 of all other questions, without a self join over pairs."""
-    up, down = Window.orderBy("top1"), Window.orderBy(F.desc("top1"))
-    ends = signals.agg(F.expr("min_by(struct(question_id, top1), top1)").alias("lo"), F.expr("max_by(struct(question_id, top1), top1)").alias("hi"))
-    second = signals.withColumns({"u": F.row_number().over(up), "d": F.row_number().over(down)}).filter("u = 2 or d = 2")
-    second = second.agg(F.max(F.when(F.col("u") == 2, F.col("top1"))).alias("lo2"), F.max(F.when(F.col("d") == 2, F.col("top1"))).alias("hi2"))
-    rows = signals.join(F.broadcast(ends.join(second)))
-    return rows.select(
-        "question_id", "top1",
-        F.when(F.col("question_id") == F.col("lo.question_id"), F.col("lo2")).otherwise(F.col("lo.top1")).alias("min_other"),
-        F.when(F.col("question_id") == F.col("hi.question_id"), F.col("hi2")).otherwise(F.col("hi.top1")).alias("max_other"),
-    )
+    """question_id, top1 and the smallest and largest top1 of all other questions: only the two at each end matter."""
+    rows = signals.select("question_id", "top1").filter("top1 is not null")
+
+    def ends(order: Column) -> DataFrame:
+        two = rows.orderBy(order, "question_id").limit(2)
+        return two.agg(F.array_agg(F.struct("question_id", "top1")).alias("two"))
+
+    low = ends(F.asc("top1")).select(F.array_sort("two", lambda x, y: F.when(x["top1"] < y["top1"], -1).when(x["top1"] > y["top1"], 1).otherwise(0)).alias("low"))
+    high = ends(F.desc("top1")).select(F.array_sort("two", lambda x, y: F.when(x["top1"] > y["top1"], -1).when(x["top1"] < y["top1"], 1).otherwise(0)).alias("high"))
+    other = lambda side: F.get(F.filter(side, lambda e: e["question_id"] != F.col("question_id")), F.lit(0))["top1"]
+    both = signals.join(F.broadcast(low.join(high)))
+    return both.select("question_id", "top1", other("low").alias("min_other"), other("high").alias("max_other"))
 
 
 def question_set_problems(questions: DataFrame) -> DataFrame:

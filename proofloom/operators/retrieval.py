@@ -247,10 +247,12 @@ def ranked(rows: DataFrame, top_k: int) -> DataFrame:
     return rows.filter("status = 'kept'").withColumn("rank", F.row_number().over(total_order())).filter(F.col("rank") <= top_k)
 
 
-def candidates(questions: DataFrame, chunks: DataFrame, top_k: int = 5, raw_score: Callable[[DataFrame], DataFrame] = term_frequency) -> DataFrame:
-    """Decided candidates of every question: the table that ranking, traces and experiments share."""
-    asked = analyze_questions(questions)
-    pairs = match_candidates(planned_variants(asked, top_k), analyze_chunks(chunks))
+def candidates(questions: DataFrame, index: DataFrame, top_k: int = 5, raw_score: Callable[[DataFrame], DataFrame] = term_frequency) -> DataFrame:
+    """Decided candidates of every question: the table that ranking, traces and experiments share.
+
+    ``index`` are analysed chunks; they are read twice, for words and for arrays, so store or persist them.
+    """
+    pairs = match_candidates(planned_variants(analyze_questions(questions), top_k), index)
     return decide(features(merge_variants(take_quota(raw_score(pairs)))))
 
 

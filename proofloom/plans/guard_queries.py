@@ -13,7 +13,7 @@ from proofloom.functions.text import normalize_text
 from proofloom.operators import answering, contracts, diagnostics, metrics, retrieval
 from proofloom.plans.declare import query
 from proofloom.plans.measure_queries import _DECIDED, _SIGNALS, LISTS, _fact_sql, _facts, presence, signals
-from proofloom.plans.search_queries import TOP_K, decided, search_chunks
+from proofloom.plans.search_queries import TOP_K, decided, index, search_chunks
 from proofloom.plans.views import WORD, normal
 from proofloom.sources import tables
 
@@ -53,7 +53,7 @@ def cover_density(pairs: DataFrame) -> DataFrame:
 @query()
 def cover_density_topk(spark, sf_dir):
     """Ranked evidence with the cover-density raw score instead of the stand-in."""
-    rows = retrieval.candidates(tables.questions(spark, sf_dir), search_chunks(spark, sf_dir), TOP_K, cover_density)
+    rows = retrieval.candidates(tables.questions(spark, sf_dir), index(spark, sf_dir), TOP_K, cover_density)
     return retrieval.ranked(rows, TOP_K).select("question_id", "rank", "chunk_id", "raw_score", "score")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,8 +25,13 @@ def search_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The analysed chunks, kept for the session: equal plans of later queries read them from there."""
+    return retrieval.analyze_chunks(search_chunks(spark, sf_dir)).persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def decided(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.candidates(tables.questions(spark, sf_dir), search_chunks(spark, sf_dir), TOP_K)
+    return retrieval.candidates(tables.questions(spark, sf_dir), index(spark, sf_dir), TOP_K)
 
 
 @query("SELECT question_id, institution_id, query FROM questions")
@@ -63,7 +69,7 @@ def budget_quotas(spark, sf_dir):
 def _matched(spark: SparkSession, sf_dir: str, text: Column) -> DataFrame:
     """How many admissible chunks match a query made from each question."""
     asked = tables.question_terms(spark, sf_dir).filter(F.size("terms") >= 2).withColumns({"input": text, "turn": F.lit(0)})
-    pairs = retrieval.match_candidates(asked.drop("terms"), retrieval.analyze_chunks(search_chunks(spark, sf_dir)))
+    pairs = retrieval.match_candidates(asked.drop("terms"), index(spark, sf_dir))
     return pairs.groupBy("question_id").agg(F.count(F.lit(1)).alias("n_chunks"), F.min("chunk_id").alias("first_chunk"))
 
 
@@ -113,7 +119,7 @@ def or_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every (question, admissible chunk) with a term in common, with content signals."""
     asked = retrieval.analyze_questions(tables.questions(spark, sf_dir)).filter(F.size("terms") > 0)
     variant = asked.withColumns({"input": F.array_join("terms", " OR "), "turn": F.lit(0)})
-    pairs = retrieval.match_candidates(variant, retrieval.analyze_chunks(search_chunks(spark, sf_dir)))
+    pairs = retrieval.match_candidates(variant, index(spark, sf_dir))
     c = F.col
     return pairs.withColumns(retrieval.content_match(c("terms"), c("keys"), c("positions"), c("stream")))
 
