@@ -14,7 +14,7 @@ tables see a window over a whole source. Windows over all sources have one row p
 
 Null texts have size 0, a null source is a source of its own that comes last, null ids share one order
 key. Rows that repeat are mixed one by one. An empty table gives an empty table. Other columns are kept
-only by ``curriculum``, which prefixes nothing: it joins by a private key.
+only by ``curriculum``, whose own columns begin with two underscores.
 """
 
 from __future__ import annotations
@@ -113,12 +113,13 @@ def curriculum(docs: DataFrame, **settings) -> DataFrame:
     mixed = mixed.withColumn("at", position(F.col("turn"), demand / F.col("demand")))
     uses = mixed.groupBy("row_key", "pass", "words", "size").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("at"))
     uses = uses.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
+    uses = uses.select(*(F.col(c).alias(f"__{c}") for c in ("row_key", "pass", "words", "size", "at", "copy")))
     texts = docs.withColumn("__row", F.xxhash64("doc_id", "text", F.col("source").cast("string"))).dropDuplicates(["__row"])
-    joined = texts.join(uses, texts["__row"] == uses.row_key)
-    part = F.array_join(F.slice(F.split("text", r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])"), 1, F.col("words").cast("int")), "")
-    cutoff = F.when(F.col("words") < F.col("size"), part).otherwise(F.col("text"))
+    joined = texts.join(uses, F.col("__row") == F.col("__row_key"))
+    part = F.array_join(F.slice(F.split("text", r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])"), 1, F.col("__words").cast("int")), "")
+    cutoff = F.when(F.col("__words") < F.col("__size"), part).otherwise(F.col("text"))
     columns = [cutoff.alias(c) if c == "text" else F.col(c) for c in docs.columns]
-    return joined.orderBy("at", "__row", "copy").select(*columns)
+    return joined.orderBy("__at", "__row", "__copy", "__pass").select(*columns)
 
 
 ORACLE = r"""

@@ -190,9 +190,9 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, steps: int = S
     return train(np.concatenate(bags).astype(float), np.cumsum(sizes) - sizes, y, steps)
 
 
-def score(docs: DataFrame, net: Network | float) -> DataFrame:
-    """Every column of ``docs`` and quality_score; best_passage is the first byte of the passage with the largest weight."""
-    out = docs.drop("quality_score", "best_passage").withColumns({"quality_score": F.lit(0.0), "best_passage": F.lit(0).cast("long")})
+def score(docs: DataFrame, net: Network | float, score_column: str = "quality_score", passage_column: str = "best_passage") -> DataFrame:
+    """Every column of ``docs``, the score, and the first byte of the passage with the largest weight. The two names are replaced."""
+    out = docs.drop(score_column, passage_column).withColumns({score_column: F.lit(0.0), passage_column: F.lit(0).cast("long")})
     at = out.columns.index("text")
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
