@@ -32,9 +32,9 @@ from pyspark.sql import functions as F
 from proofloom.llm.common import batches, strings
 
 #: Words whose ids a Python worker remembers.
-REMEMBERED_WORDS = 500_000
+REMEMBERED_WORDS = 200_000
 #: Transition tests that it remembers.
-REMEMBERED_ARCS = 500_000
+REMEMBERED_ARCS = 200_000
 _ROOT = -1
 
 
@@ -113,6 +113,9 @@ class MergeAutomaton:
             known = self._arcs[key] = self._step(u, x)
         return known
 
+    def forget(self) -> None:
+        self._arcs.clear()
+
     def encode_symbols(self, symbols: list[str]) -> list[int]:
         """Ids of a word given as base symbols. Each prefix has one last token: the match that its state allows."""
         tries, tokens, step, n = self._tries, self._tokens, self.step, len(symbols)
@@ -169,6 +172,10 @@ class Tokenizer:
         self._known[word] = ids
         return ids
 
+    def forget(self) -> None:
+        self._known.clear()
+        self.automaton.forget()
+
     def encode(self, text: str) -> list[int]:
         out: list[int] = []
         known = self._known.get
@@ -193,10 +200,11 @@ def tokenizer(path: str) -> Tokenizer:
 TOKENS = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("decoded", pa.string())])
 
 
-def encode_decode(docs: DataFrame, path: str) -> DataFrame:
+def encode_decode(docs: DataFrame, path: str, forget: bool = False) -> DataFrame:
     """doc_id, ids array<int>, decoded string: every whole text encoded, and its ids decoded again.
 
-    ``path`` is the tokenizer file, the same on every worker.
+    ``path`` is the tokenizer file, the same on every worker. With ``forget`` a task ends without the words it
+    remembered, for sessions in which many idle Python workers share an executor's memory.
     """
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,6 +218,8 @@ def encode_decode(docs: DataFrame, path: str) -> DataFrame:
 
         for part in parts:
             yield from batches(rows(part), TOKENS)
+        if forget:
+            coder.forget()
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, ids array<int>, decoded string")
 
