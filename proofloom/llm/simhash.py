@@ -42,16 +42,20 @@ _BLANK = bytes.maketrans(bytes(range(9, 14)), b" " * 5)
 _SLICE = 1 << 16
 
 
-def shingles(text: bytes) -> list[bytes]:
+def shingles(text: bytes, size: int = SHINGLE) -> list[bytes]:
     words = [w for w in text.lower().translate(_BLANK).split(b" ") if w]
-    if len(words) < SHINGLE:
+    if len(words) < size:
         return [b" ".join(words)] if words else []
-    return [b" ".join(s) for s in zip(*(words[i:] for i in range(SHINGLE)))]
+    return [b" ".join(s) for s in zip(*(words[i:] for i in range(size)))]
 
 
-def fingerprint(text: bytes) -> int:
+def fingerprint(text: bytes, size: int = SHINGLE) -> int:
     """The unsigned fingerprint of a text in UTF-8."""
-    parts = shingles(text)
+    return majority(shingles(text, size))
+
+
+def majority(parts: list[bytes]) -> int:
+    """The unsigned fingerprint of shingles."""
     ones = np.zeros(BITS, np.int64)
     digest = xxhash.xxh64_digest
     for start in range(0, len(parts), _SLICE):
