@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -14,6 +12,8 @@ MIN_TOP1 = (0.40, 0.45, 0.50, 0.55, 0.60)
 MIN_MARGIN = (0.01, 0.02, 0.05)
 MAX_FALSE_ABSTENTION = 0.2
 REPLICATES, SEED, CONFIDENCE = 10_000, 20260819, 0.95
+#: Scenarios in one part of the bootstrap, and tasks over which a part's replicates are dealt.
+PART_ROWS, BLOCKS = 20_000, 8
 
 
 def stratified_split(scenarios: DataFrame) -> DataFrame:
@@ -88,24 +88,31 @@ def scenario_mean(rows: DataFrame, column: str) -> DataFrame:
     return per.agg(F.count(F.lit(1)).alias("n_scenarios"), F.avg("m").alias("scenario_mean"))
 
 
-def cluster_bootstrap(rows: DataFrame, column: str, replicates: int = REPLICATES, seed: int = SEED, confidence: float = CONFIDENCE) -> DataFrame:
+def cluster_bootstrap(rows: DataFrame, column: str, replicates: int = REPLICATES, seed: int = SEED, confidence: float = CONFIDENCE, part_rows: int = PART_ROWS) -> DataFrame:
     """observed, low, high of the scenario mean under resampling of whole scenarios.
 
-    Scenario means (one number each) are packed once; replicates are dealt over tasks, each with its own seeded stream.
+    Scenarios are dealt by a hash into parts of about ``part_rows``. A replicate's draws are dealt over the parts by one
+    seeded multinomial that every part repeats, and each part returns the sum of its own draws.
     """
     per = rows.groupBy("scenario_id").agg(F.avg(column).alias("m")).filter("m is not null")
-    packed = per.agg(F.sort_array(F.collect_list(F.struct("scenario_id", "m"))).alias("all")).select(F.col("all.m").alias("means"))
-    draws = rows.sparkSession.range(replicates).repartition(8).join(F.broadcast(packed))
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            values = []
-            for replicate, means in zip(part["id"], part["means"]):
-                means = np.asarray(means, float)
-                values.append(float(means[np.random.default_rng([seed, int(replicate)]).integers(0, len(means), len(means))].mean()) if len(means) else None)
-            yield pd.DataFrame({"mean": values})
-
-    sampled = draws.mapInPandas(run, "mean double")
+    total = per.count()
+    dealt = per.select(F.pmod(F.xxhash64("scenario_id"), F.lit(max(1, -(-total // part_rows)))).cast("int").alias("part"), "m")
+    counts = sorted((r["part"], r["count"]) for r in dealt.groupBy("part").count().collect())
+    places, sizes = {part: k for k, (part, _) in enumerate(counts)}, np.array([n for _, n in counts], float)
+
+    def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        part, block = (int(k) for k in key)
+        means, sums = np.sort(group["m"].to_numpy(float)), []
+        for replicate in range(block, replicates, BLOCKS):
+            drawn = int(np.random.default_rng([seed, replicate]).multinomial(total, sizes / total)[places[part]])
+            picks = np.random.default_rng([seed, replicate, part]).integers(0, len(means), drawn)
+            sums.append((replicate, part, float(means[picks].sum())))
+        return pd.DataFrame(sums, columns=["replicate", "part", "sum"])
+
+    blocks = dealt.withColumn("block", F.explode(F.array(*(F.lit(k) for k in range(BLOCKS)))))
+    drawn = blocks.groupBy("part", "block").applyInPandas(run, "replicate long, part int, sum double")
+    in_order = F.array_sort(F.collect_list(F.struct("part", "sum")))
+    sampled = drawn.groupBy("replicate").agg((F.aggregate(in_order, F.lit(0.0), lambda s, x: s + x["sum"]) / F.lit(total)).alias("mean"))
     tail = (1 - confidence) / 2
     bounds = sampled.agg(F.percentile("mean", F.lit(tail)).alias("low"), F.percentile("mean", F.lit(1 - tail)).alias("high"))
     return per.agg(F.count(F.lit(1)).alias("n_scenarios"), F.avg("m").alias("observed")).join(bounds)

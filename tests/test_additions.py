@@ -78,3 +78,16 @@ def test_guards(spark):
     matrix = spark.createDataFrame([("s1", "c1", "known")], "scenario string, check string, class string")
     results = spark.createDataFrame([("s1", "c1", False), ("s1", "c2", False), ("s2", "c1", True)], "scenario string, check string, passed boolean")
     assert {(r["check"], r["class"]) for r in contracts.expected_failures(results, matrix).collect()} == {("c1", "known"), ("c2", "unexplained")}
+
+
+def test_bootstrap_keeps_scenarios_in_parts(spark):
+    from proofloom.operators import statistics
+
+    rows = spark.createDataFrame([(s, float(s % 5)) for s in range(400)], "scenario_id int, value double")
+    whole, parts = (statistics.cluster_bootstrap(rows, "value", replicates=2000, part_rows=n) for n in (400, 30))
+    for frame in (whole, parts):
+        got = frame.first()
+        assert (got["n_scenarios"], got["observed"]) == (400, 2.0)
+        assert abs(got["low"] - (2 - 1.96 * (2 / 400) ** 0.5)) < 0.02 and abs(got["high"] - (2 + 1.96 * (2 / 400) ** 0.5)) < 0.02
+    assert parts.first() == parts.first()
+    assert statistics.cluster_bootstrap(rows.limit(0), "value", replicates=10).first()["low"] is None
