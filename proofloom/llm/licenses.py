@@ -136,6 +136,69 @@ ADDRESSES = {
     "unlicense": ["unlicense.org"],
 }
 
+# Identifiers written by hand: label, the words that gate the rule, and a regular expression in which a space is any gap.
+# They are short, so they count only after an SPDX tag or a grant.
+_V = "(?:v|version |ver )?"
+SHORT = [
+    ("mit", ["mit"], "mit(?: 0| cmu| modern variant)?"),
+    ("mit", ["expat", "x11"], "expat|x11"),
+    ("isc", ["isc"], "isc"),
+    ("zlib", ["zlib"], "zlib(?: acknowledgement)?|zlib libpng"),
+    ("unlicense", ["unlicense"], "unlicense"),
+    ("postgresql", ["postgresql"], "postgresql"),
+    ("0bsd", ["0bsd"], "0bsd"),
+    ("bsd", ["bsd"], "bsd(?: [1-4] clause)?(?: clear| patent| views| lbnl)?|(?:new|revised|simplified|modified|original|[234] clause) bsd"),
+    ("apache", ["apache"], f"apache(?: {_V} ?[12](?: [01])?)?"),
+    ("gpl", ["gpl", "gplv1", "gplv2", "gplv3"], f"(?:gnu )?gpl ?(?: ?{_V} ?[123](?: 0)?)?"),
+    ("lgpl", ["lgpl", "lgplv2", "lgplv3"], f"(?:gnu )?lgpl(?: ?{_V} ?[23](?: [01])?)?"),
+    ("agpl", ["agpl", "agplv3"], f"(?:gnu )?agpl(?: ?{_V} ?[13](?: 0)?)?"),
+    ("gfdl", ["gfdl"], "gfdl(?: 1 [123])?(?: invariants| no invariants)?"),
+    ("mpl", ["mpl"], f"mpl(?: ?{_V} ?[12] [01])?(?: no copyleft exception)?"),
+    ("epl", ["epl"], f"epl(?: ?{_V} ?[12](?: 0)?)?"),
+    ("eupl", ["eupl"], f"eupl(?: ?{_V} ?1 [012])?"),
+    ("cddl", ["cddl"], f"cddl(?: ?{_V} ?1 [01])?"),
+    ("boost", ["bsl", "boost"], "bsl 1 0|boost(?: software)?"),
+    ("bsl", ["busl"], "busl(?: 1 1)?"),
+    ("artistic", ["artistic"], "artistic(?: [12] 0)?(?: perl| cl8)?"),
+    ("afl", ["afl"], "afl(?: [123] [012])?"),
+    ("osl", ["osl"], "osl(?: [123] [01])?"),
+    ("ofl", ["ofl"], "(?:sil )?ofl(?: 1 [01])?(?: rfn| no rfn)?"),
+    ("cc0", ["cc0"], "cc0(?: 1 0)?"),
+    ("cc-by", ["cc"], "cc by(?: [1-4] [05])?(?! n| s)"),
+    ("python", ["psf", "python"], "psf(?: 2 0)?|python(?: 2 0)?"),
+    ("php", ["php"], "php(?: 3 0(?:1)?)?"),
+    ("ncsa", ["ncsa"], "(?:uiuc )?ncsa"),
+    ("openssl", ["openssl"], "openssl"),
+    ("vim", ["vim"], "vim"),
+    ("zpl", ["zpl"], "zpl(?: [12] [01])?"),
+    ("wtfpl", ["wtfpl"], "wtfpl"),
+    ("beerware", ["beerware"], "beerware"),
+    ("ecl", ["ecl"], "ecl(?: [12] 0)?"),
+    ("cpl", ["cpl"], "cpl(?: 1 0)?"),
+    ("elastic", ["elastic"], "elastic(?: 2 0)?"),
+    ("blueoak", ["blueoak"], "blueoak 1 0 0"),
+]
+#: What must stand before and may stand after an identifier, the words that gate it, priority and confidence.
+CONTEXTS = [
+    ("spdx license identifier [(]?(?:{})(?: only| or later)?", " spdx license identifier ", 92, 1.0),
+    ("(?:(?:re|sub)?licen[cs]ed|released|distributed|available|published) under (?:the )?(?:terms of (?:the )?)?(?:{})(?: only| or later)?(?: style)?(?: licen[cs]es?)?", " under ", 82, 0.95),
+]
+# Names that stand alone, in both spellings.
+LONG = [
+    ("bsd", ["bsd"], f"(?:new |revised |simplified |modified |original )?bsd (?:style )?licen[cs]e|bsd [1-4] clause"),
+    ("gpl", ["gpl", "gplv2", "gplv3"], f"(?:gnu )?gpl ?{_V} ?[123](?: 0)?(?: only| or later)?|gnu gpl|gpl licen[cs]e"),
+    ("gpl", ["gnu"], "gnu general public licen[cs]e"),
+    ("lgpl", ["lgpl", "lesser", "library"], f"lgpl ?{_V} ?[23](?: [01])?(?: only| or later)?|(?:gnu )?(?:lesser|library) general public licen[cs]e"),
+    ("agpl", ["affero"], "(?:gnu )?affero general public licen[cs]e"),
+    ("apache", ["apache"], f"apache (?:software |public )?licen[cs]e(?: {_V} ?[12](?: [01])?)?"),
+    ("mit", ["mit", "expat", "x11"], "(?:mit x11|mit expat|mit|expat|x11) (?:style )?licen[cs]e"),
+    ("isc", ["isc"], "isc (?:style )?licen[cs]e"),
+    ("zlib", ["zlib"], "zlib(?: libpng)? (?:style )?licen[cs]e"),
+    ("mpl", ["mozilla"], f"mozilla public licen[cs]e(?: {_V} ?[12] [01])?"),
+    ("epl", ["eclipse"], f"eclipse public licen[cs]e(?: {_V} ?[12](?: 0)?)?"),
+    ("postgresql", ["postgresql"], "postgresql licen[cs]e"),
+]
+
 #: Template, priority and confidence of the rules made from names; {} is the name.
 TEMPLATES = [
     ("spdx license identifier {}", 90, 1.0),
@@ -176,6 +239,11 @@ def _rule(label: str, words: str, priority: int, confidence: float, base: bool =
     return Rule(label, re.compile(phrase(words)), priority, confidence, _keyword(words), _needle(words), base)
 
 
+def _signature(label: str, body: str, priority: int, confidence: float, gate: str, needle: str) -> Rule:
+    pattern = EDGE % body.encode().replace(b" ?", b"(?:%s)?" % GAP).replace(b" ", GAP)
+    return Rule(label, re.compile(pattern), priority, confidence, gate.encode(), needle.encode(), False)
+
+
 @functools.lru_cache(maxsize=1)
 def rules() -> dict[bytes, list[Rule]]:
     """All rules by keyword: the longest word of the rule, or of the name in a rule made from one."""
@@ -187,6 +255,11 @@ def rules() -> dict[bytes, list[Rule]]:
             made += [_rule(label, form.format(name), p, c)._replace(**gate) for form, p, c in TEMPLATES]
     for label, places in ADDRESSES.items():
         made += [_rule(label, a, 85, 0.9)._replace(pattern=re.compile(re.escape(a.encode()))) for a in places]
+    for label, gates, body in SHORT:
+        for form, needle, p, c in CONTEXTS:
+            made += [_signature(label, form.format(body), p, c, gate, needle) for gate in gates]
+    for label, gates, body in LONG:
+        made += [_signature(label, f"(?:{body})", 45, 0.75, gate, f" {gate} ") for gate in gates]
     by: dict[bytes, list[Rule]] = {}
     for rule in made:
         by.setdefault(rule.keyword, []).append(rule)
