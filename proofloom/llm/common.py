@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -19,13 +20,25 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The shared folder for written intermediates; a local one only where the session names none."""
+    """The shared folder for written intermediates. Only a session without executors elsewhere may go without one."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{shared or tempfile.mkdtemp(prefix='proofloom-')}/proofloom"
+    if shared is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        shared = _own_folder()
+    return f"{shared}/proofloom-{spark.sparkContext.applicationId}"
+
+
+@functools.lru_cache(maxsize=1)
+def _own_folder() -> str:
+    return tempfile.mkdtemp(prefix="spark-")
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: a cut in the lineage that outlives executors."""
+    """Write ``df`` to the shared folder and read it back: a cut in the lineage that outlives executors.
+
+    ``discard`` deletes it early; the rest of a session goes by ``discard_all``.
+    """
     spark = df.sparkSession
     path = f"{work_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
@@ -34,12 +47,20 @@ def cut(df: DataFrame) -> DataFrame:
     return back
 
 
-def discard(df: DataFrame) -> None:
+def discard(*tables: DataFrame) -> None:
     """Delete what ``cut`` wrote, once no later plan reads it."""
-    spark = df.sparkSession
-    jvm = spark._jvm
-    path = jvm.org.apache.hadoop.fs.Path(df.proofloom_path)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    for df in tables:
+        _delete(df.sparkSession, df.proofloom_path)
+
+
+def discard_all(spark: SparkSession) -> None:
+    """Delete everything that ``cut`` wrote in this application, once its results are stored."""
+    _delete(spark, work_dir(spark))
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def batches(rows: Iterable[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
@@ -79,11 +100,12 @@ def fit_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, hel
     """doc_id, text, label of about ``rows`` labelled documents outside the held-out fold.
 
     Ids are picked by a hash, so the picked labels stay bounded whatever the size of the tables and can be
-    broadcast; each id counts once. Rows without an id or a label teach nothing.
+    broadcast. Each id counts once, with its smallest label and its smallest text, so reruns agree. Rows
+    without an id or a label teach nothing.
     """
     usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).alias("label")).dropna()
     usable = usable.filter(fold_bucket("doc_id", modulus) != held)
     share = min(1.0, rows / max(1, usable.count()))
-    picked = usable.filter(F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 20)) < int(share * (1 << 20))).dropDuplicates(["doc_id"])
+    picked = usable.filter(F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 20)) < int(share * (1 << 20))).groupBy("doc_id").agg(F.min("label").alias("label"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return texts.join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"])
+    return texts.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("doc_id", "text", "label")

@@ -1,34 +1,39 @@
 """Language identification: a bidirectional gated recurrent network that labels every byte position.
 
 Each direction is one gated recurrent layer over bytes (A-Z folded); the two states of a position give
-class probabilities for that position. Texts are read whole, as consecutive windows of ``WINDOW`` bytes,
-and a document's probabilities are the means over all its positions. The network is trained in numpy by
-backpropagation through time, with Adam, on windows of a sample of about ``FIT_ROWS`` documents whose
-language is known and whose fold is not held out; a fixed seed makes reruns agree. Every document is scored.
-
-Null texts, empty texts and texts without a letter are ``und`` with score 0. A null language teaches
-nothing; with no language at all every document is ``und``. Repeated rows get equal results, a null id is
-kept, an empty table gives an empty table. Only doc_id, text and lang (for learning) are read.
+class probabilities for that position. Texts are read whole, as consecutive windows of ``WINDOW`` bytes, so
+that a very long text costs no more a byte than a short one. Each direction comes to a window with the state
+it has after the ``LEAD`` bytes next to the window on that side, and a document's probabilities are the means
+over all its positions. The network is trained in numpy by backpropagation through time, with Adam, on spans
+of ``SPAN`` bytes drawn from all places of a sample of about ``FIT_ROWS`` documents whose language is known
+and whose fold is not held out; a fixed seed makes reruns agree. Every document is scored.
+
+Null texts, empty texts and texts without a letter (of the Unicode category L) are ``und`` with score 0. A
+null language teaches nothing; with no language at all every document is ``und``. Repeated rows get equal
+results; of an id with several languages or texts the smallest teach. A null id is kept, an empty table gives
+an empty table. Only doc_id, text and lang (for learning) are read, so other columns cannot clash.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from proofloom.llm.common import fit_sample, fold_bucket, strings
 
-WINDOW = 64
+#: Bytes that are labelled together, and bytes beside them that each direction reads first.
+WINDOW = 192
+LEAD = 32
 STATE = 8
-#: Documents that the network learns from, about; windows of each, and passes of Adam.
+#: Documents that the network learns from, about; bytes of a span, and passes of Adam.
 FIT_ROWS = 2000
-FIT_WINDOWS = 3
+SPAN = 64
 STEPS = 120
 BATCH = 128
 RATE = 0.02
@@ -36,7 +41,7 @@ MODULUS, HELD = 3, 1
 UNKNOWN = "und"
 #: Windows that go through the network together.
 TOGETHER = 1024
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 
 
 class Network(NamedTuple):
@@ -75,9 +80,11 @@ def _traced(net: Network, way: int, x: np.ndarray) -> tuple[np.ndarray, list]:
     return out, trace
 
 
-def _states(net: Network, way: int, x: np.ndarray, out: np.ndarray) -> None:
-    """The same states without a trace, in place, into ``out`` (time, row, state)."""
+def _states(net: Network, way: int, x: np.ndarray, inside: np.ndarray, out: np.ndarray) -> None:
+    """The same states without a trace, in place, into ``out`` (time, row, state); outside a text the state is zero."""
     rows, steps = x.shape
+    outside = np.ascontiguousarray(~inside.T)
+    some = outside.any(axis=1)
     half = np.array([0.5, 0.5, 1], np.float32)  # a sigmoid is a tanh of half its argument
     table = (net.inputs[way] * half[:, None, None]).reshape(-1, STATE)
     inner = net.states[way] * half[:, None, None]
@@ -99,16 +106,19 @@ def _states(net: Network, way: int, x: np.ndarray, out: np.ndarray) -> None:
         np.subtract(h, n, out=r)
         r *= z
         h = np.add(n, r, out=out[t])
+        if some[t]:
+            h[outside[t]] = 0
 
 
-def probabilities(net: Network, x: np.ndarray) -> np.ndarray:
-    """(language, time, row) for windows x (row, time)."""
+def probabilities(net: Network, x: np.ndarray, inside: np.ndarray) -> np.ndarray:
+    """(language, time, row) for the inner positions of windows x (row, time) with ``LEAD`` bytes on both sides."""
     rows, steps = x.shape
-    ways = np.empty((2, steps, rows, STATE), np.float32)
-    for way in (0, 1):
-        _states(net, way, x, ways[way])
+    ahead, behind = np.empty((2, steps - LEAD, rows, STATE), np.float32)
+    _states(net, 0, x[:, : steps - LEAD], inside[:, : steps - LEAD], ahead)
+    _states(net, 1, x[:, LEAD:], inside[:, LEAD:], behind)
     read = net.out.reshape(2, STATE, -1)
-    scores = np.ascontiguousarray((ways[0].reshape(-1, STATE) @ read[0] + ways[1].reshape(-1, STATE) @ read[1]).T)
+    steps -= 2 * LEAD
+    scores = np.ascontiguousarray((ahead[LEAD:].reshape(-1, STATE) @ read[0] + behind[:steps].reshape(-1, STATE) @ read[1]).T)
     scores += net.out_bias[:, None]
     scores -= scores.max(axis=0)
     np.exp(scores, out=scores)
@@ -152,16 +162,19 @@ def gradient(net: Network, x: np.ndarray, y: np.ndarray) -> tuple[float, Network
     return loss, grad
 
 
-def train(x: np.ndarray, y: np.ndarray, languages: int, steps: int = STEPS, seed: int = 42) -> Network:
-    """Windows x (row, time) of bytes with languages y; each language is drawn equally often."""
+def train(texts: list[bytes], y: np.ndarray, languages: int, steps: int = STEPS, seed: int = 42) -> Network:
+    """From texts with languages y. Each language is drawn equally often, then a text, then a place in it."""
     net = fresh(languages, seed)
     rng = np.random.default_rng(seed)
     pools = [np.flatnonzero(y == k) for k in range(languages)]
+    folded = [t.lower().ljust(SPAN, b"\0") for t in texts]
     first = [np.zeros_like(p) for p in net]
     second = [np.zeros_like(p) for p in net]
     for step in range(1, steps + 1):
         rows = np.concatenate([rng.choice(pool, -(-BATCH // languages)) for pool in pools])
-        _, grad = gradient(net, x[rows], y[rows])
+        places = [int(rng.integers(0, len(folded[r]) - SPAN + 1)) for r in rows]
+        x = np.frombuffer(b"".join([folded[r][p : p + SPAN] for r, p in zip(rows, places)]), np.uint8).reshape(-1, SPAN)
+        _, grad = gradient(net, x, y[rows])
         norm = float(np.sqrt(sum((g * g).sum() for g in grad)))
         rate = RATE * min(1.0, 2 * (1 - (step - 1) / steps))
         for p, g, m, v in zip(net, grad, first, second):
@@ -172,28 +185,31 @@ def train(x: np.ndarray, y: np.ndarray, languages: int, steps: int = STEPS, seed
     return net
 
 
-def windows(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """All windows of the texts (row, time), zero after a text's end, and the number of windows of each text."""
+def windows(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All windows of the texts with the bytes beside them (row, time), which of those are in the text, and the number of windows of each text."""
     counts = np.array([-(-len(t) // WINDOW) for t in texts], np.int64)
-    data = b"".join([t.lower().ljust(c * WINDOW, b"\0") for t, c in zip(texts, counts.tolist())])
-    return np.frombuffer(data, np.uint8).reshape(-1, WINDOW), counts
+    wide, rows, inside = WINDOW + 2 * LEAD, [np.zeros((0, WINDOW + 2 * LEAD), np.uint8)], [np.zeros((0, WINDOW + 2 * LEAD), bool)]
+    for text, n in zip(texts, counts.tolist()):
+        if n:
+            data = np.frombuffer(bytes(LEAD) + text.lower().ljust(n * WINDOW, b"\0") + bytes(LEAD), np.uint8)
+            rows.append(np.lib.stride_tricks.sliding_window_view(data, wide)[::WINDOW])
+            at = np.arange(n)[:, None] * WINDOW + np.arange(-LEAD, WINDOW + LEAD)
+            inside.append((at >= 0) & (at < len(text)))
+    return np.concatenate(rows), np.concatenate(inside), counts
 
 
 def pooled(net: Network, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """For each text the mean probabilities over its positions, and how many positions each language is the label of."""
-    x, counts = windows(texts)
+    x, inside, counts = windows(texts)
     languages = len(net.out_bias)
-    sums, votes = np.zeros((len(x), languages)), np.zeros((len(x), languages), np.int64)
     lengths = np.array([len(t) for t in texts], np.int64)
-    live = np.full(len(x), WINDOW)
-    ends = np.cumsum(counts) - 1
-    some = counts > 0
-    live[ends[some]] = lengths[some] - (counts[some] - 1) * WINDOW
+    sums, votes = np.zeros((len(x), languages)), np.zeros((len(x), languages), np.int64)
     for a in range(0, len(x), TOGETHER):
         b = min(len(x), a + TOGETHER)
-        share = probabilities(net, x[a:b])
-        if (live[a:b] < WINDOW).any():
-            share *= np.arange(WINDOW)[:, None] < live[a:b]
+        share = probabilities(net, x[a:b], inside[a:b])
+        live = inside[a:b, LEAD:-LEAD]
+        if not live.all():
+            share *= live.T
         sums[a:b] = share.sum(axis=1).T
         best = share.max(axis=0)
         votes[a:b] = ((share == best) & (best > 0)).sum(axis=1).T
@@ -204,31 +220,14 @@ def pooled(net: Network, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return out / np.maximum(1, lengths)[:, None], seen
 
 
-def _fit_windows(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A few windows of each text, spread over its length."""
-    for part in parts:
-        ids, langs, rows = [], [], []
-        for i, text, lang in zip(*(part.column(c).to_pylist() for c in ("doc_id", "text", "label"))):
-            data = text.encode()
-            if not data:
-                continue
-            x, _ = windows([data])
-            for k in sorted({len(x) * (2 * j + 1) // (2 * FIT_WINDOWS) for j in range(FIT_WINDOWS)}):
-                ids.append(i * FIT_WINDOWS + k % FIT_WINDOWS)
-                langs.append(lang)
-                rows.append(x[k].tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(langs, pa.string()), pa.array(rows, pa.binary())], names=["at", "lang", "bytes"])
-
-
 def fit(docs: DataFrame, rows: int = FIT_ROWS, steps: int = STEPS) -> tuple[list[str], Network | None]:
-    sample = fit_sample(docs, docs, "lang", MODULUS, HELD, rows)
-    found = sample.mapInArrow(_fit_windows, "at long, lang string, bytes binary").toPandas().sort_values(["lang", "at", "bytes"])
-    languages = sorted(set(found["lang"]))
+    sample = fit_sample(docs, docs, "lang", MODULUS, HELD, rows).filter("text <> ''")
+    found = sample.toPandas().sort_values("doc_id")
+    languages = sorted(set(found["label"]))
     if not languages:
         return [], None
-    x = np.frombuffer(b"".join(found["bytes"]), np.uint8).reshape(-1, WINDOW)
-    y = np.searchsorted(np.array(languages), found["lang"].to_numpy())
-    return languages, train(x, y, len(languages), steps)
+    y = np.searchsorted(np.array(languages), found["label"].to_numpy())
+    return languages, train([t.encode() for t in found["text"]], y, len(languages), steps)
 
 
 def identify(docs: DataFrame, rows: int = FIT_ROWS, steps: int = STEPS) -> DataFrame:

@@ -5,16 +5,20 @@ case and full-width forms, and turns everything else into blanks, so ``1d10t`` a
 what they imitate. Entries are whole words or beginnings of words; where several match one word, the
 heaviest counts. A match inside an exception phrase (entry with its neighbour word) does not count.
 
-The lexicon is learned from about ``FIT_ROWS`` labelled documents outside the held-out fold. Spark counts, for
-every word and word beginning, the toxic and other documents that have it; entries are those whose smoothed
-log-odds pass ``MIN_WEIGHT``, without those that a shorter entry already covers. An exception phrase is a
-match with its neighbour that occurs in other documents and in no toxic one. The score is a logistic unit on
+The lexicon is learned from about ``FIT_ROWS`` labelled documents outside the held-out fold, copies counted
+once. Spark counts, for every word and word beginning, the toxic and other documents that have it; entries
+are those whose smoothed log-odds pass ``MIN_WEIGHT`` and whose share of toxic documents would come by chance
+with a probability under exp(-``EVIDENCE``), however few of all toxic documents have them, without those that
+a shorter entry already covers. The lexicon has no size of its own: an entry takes ``MIN_DOCS`` sampled
+documents at least, so the sample bounds it. An exception phrase is a match with its neighbour that occurs in
+other documents and in no toxic one. The score is a logistic unit on
 the matched weight as it is, by the square root of the length and by the length; its few coefficients are
 fitted on scores that each half of the sample gets from the lexicon of the other half. Every document is
 scored, whole.
 
 Null and empty texts match nothing and get the score of that. Without two differing labels the score is the
-share of toxic labels (0 without labels). Repeated rows score alike, an empty table gives an empty table.
+share of toxic labels (0 without labels). Repeated rows score alike; of an id with several labels or texts the
+smallest teach. An empty table gives an empty table; other columns of the documents stay as they are.
 """
 
 from __future__ import annotations
@@ -28,20 +32,19 @@ from typing import NamedTuple
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from proofloom.llm.common import cut, discard, fit_sample, fold_bucket, strings
 
-#: Labelled documents that the lexicon is learned from, about; entries it has at most.
+#: Labelled documents that the lexicon is learned from, about.
 FIT_ROWS = 4000
-ENTRIES = 2000
 #: Characters of a word beginning that can be an entry.
 STEMS = (4, 5, 6)
 MIN_WEIGHT = 2.5
 MIN_DOCS = 4
-#: Share of the toxic documents that an entry must occur in.
-MIN_SHARE = 0.04
+#: Bound on the logarithm of the probability that chance gives an entry its toxic documents (1e-7).
+EVIDENCE = 16.0
 MODULUS, HELD = 5, 0
 # Letters that look alike, and digits and signs that stand for letters.
 _LOOKALIKES = {
@@ -71,8 +74,8 @@ _FOLDING = _Folding()
 
 
 def fold(text: str) -> str:
-    """Folded text between blanks. A bar or dollar sign by itself is no letter."""
-    return f" {text.translate(_FOLDING)} ".replace(" i ", " ").replace(" s ", " ")
+    """Folded words, one blank before and after each. A bar or dollar sign by itself is no letter."""
+    return f" {' '.join([w for w in text.translate(_FOLDING).split() if w not in ('i', 's')])} "
 
 
 class Lexicon(NamedTuple):
@@ -101,11 +104,10 @@ class Matcher:
         return found
 
     def contexts(self, folded: str, at: int) -> tuple[str, str]:
+        """The matched word with the word after it and with the word before it, between blanks."""
         stop = folded.index(" ", at + 1)
-        after = folded[stop:].lstrip(" ") if len(folded) < stop + 200 else folded[stop : stop + 200].lstrip(" ")
-        before = folded[max(0, at - 200) : at].rstrip(" ")
-        word = folded[at:stop]
-        return f"{word} {after.partition(' ')[0]} ", f" {before.rpartition(' ')[2]}{word} "
+        after = folded.find(" ", stop + 1)
+        return folded[at : after + 1] if after > 0 else folded[at : stop + 1] + " ", folded[max(0, folded.rfind(" ", 0, at)) : stop + 1]
 
     def total(self, folded: str) -> tuple[float, int]:
         """Summed weight of the matches that count, and their number."""
@@ -143,7 +145,15 @@ def _count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def choose(rows: list[tuple[str, int, int]], toxic: int, other: int) -> dict[str, float]:
+def evidence(a: int, b: int, toxic: int, other: int) -> float:
+    """Minus the logarithm of the Chernoff bound on so many toxic documents among a + b, 0 if fewer than expected."""
+    rate, n = toxic / max(1, toxic + other), a + b
+    if not n or a <= rate * n:
+        return 0.0
+    return a * math.log(a / n / rate) + (b * math.log(b / n / (1 - rate)) if b else 0.0)
+
+
+def choose(rows: list[tuple[str, int, int]], toxic: int, other: int, least: float = EVIDENCE) -> dict[str, float]:
     """Entries and weights from (entry, toxic documents, other documents).
 
     Of a word and its beginnings the longest that still has nearly all the documents stays, and nothing that
@@ -152,7 +162,7 @@ def choose(rows: list[tuple[str, int, int]], toxic: int, other: int) -> dict[str
     weights, seen = {}, {}
     for entry, a, b in rows:
         w = math.log((a + 0.5) / (toxic - a + 0.5)) - math.log((b + 0.5) / (other - b + 0.5))
-        if a >= max(MIN_DOCS, MIN_SHARE * toxic) and w >= MIN_WEIGHT:
+        if a >= MIN_DOCS and w >= MIN_WEIGHT and evidence(a, b, toxic, other) >= least:
             weights[entry], seen[entry] = w, a
     shorter = {e: [e[:n] for n in (s + 1 for s in STEMS) if n < len(e.rstrip()) + (e[-1] == " ") and e[:n] in weights] for e in weights}
     general = {s for e in weights for s in shorter[e] if seen[e] >= 0.95 * seen[s]}
@@ -164,18 +174,33 @@ def choose(rows: list[tuple[str, int, int]], toxic: int, other: int) -> dict[str
 
 
 def lexicons(sample: DataFrame) -> tuple[list[dict[str, float]], list[int]]:
-    """The entries of both halves and of the whole sample, and its numbers of toxic and other documents."""
+    """The entries of both halves and of the whole sample, and its numbers of toxic and other documents.
+
+    Only entries that may pass in a half or in the whole leave Spark. A half has half the documents, so half
+    the evidence is asked of it.
+    """
     counted = sample.select("text", "half", "label").mapInArrow(_count, "entry string, half int, toxic int, docs long")
     part = lambda half, toxic: F.sum(F.when((F.col("half") == half) & (F.col("toxic") == toxic), F.col("docs")).otherwise(0))
     totals = counted.groupBy("entry").agg(*(part(h, t).alias(f"d{h}{t}") for h in (0, 1) for t in (1, 0)))
-    in_toxic, in_other = F.col("d01") + F.col("d11"), F.col("d00") + F.col("d10")
     sizes = {(r["half"], r["label"]): r["count"] for r in sample.groupBy("half", "label").count().collect()}
     n = [sizes.get((0, t), 0) + sizes.get((1, t), 0) for t in (1, 0)]
-    odds = F.log((in_toxic + 0.5) / (F.lit(n[0]) - in_toxic + 0.5)) - F.log((in_other + 0.5) / (F.lit(n[1]) - in_other + 0.5))
-    best = totals.filter(in_toxic >= MIN_DOCS).orderBy(odds.desc(), "entry").limit(2 * ENTRIES).collect()
-    halves = [choose([(r["entry"], r[f"d{h}1"], r[f"d{h}0"]) for r in best], sizes.get((h, 1), 0), sizes.get((h, 0), 0)) for h in (0, 1)]
-    whole = choose([(r["entry"], r["d01"] + r["d11"], r["d00"] + r["d10"]) for r in best], *n)
-    return [*halves, dict(sorted(whole.items(), key=lambda e: (-e[1], e[0]))[:ENTRIES])], n
+
+    def passes(in_toxic: Column, in_other: Column, toxic: int, other: int, least: float) -> Column:
+        odds = F.log((in_toxic + 0.5) / (F.lit(toxic) - in_toxic + 0.5)) - F.log((in_other + 0.5) / (F.lit(other) - in_other + 0.5))
+        rate, both = toxic / max(1, toxic + other), in_toxic + in_other
+        gain = in_toxic * F.log(in_toxic / both / F.lit(rate)) + F.when(in_other > 0, in_other * F.log(in_other / both / F.lit(1 - rate))).otherwise(0.0)
+        return (in_toxic >= MIN_DOCS) & (odds >= MIN_WEIGHT - 1e-6) & (gain >= least - 1e-6)
+
+    if not n[0] or not n[1]:
+        return [{}, {}, {}], n
+    both = [(F.col(f"d{h}1"), F.col(f"d{h}0"), sizes.get((h, 1), 0), sizes.get((h, 0), 0)) for h in (0, 1)]
+    live = passes(F.col("d01") + F.col("d11"), F.col("d00") + F.col("d10"), *n, EVIDENCE)
+    for a, b, toxic, other in both:
+        if toxic and other:
+            live = live | passes(a, b, toxic, other, EVIDENCE / 2)
+    best = sorted(map(tuple, totals.filter(live).select("entry", "d01", "d00", "d11", "d10").collect()))
+    halves = [choose([(r[0], r[1 + 2 * h], r[2 + 2 * h]) for r in best], *both[h][2:], EVIDENCE / 2) for h in (0, 1)]
+    return [*halves, choose([(r[0], r[1] + r[3], r[2] + r[4]) for r in best], *n)], n
 
 
 def _phrases(weights: dict[str, float]):
@@ -195,7 +220,7 @@ def _phrases(weights: dict[str, float]):
 def exception_phrases(sample: DataFrame, weights: dict[str, float]) -> frozenset[str]:
     found = sample.select("text", "half", "label").mapInArrow(_phrases(weights), "phrase string, toxic int")
     per = found.groupBy("phrase").agg(F.count_if(F.col("toxic") == 0).alias("other"), F.count_if(F.col("toxic") == 1).alias("bad"))
-    return frozenset(r["phrase"] for r in per.filter((F.col("other") >= MIN_DOCS) & (F.col("bad") == 0)).orderBy(F.desc("other"), "phrase").limit(ENTRIES).collect())
+    return frozenset(r["phrase"] for r in per.filter((F.col("other") >= MIN_DOCS) & (F.col("bad") == 0)).collect())
 
 
 def _cross_signals(halves: list[Lexicon]):
@@ -233,8 +258,8 @@ class Model(NamedTuple):
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model | float:
     sample = fit_sample(docs, labels, "toxic", MODULUS, HELD, rows)
-    sample = sample.dropDuplicates(["text", "label"])  # copies are no further evidence
-    sample = cut(sample.select("text", F.pmod(F.xxhash64("doc_id"), F.lit(2)).cast("int").alias("half"), F.col("label").cast("int"), "doc_id"))
+    sample = sample.groupBy("text", "label").agg(F.min("doc_id").alias("doc_id"))  # copies are no further evidence
+    sample = cut(sample.select("text", F.pmod(F.xxhash64("text"), F.lit(2)).cast("int").alias("half"), F.col("label").cast("int"), "doc_id"))
     words, (toxic, other) = lexicons(sample)
     if not toxic or not other:
         discard(sample)
@@ -262,7 +287,7 @@ def score(docs: DataFrame, model: Model | float) -> DataFrame:
             for text in strings(part.column(at)):
                 folded = fold(text)
                 weight, n = matcher.total(folded)
-                x.append(signals(weight, n, folded.count(" ") - folded.count("  ") - 1))
+                x.append(signals(weight, n, len(folded.split())))
                 hits.append(n)
             p = np.full(len(x), model) if w is None else 1 / (1 + np.exp(-np.clip(np.array(x).reshape(-1, len(w)) @ w, -30, 30)))
             yield pa.RecordBatch.from_arrays([*part.columns[: part.num_columns - 2], pa.array(p, pa.float64()), pa.array(hits, pa.int64())], schema=part.schema)
