@@ -2,11 +2,13 @@
 
 ``store`` wraps bytes as one 8-bit mono PCM track (QuickTime brand, sample entry ``raw ``). A sample is
 one block of 64 bytes, 16 samples make a chunk and the first sample of each chunk is a sync sample.
-``walk`` reads any container of this family: it descends the nested boxes, decodes the sample tables and
-reports codec, duration and the byte range of every sync sample without touching the media payload.
+``tracks`` reads the containers of this family that keep their samples in tables: it descends the nested
+boxes track by track, decodes each track's own sample tables and reports codec, duration and the byte range
+of every sync sample without touching the media payload. Fragmented files (``moof``) are refused by name.
 
-Null and empty texts are stored as one block of zeros. Rows are independent, so repeated rows repeat, an
-empty table gives an empty table, and other columns of the input are not read.
+Null and empty texts are stored as one block of zeros. Rows are independent, so repeated rows repeat, and a
+very long text is one container with wide boxes from 4 GB on. A null doc_id stays null, an empty table gives
+an empty table, and other columns of the input are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -116,12 +118,16 @@ def boxes(data: bytes, start: int, end: int) -> Iterator[tuple[bytes, int, int]]
         start += size
 
 
-def _flatten(data: bytes, start: int, end: int, found: dict[bytes, tuple[int, int]]) -> None:
+def _collect(data: bytes, start: int, end: int, own: dict[bytes, tuple[int, int]], tracks: list[dict[bytes, tuple[int, int]]]) -> None:
+    """Bodies of the boxes outside tracks into ``own``, and one such dictionary for each track."""
     for kind, body, stop in boxes(data, start, end):
-        if kind in CONTAINERS:
-            _flatten(data, body, stop, found)
+        if kind == b"trak":
+            tracks.append({})
+            _collect(data, body, stop, tracks[-1], tracks)
+        elif kind in CONTAINERS:
+            _collect(data, body, stop, own, tracks)
         else:
-            found.setdefault(kind, (body, stop))
+            own.setdefault(kind, (body, stop))
 
 
 def _table(data: bytes, at: int, dtype: str, width: int = 1) -> np.ndarray:
@@ -129,27 +135,34 @@ def _table(data: bytes, at: int, dtype: str, width: int = 1) -> np.ndarray:
     return np.frombuffer(data, dtype, n * width, at + 8).astype(np.int64).reshape(n, width)
 
 
-def walk(data: bytes) -> dict:
-    """Codec, timing and the byte ranges of all samples and of the sync samples of the first track."""
-    found: dict[bytes, tuple[int, int]] = {}
-    _flatten(data, 0, len(data), found)
-    header = found[b"mdhd"][0]
+def tracks(data: bytes) -> list[dict]:
+    """Kind, codec, timing and the byte ranges of all samples and of the sync samples of each track."""
+    movie: dict[bytes, tuple[int, int]] = {}
+    found: list[dict[bytes, tuple[int, int]]] = []
+    _collect(data, 0, len(data), movie, found)
+    if b"moof" in movie:
+        raise ValueError("a fragmented file keeps its samples outside tables")
+    return [_track(data, own) for own in found]
+
+
+def _track(data: bytes, own: dict[bytes, tuple[int, int]]) -> dict:
+    header, kind, entry, size = (own[k][0] for k in (b"mdhd", b"hdlr", b"stsd", b"stsz"))
     scale, ticks = struct.unpack_from(">IQ", data, header + 20) if data[header] else struct.unpack_from(">II", data, header + 12)
-    codec = data[found[b"stsd"][0] + 12 : found[b"stsd"][0] + 16]
-    uniform, count = struct.unpack_from(">II", data, found[b"stsz"][0] + 4)
-    sizes = np.full(count, uniform, np.int64) if uniform else np.frombuffer(data, ">u4", count, found[b"stsz"][0] + 12).astype(np.int64)
-    chunks = _table(data, found[b"co64"][0], ">u8") if b"co64" in found else _table(data, found[b"stco"][0], ">u4")
-    runs = _table(data, found[b"stsc"][0], ">u4", 3)
+    uniform, count = struct.unpack_from(">II", data, size + 4)
+    sizes = np.full(count, uniform, np.int64) if uniform else np.frombuffer(data, ">u4", count, size + 12).astype(np.int64)
+    chunks = _table(data, own[b"co64"][0], ">u8") if b"co64" in own else _table(data, own[b"stco"][0], ">u4")
+    runs = _table(data, own[b"stsc"][0], ">u4", 3)
     spans = np.diff(np.append(runs[:, 0], len(chunks) + 1))
     per_chunk = np.repeat(runs[:, 1], spans)
     before = np.cumsum(sizes) - sizes
     first = np.cumsum(per_chunk) - per_chunk
-    offsets = np.repeat(chunks[:, 0] - before[first], per_chunk) + before
-    sync = _table(data, found[b"stss"][0], ">u4")[:, 0] - 1 if b"stss" in found else np.arange(count)
+    offsets = np.repeat(chunks[:, 0] - before[first], per_chunk) + before if count else np.zeros(0, np.int64)
+    sync = _table(data, own[b"stss"][0], ">u4")[:, 0] - 1 if b"stss" in own else np.arange(count)
     return {
-        "codec": codec.decode("latin-1").strip(),
+        "kind": data[kind + 8 : kind + 12].decode("latin-1"),
+        "codec": data[entry + 12 : entry + 16].decode("latin-1").strip(),
         "timescale": scale,
-        "duration": ticks / scale,
+        "duration": ticks / scale if scale else 0.0,
         "samples": int(count),
         "offsets": offsets,
         "sizes": sizes,
@@ -165,19 +178,10 @@ def payload_of(data: bytes, track: dict) -> bytes:
     return b"".join(data[a:b] for a, b in zip(starts[new].tolist(), ends[stops].tolist()))
 
 
+RANGES = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 STORED = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("media", pa.binary())])
-PARSED = pa.schema(
-    [
-        ("doc_id", pa.int64()),
-        ("n_bytes", pa.int64()),
-        ("media", pa.binary()),
-        ("payload", pa.binary()),
-        ("codec", pa.string()),
-        ("duration", pa.float64()),
-        ("samples", pa.int64()),
-        ("keyframes", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
-    ]
-)
+PARSED = pa.schema([("track", pa.int32()), ("kind", pa.string()), ("codec", pa.string()), ("duration", pa.float64()), ("samples", pa.int64()), ("keyframes", RANGES)])
+_KIND = "array<struct<track:int,kind:string,codec:string,duration:double,samples:long,keyframes:array<struct<start:long,end:long>>>>"
 
 
 def store(docs: DataFrame) -> DataFrame:
@@ -191,27 +195,33 @@ def store(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 
+def _columns(found: list[dict]) -> list[dict]:
+    return [
+        {"track": k, "kind": t["kind"], "codec": t["codec"], "duration": t["duration"], "samples": t["samples"], "keyframes": [{"start": a, "end": b} for a, b in t["keyframes"].tolist()]}
+        for k, t in enumerate(found)
+    ]
+
+
 def media_columns(stored: DataFrame) -> DataFrame:
-    """Walk each container; adds payload (read through the sample tables), codec, duration, samples, keyframes."""
+    """doc_id, n_bytes, media, payload (of the first track, read through its sample tables) and a struct for each track."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows(part):
             for i, n, media in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).to_pylist()):
-                track = walk(media)
-                keys = [{"start": a, "end": b} for a, b in track["keyframes"].tolist()]
-                yield 2 * len(media), i, n, media, payload_of(media, track), track["codec"], track["duration"], track["samples"], keys
+                found = tracks(media)
+                yield 2 * len(media) + 16 * sum(len(t["keyframes"]) for t in found), i, n, media, payload_of(media, found[0]) if found else b"", _columns(found)
 
+        kind = pa.schema([*STORED, ("payload", pa.binary()), ("tracks", pa.list_(pa.struct(list(PARSED))))])
         for part in parts:
-            yield from batches(rows(part), PARSED)
+            yield from batches(rows(part), kind)
 
-    kind = "doc_id long, n_bytes long, media binary, payload binary, codec string, duration double, samples long, keyframes array<struct<start:long,end:long>>"
-    return stored.select("doc_id", "n_bytes", "media").mapInArrow(run, kind)
+    return stored.select("doc_id", "n_bytes", "media").mapInArrow(run, f"doc_id long, n_bytes long, media binary, payload binary, tracks {_KIND}")
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    """The digest columns of the stored and read-back containers of ``docs``."""
+    """The digest columns of the stored and read-back containers of ``docs``, and codec, duration and keyframe ranges."""
     media = media_columns(store(docs))
-    ranges = F.sha2(F.to_json("keyframes"), 256)
+    own = F.col("tracks")[0]
     return media.select(
         "doc_id",
         "n_bytes",
@@ -220,5 +230,8 @@ def digests(docs: DataFrame) -> DataFrame:
         F.crc32(F.substring("payload", -BLOCK, BLOCK)).alias("tail_crc32"),
         F.length("media").cast("long").alias("media_bytes"),
         F.sha2("media", 256).alias("media_sha256"),
-        F.format_string("%s|%.3f|%d|%d|%s", "codec", "duration", "samples", F.size("keyframes"), F.substring(ranges, 1, 16)).alias("feature"),
+        F.format_string("%s|%.3f|%d|%d", own["codec"], own["duration"], own["samples"], F.size(own["keyframes"])).alias("feature"),
+        own["codec"].alias("codec"),
+        own["duration"].alias("duration"),
+        own["keyframes"].alias("keyframes"),
     )

@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from proofloom.llm import bpe, exact, language, licenses, media, mixing, quality, simhash, suffixes, toxicity
 from proofloom.llm.common import read_table
 
-#: Where the tokenizer files are; a parameter, since they are not part of the repository.
-TOKENIZERS = os.environ.get("PROOFLOOM_TOKENIZERS", "/opt/tokenizers")
+#: The tokenizer file of the queries; a parameter of the operator, since it is not part of the repository.
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
 def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,7 +44,7 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.digests(read_table(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json")
+    return bpe.digests(read_table(spark, sf_dir, "documents"), TOKENIZER)
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

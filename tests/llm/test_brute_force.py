@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from proofloom.llm import bpe, exact, language, licenses, media, mixing, quality, registry, simhash, suffixes, toxicity
 
-TOKENIZER = f"{registry.TOKENIZERS}/word_bpe_49k.json"
+TOKENIZER = registry.TOKENIZER
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 PASSAGE = "a passage that several documents share word for word and that is long enough to be found again by its bytes "
 TEXTS = [
