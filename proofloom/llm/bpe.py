@@ -1,20 +1,22 @@
-"""BPE as an automaton over tokens, compiled from the merge list by successive merge gadgets.
-
-The automaton starts with one state in which every base symbol loops. Merge number t of (a, b) makes a
-new state: a copy of the state that a leads to, without its arc b, and redirects a to it; wherever a may
-be read, an arc for the merged token is added, which leads where b led. After the last merge the
-automaton accepts exactly the sequences that the merge procedure produces, and it is deterministic: the
-state after a token depends on the token alone. Copies are stored as what they lack: ``_lacks`` maps
-(a, b) to the merge that removed arc b after a, and a state is (token, merges applied so far), with the
-state of the token's right part below it.
-
-A word is encoded by table-driven transitions from left to right: a trie table gives the tokens that may
-be read at a position, and the last token of a prefix is the one whose arc exists in the state of the
-prefix before it. Decoding emits the arc labels of the ids. Letters that Unicode assigned after the
-running Python's tables are classed by those tables.
-
-Nulls and empty texts have no tokens. Rows are independent; repeated rows repeat, an empty table gives
-an empty table, and other columns pass through untouched if asked for.
+"""BPE as a deterministic automaton over tokens, compiled from the merge list by successive merge gadgets.
+
+A state is the token read last, and the arc for token x leads to state x, so the automaton is deterministic
+by construction; what has to be compiled is which arcs each state has. It starts with every base symbol after
+every base symbol. The gadget of merge (a, b) adds a state for the merged token c, which gets the arcs that
+the state of b has at that moment, then takes arc b, and all arcs of tokens that grow from b later, away from
+state a; tokens that grow from a get c among them as an arc wherever a has one. After the last merge the
+automaton accepts exactly the sequences that the merge procedure produces.
+
+Tokens are numbered so that those grown from one token by later merges form an interval that ends with the
+token itself. What a gadget takes away is such an interval, intervals of one state are disjoint or nested, and
+nested ones are dropped. The transition table is the sorted missing intervals of all states in one array: a
+transition is one binary search in the row of its state.
+
+A word is encoded by transitions from left to right: a trie gives the tokens that may be read at a position,
+the longest with an arc in the present state first. Decoding emits the arc labels of the ids.
+
+Nulls and empty texts have no tokens. Rows are independent; repeated rows repeat, a null id is kept, an empty
+table gives an empty table, and other columns are not read. A text of any length is one list of ids.
 """
 
 from __future__ import annotations
@@ -22,6 +24,8 @@ from __future__ import annotations
 import functools
 import json
 import unicodedata
+from array import array
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -31,11 +35,46 @@ from pyspark.sql import functions as F
 
 from proofloom.llm.common import batches, strings
 
-#: Words whose ids a Python worker remembers.
-REMEMBERED_WORDS = 200_000
-#: Transition tests that it remembers.
-REMEMBERED_ARCS = 200_000
+#: Words whose ids a Python worker remembers, and the letters of the longest of them.
+REMEMBERED_WORDS = 60_000
+REMEMBERED_LENGTH = 64
 _ROOT = -1
+_SHIFT = 32
+_LOW = (1 << _SHIFT) - 1
+
+
+# Letters and numbers of Unicode 17, which the tokenizer's classes (Unicode 16) do not have, in hexadecimal.
+_NEWER = """
+558 58B-58C 88F C5C CDC 208F 209D-209F A7CE-A7CF A7D2 A7D4 A7DD A7E2 A7F1 AB6C-AB6D 107BB-107BF 10940-10959 10EC5-10EC7 10ED9-10EEE 11B0A
+11DB0-11DDB 11DE0-11DE9 11DF1 1246F 12475-1247F 12550-12686 16EA0-16EB8 16EBB-16ED3 16FF2-16FF6 187F8-187FF 18CD6-18CDA 18D09-18D20
+18D80-18DF2 18E00-19191 191A0-191D2 1B123-1B128 1B168 1D6A6 1DF1F-1DF24 1DF2B-1DF81 1DF90-1DF96 1DFCD-1DFFF 1E6C0-1E6DE 1E6E0-1E6E2
+1E6E4-1E6E5 1E6E7-1E6ED 1E6F0-1E6F4 1E6FE-1E6FF 2B73A-2B73F 2B81E 2CEA2-2CEAD 323B0-33479 3D000-3FC3F
+"""
+_FIRST_NEWER = chr(int(_NEWER.split()[0].partition("-")[0], 16))
+# Capitals of Unicode 16 and 17 with their small letters, which the tokenizer lowers and Python 3.13 does not, in hexadecimal.
+_NEWER_CAPITALS = """
+1C89:1C8A A7CB:264 A7CC:A7CD A7CE:A7CF A7D2:A7D3 A7D4:A7D5 A7DA:A7DB A7DC:19B 10D50-10D65:10D70 16EA0-16EB8:16EBB
+"""
+
+
+def _span(text: str) -> range:
+    first, _, last = text.partition("-")
+    return range(int(first, 16), int(last or first, 16) + 1)
+
+
+def splitter(pattern: str, newer: str):
+    """``findall`` of a tokenizer file's word pattern, for which ``newer`` letters and numbers are neither."""
+    known = pattern
+    if newer:
+        without = "".join(f"\\U{s[0]:08X}-\\U{s[-1]:08X}" for s in map(_span, newer.split()))
+        known = known.replace(r"[^\s\p{L}\p{N}]", rf"[[^\s\p{{L}}\p{{N}}]||[{without}]]")
+        known = known.replace(r"[\p{L}]", rf"[\p{{L}}--[{without}]]").replace(r"[\p{N}]", rf"[\p{{N}}--[{without}]]")
+    return regex.compile(known.replace(r"\s", r"\p{White_Space}"), regex.V1).findall
+
+
+def _capitals() -> dict[int, int]:
+    pairs = (part.split(":") for part in _NEWER_CAPITALS.split())
+    return {c: int(small, 16) + k for span, small in pairs for k, c in enumerate(_span(span))}
 
 
 def byte_symbols() -> list[str]:
@@ -49,15 +88,11 @@ class MergeAutomaton:
     """Token automaton of a merge list. ``step`` is its transition test, ``encode_symbols`` reads a word."""
 
     def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]], end: str):
-        self.ids = vocab
         self.labels = {i: s for s, i in vocab.items()}
-        self._parts: dict[int, tuple[int, int, int]] = {}
-        self._lacks: dict[tuple[int, int], int] = {}
-        self._arcs: dict[int, bool] = {}
-        made = {a + b for a, b in merges}
-        self._live = {i for s, i in vocab.items() if s not in made}
-        for t, (a, b) in enumerate(merges):
-            self._gadget(t, vocab[a], vocab[b], vocab[a + b])
+        grown: dict[int, tuple[int, int]] = {}  # token -> the two it is merged from, in order of the merges
+        for a, b in merges:
+            grown.setdefault(vocab[a + b], (vocab[a], vocab[b]))
+        self._compile(grown)
         self._tries: list[dict[str, int]] = [{}]
         self._tokens: list[int | None] = [None]
         for i in self._live:
@@ -77,65 +112,108 @@ class MergeAutomaton:
             return [*plain[:-1], plain[-1:] + end]
         return list(label)
 
-    def _gadget(self, t: int, a: int, b: int, c: int) -> None:
-        if c in self._live or a not in self._live or b not in self._live or not self._step(a, b):
-            return
-        self._parts[c] = (a, b, t)
-        self._live.add(c)
-        self._lacks[a, b] = t
-
-    def _step(self, u: int, x: int) -> bool:
-        """Whether arc x exists in the state after u: no copy of that state lost x or the part x grew from."""
-        parts, lacks = self._parts, self._lacks
-        until = len(self.ids) + 1 << 8
-        while True:
-            head, grown = x, until
-            while True:
-                t = lacks.get((u, head))
-                if t is not None and t < until and t <= grown:
-                    return False
-                if head not in parts:
-                    break
-                head, _, grown = parts[head]
-            if u not in parts:
-                return True
-            _, u, born = parts[u]
-            until = min(until, born)
+    def _number(self, grown: dict[int, tuple[int, int]]) -> tuple[dict[int, int], dict[int, list[tuple[int, int]]]]:
+        """The first number of each token's interval, and (merge, token) of those that grow from it, by merge."""
+        kids: dict[int, list[tuple[int, int]]] = {i: [] for i in self.labels}
+        for t, (c, (a, _)) in enumerate(grown.items()):
+            kids[a].append((t, c))
+        first: dict[int, int] = {}
+        self._numbers: dict[int, int] = {}
+        for root in (i for i in self.labels if i not in grown):
+            stack = [(root, 0)]
+            while stack:
+                token, k = stack.pop()
+                first.setdefault(token, len(self._numbers))
+                if k < len(kids[token]):
+                    stack += [(token, k + 1), (kids[token][k][1], 0)]
+                else:
+                    self._numbers[token] = len(self._numbers)
+        return first, kids
+
+    def _compile(self, grown: dict[int, tuple[int, int]]) -> None:
+        first, kids = self._number(grown)
+        rows = {i: array("Q") for i in self.labels}
+        self._live = {i for i in self.labels if i not in grown}
+        for t, (c, (a, b)) in enumerate(grown.items()):
+            number = self._numbers[b]
+            if a not in self._live or b not in self._live or not self._free(rows[a], number, 0, len(rows[a])):
+                continue  # this merge can never apply
+            self._live.add(c)
+            rows[c] = rows[b][:]
+            later = bisect_left(kids[b], (t, -1))
+            start = first[kids[b][later][1]] if later < len(kids[b]) else number
+            row = rows[a]
+            inner = slice(bisect_left(row, start << _SHIFT), bisect_left(row, number + 1 << _SHIFT))
+            row[inner] = array("Q", [start << _SHIFT | number])
+        self._table = array("Q")
+        self._rows = array("Q", [0])
+        states = sorted(self._live)
+        self._state = {i: k for k, i in enumerate(states)}
+        for i in states:
+            self._table += rows[i]
+            self._rows.append(len(self._table))
+
+    @staticmethod
+    def _free(table: array, number: int, lo: int, hi: int) -> bool:
+        """Whether no missing interval of a row contains the number."""
+        k = bisect_right(table, number << _SHIFT | _LOW, lo, hi) - 1
+        return k < lo or table[k] & _LOW < number
 
     def step(self, u: int, x: int) -> bool:
+        """Whether state u has an arc for token x."""
         if u == _ROOT:
             return True
-        key = u << 32 | x
-        known = self._arcs.get(key)
-        if known is None:
-            if len(self._arcs) > REMEMBERED_ARCS:
-                self._arcs.clear()
-            known = self._arcs[key] = self._step(u, x)
-        return known
-
-    def forget(self) -> None:
-        self._arcs.clear()
+        state = self._state[u]
+        return self._free(self._table, self._numbers[x], self._rows[state], self._rows[state + 1])
 
     def encode_symbols(self, symbols: list[str]) -> list[int]:
-        """Ids of a word given as base symbols. Each prefix has one last token: the match that its state allows."""
-        tries, tokens, step, n = self._tries, self._tokens, self.step, len(symbols)
-        last, came = [_ROOT] + [None] * n, [0] * (n + 1)
-        for j in range(n):
-            node, before = 0, last[j]
-            if before is None:
-                raise ValueError("a base symbol is missing from the vocabulary")
-            for i in range(j, n):
-                node = tries[node].get(symbols[i])
-                if node is None:
-                    break
-                token = tokens[node]
-                if token is not None and last[i + 1] is None and step(before, token):
-                    last[i + 1], came[i + 1] = token, j
-        out = []
-        while n:
-            out.append(last[n])
-            n = came[n]
-        return out[::-1]
+        """Ids of a word given as base symbols: the one path through the automaton that spells it.
+
+        The longest token with an arc is tried first. A prefix is reached by one path at most, so one that the
+        rest of the word does not follow on from is never tried again.
+        """
+        tries, tokens, n = self._tries, self._tokens, len(symbols)
+        table, rows, states, numbers = self._table, self._rows, self._state, self._numbers
+        out: list[int] = []
+        open_: list[tuple[int, list[tuple[int, int]]]] = []  # place and untried tokens before each id
+        dead: set[int] = set()
+        at, lo, hi, found = 0, 0, 0, None
+        while at < n:
+            if found is None:
+                found, node, i = [], 0, at
+                while i < n:
+                    node = tries[node].get(symbols[i])
+                    if node is None:
+                        break
+                    i += 1
+                    if (token := tokens[node]) is not None:
+                        found.append((token, i))
+                if out:
+                    state = states[out[-1]]
+                    lo, hi = rows[state], rows[state + 1]
+                else:
+                    lo = hi = 0
+            while found:
+                token, end = found.pop()
+                if end not in dead:
+                    number = numbers[token]
+                    k = bisect_right(table, number << _SHIFT | _LOW, lo, hi) - 1
+                    if k < lo or table[k] & _LOW < number:
+                        open_.append((at, found))
+                        out.append(token)
+                        at, found = end, None
+                        break
+            else:
+                if not open_:
+                    raise ValueError("a base symbol is missing from the vocabulary")
+                dead.add(at)
+                at, found = open_.pop()
+                out.pop()
+                lo = hi = 0
+                if out:
+                    state = states[out[-1]]
+                    lo, hi = rows[state], rows[state + 1]
+        return out
 
 
 class Tokenizer:
@@ -152,30 +230,29 @@ class Tokenizer:
         self.labels = self.automaton.labels | {i: s for s, i in self.added.items()}
         self._split_added = regex.compile("(" + "|".join(map(regex.escape, self.added)) + ")") if self.added else None
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
-        self._words = regex.compile(pattern.replace(r"\s", r"\p{White_Space}")).findall
+        self._words = splitter(pattern, "")
+        self._newer_words = splitter(pattern, _NEWER)
+        self._capitals = _capitals()
         self._symbols = byte_symbols()
         self._known: dict[str, list[int]] = {}
 
-    @staticmethod
-    def normalize(text: str) -> str:
+    def normalize(self, text: str) -> str:
         """Canonical composition and lower case letter by letter. White space only separates words, so stays."""
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
-        return text.lower()
+        if text.isascii():
+            return text.lower()
+        lowered = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+        return lowered.translate(self._capitals) if max(lowered) > "\u1c88" else lowered
 
     def word(self, word: str) -> list[int]:
         symbols = list(map(self._symbols.__getitem__, word.encode()))
         symbols[-1] += self.end
         ids = self.automaton.encode_symbols(symbols)
-        if len(self._known) >= REMEMBERED_WORDS:
-            self._known.clear()
-        self._known[word] = ids
+        if len(word) <= REMEMBERED_LENGTH:
+            if len(self._known) >= REMEMBERED_WORDS:
+                self._known.clear()
+            self._known[word] = ids
         return ids
 
-    def forget(self) -> None:
-        self._known.clear()
-        self.automaton.forget()
-
     def encode(self, text: str) -> list[int]:
         out: list[int] = []
         known = self._known.get
@@ -184,7 +261,9 @@ class Tokenizer:
             if piece in self.added:
                 out.append(self.added[piece])
                 continue
-            for word in self._words(self.normalize(piece)):
+            lowered = self.normalize(piece)
+            words = self._words if lowered.isascii() or max(lowered) < _FIRST_NEWER else self._newer_words
+            for word in words(lowered):
                 out += known(word) or self.word(word)
         return out
 
@@ -200,11 +279,10 @@ def tokenizer(path: str) -> Tokenizer:
 TOKENS = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("decoded", pa.string())])
 
 
-def encode_decode(docs: DataFrame, path: str, forget: bool = False) -> DataFrame:
+def encode_decode(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, ids array<int>, decoded string: every whole text encoded, and its ids decoded again.
 
-    ``path`` is the tokenizer file, the same on every worker. With ``forget`` a task ends without the words it
-    remembered, for sessions in which many idle Python workers share an executor's memory.
+    ``path`` is the tokenizer file, the same on every worker.
     """
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,8 +296,6 @@ def encode_decode(docs: DataFrame, path: str, forget: bool = False) -> DataFrame
 
         for part in parts:
             yield from batches(rows(part), TOKENS)
-        if forget:
-            coder.forget()
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, ids array<int>, decoded string")
 
