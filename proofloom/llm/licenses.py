@@ -1,21 +1,21 @@
 """License scans by ordered signature rules over whole texts.
 
-A rule is a regular expression with a label, a priority and a keyword. Texts are lower-cased (A-Z) and
-matched as UTF-8 bytes. A rule runs only where its keyword occurs as a word, and then the words of its
-name next to each other. Overlapping detections are
-settled in the order of priority, then length, then place: a detection that lies inside one already
-kept goes, unless it is of a base rule; base rules report every place where their words stand one after
-another.
+A rule is a regular expression with a label, a priority and the words that open it; ``signatures`` has them,
+written by hand. Texts are lower-cased (A-Z) and matched as UTF-8 bytes. A rule runs only where one of its
+words occurs. Overlapping detections are settled in the order of priority, then length, then place: a
+detection that lies inside one already kept goes, unless it is of a base rule; base rules report every place
+where their words stand one after another, and hide only detections of their own label.
 
 Words are runs of ASCII letters and digits and of all bytes above ASCII. Null and empty texts have no
-words and no detections. Rows are independent: repeated rows repeat, an empty table gives an empty
-table, and other columns are not read.
+words and no detections. Rows are independent: repeated rows repeat, a very long text is one row like any
+other, a null doc_id stays null, an empty table gives an empty table, and other columns are not read.
 """
 
 from __future__ import annotations
 
 import functools
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -23,246 +23,60 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from proofloom.llm import signatures
 from proofloom.llm.common import batches, utf8
 
 GAP = rb"[\x00-\x2f\x3a-\x60\x7b-\x7f]+"
-EDGE = rb"(?<![0-9a-z\x80-\xff])%s(?![0-9a-z\x80-\xff])"
+EDGE = rb"(?<![0-9a-z\x80-\xff])(?:%s)(?![0-9a-z\x80-\xff])"
 _WORDS = bytes(c if c >= 0x80 or chr(c).isalnum() else 0x20 for c in range(256))
 
 # The base phrases and their labels.
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
-# Names a license goes by, by label. Rules follow from them by the templates below.
-NAMES = {
-    "0bsd": ["0bsd", "zero clause bsd"],
-    "afl": ["academic free license", "afl 3 0"],
-    "agpl": ["gnu affero general public license", "affero general public license", "agpl", "agplv3", "agpl 3 0"],
-    "apache": ["apache license version 2 0", "apache software license", "apache 2 0", "apache license 2 0"],
-    "apple": ["apple public source license", "apsl"],
-    "artistic": ["artistic license", "artistic license 2 0", "perl artistic license"],
-    "beerware": ["beer ware license", "beerware license"],
-    "blueoak": ["blue oak model license"],
-    "bsd": ["bsd license", "bsd 2 clause", "bsd 3 clause", "simplified bsd license", "new bsd license", "bsd 4 clause", "revised bsd license"],
-    "bsl": ["business source license", "busl 1 1"],
-    "boost": ["boost software license", "bsl 1 0"],
-    "cc-by": ["creative commons attribution", "cc by", "cc by 4 0", "cc by 3 0", "cc by 2 0"],
-    "cc-by-nc": ["creative commons attribution noncommercial", "cc by nc", "cc by nc 4 0", "cc by nc 3 0"],
-    "cc-by-nc-nd": ["cc by nc nd", "creative commons attribution noncommercial noderivatives"],
-    "cc-by-nc-sa": ["cc by nc sa", "creative commons attribution noncommercial sharealike"],
-    "cc-by-nd": ["cc by nd", "creative commons attribution noderivatives"],
-    "cc-by-sa": ["cc by sa", "cc by sa 4 0", "cc by sa 3 0", "creative commons attribution sharealike"],
-    "cc0": ["cc0", "cc0 1 0", "creative commons zero", "creative commons public domain dedication"],
-    "cddl": ["common development and distribution license", "cddl"],
-    "cecill": ["cecill license", "cecill b", "cecill c"],
-    "cpl": ["common public license"],
-    "ecl": ["educational community license"],
-    "elastic": ["elastic license", "elastic license 2 0"],
-    "epl": ["eclipse public license", "epl 2 0", "epl 1 0"],
-    "eupl": ["european union public licence", "european union public license", "eupl"],
-    "gfdl": ["gnu free documentation license", "gfdl"],
-    "gpl": ["gnu general public license", "gnu gpl", "gpl version 2", "gpl version 3", "gplv2", "gplv3", "gpl 2 0", "gpl 3 0"],
-    "isc": ["isc license", "internet systems consortium license"],
-    "lgpl": ["gnu lesser general public license", "lesser general public license", "gnu library general public license", "lgpl", "lgplv3", "lgpl 2 1"],
-    "lppl": ["latex project public license", "lppl"],
-    "mit": ["mit license version", "expat license", "x11 license", "the mit licence"],
-    "mpl": ["mozilla public license", "mpl 2 0", "mpl 1 1"],
-    "ms-pl": ["microsoft public license", "ms pl"],
-    "ms-rl": ["microsoft reciprocal license", "ms rl"],
-    "ncsa": ["university of illinois ncsa open source license"],
-    "ofl": ["sil open font license", "open font license"],
-    "odbl": ["open database license", "odbl", "odc by"],
-    "openssl": ["openssl license"],
-    "osl": ["open software license"],
-    "php": ["php license"],
-    "postgresql": ["postgresql license"],
-    "python": ["python software foundation license", "psf license"],
-    "sspl": ["server side public license", "sspl"],
-    "unlicense": ["the unlicense"],
-    "vim": ["vim license"],
-    "wtfpl": ["do what the fuck you want to public license", "wtfpl"],
-    "zlib": ["zlib license", "zlib libpng license"],
-    "zpl": ["zope public license"],
-}
-
-# Sentences of license texts and notices, by label.
-SENTENCES = [
-    ("agpl", "interact with it remotely through a computer network"),
-    ("apache", "you may not use this file except in compliance with the license"),
-    ("apache", "unless required by applicable law or agreed to in writing"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification"),
-    ("bsd", "redistributions of source code must retain the above copyright notice"),
-    ("bsd", "redistributions in binary form must reproduce the above copyright notice"),
-    ("bsd", "neither the name of the copyright holder nor the names of its contributors"),
-    ("boost", "permission is hereby granted free of charge to any person or organization obtaining a copy"),
-    ("cc-by", "you must give appropriate credit"),
-    ("cc0", "has waived all copyright and related or neighboring rights"),
-    ("gpl", "this program is free software you can redistribute it and or modify"),
-    ("gpl", "either version 2 of the license or at your option any later version"),
-    ("gpl", "either version 3 of the license or at your option any later version"),
-    ("gpl", "but without any warranty without even the implied warranty of"),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose"),
-    ("lgpl", "this library is free software you can redistribute it and or modify"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software"),
-    ("mit", "the above copyright notice and this permission notice shall be included in all copies"),
-    ("mpl", "subject to the terms of the mozilla public license"),
-    ("ofl", "the font software may be sold as part of a larger software package"),
-    ("public-domain", "released into the public domain"),
-    ("public-domain", "dedicated to the public domain"),
-    ("public-domain", "this work is in the public domain"),
-    ("unlicense", "this is free and unencumbered software released into the public domain"),
-    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors"),
-    ("proprietary", "all rights reserved"),
-    ("proprietary", "confidential and proprietary"),
-    ("proprietary", "may not be reproduced without permission"),
-    ("proprietary", "no part of this publication may be reproduced"),
-]
-
-# Addresses of license texts, by label.
-ADDRESSES = {
-    "apache": ["apache.org/licenses"],
-    "bsd": ["opensource.org/licenses/bsd", "opensource.org/license/bsd"],
-    "cc-by": ["creativecommons.org/licenses/by/"],
-    "cc-by-nc": ["creativecommons.org/licenses/by-nc/"],
-    "cc-by-nc-nd": ["creativecommons.org/licenses/by-nc-nd/"],
-    "cc-by-nc-sa": ["creativecommons.org/licenses/by-nc-sa/"],
-    "cc-by-nd": ["creativecommons.org/licenses/by-nd/"],
-    "cc-by-sa": ["creativecommons.org/licenses/by-sa/"],
-    "cc0": ["creativecommons.org/publicdomain/zero"],
-    "epl": ["eclipse.org/legal/epl"],
-    "gpl": ["gnu.org/licenses/gpl", "gnu.org/copyleft/gpl"],
-    "lgpl": ["gnu.org/licenses/lgpl"],
-    "mit": ["opensource.org/licenses/mit", "opensource.org/license/mit"],
-    "mpl": ["mozilla.org/mpl", "mozilla.org/en-us/mpl"],
-    "unlicense": ["unlicense.org"],
-}
-
-# Identifiers written by hand: label, the words that gate the rule, and a regular expression in which a space is any gap.
-# They are short, so they count only after an SPDX tag or a grant.
-_V = "(?:v|version |ver )?"
-SHORT = [
-    ("mit", ["mit"], "mit(?: 0| cmu| modern variant)?"),
-    ("mit", ["expat", "x11"], "expat|x11"),
-    ("isc", ["isc"], "isc"),
-    ("zlib", ["zlib"], "zlib(?: acknowledgement)?|zlib libpng"),
-    ("unlicense", ["unlicense"], "unlicense"),
-    ("postgresql", ["postgresql"], "postgresql"),
-    ("0bsd", ["0bsd"], "0bsd"),
-    ("bsd", ["bsd"], "bsd(?: [1-4] clause)?(?: clear| patent| views| lbnl)?|(?:new|revised|simplified|modified|original|[234] clause) bsd"),
-    ("apache", ["apache"], f"apache(?: {_V} ?[12](?: [01])?)?"),
-    ("gpl", ["gpl", "gplv1", "gplv2", "gplv3"], f"(?:gnu )?gpl ?(?: ?{_V} ?[123](?: 0)?)?"),
-    ("lgpl", ["lgpl", "lgplv2", "lgplv3"], f"(?:gnu )?lgpl(?: ?{_V} ?[23](?: [01])?)?"),
-    ("agpl", ["agpl", "agplv3"], f"(?:gnu )?agpl(?: ?{_V} ?[13](?: 0)?)?"),
-    ("gfdl", ["gfdl"], "gfdl(?: 1 [123])?(?: invariants| no invariants)?"),
-    ("mpl", ["mpl"], f"mpl(?: ?{_V} ?[12] [01])?(?: no copyleft exception)?"),
-    ("epl", ["epl"], f"epl(?: ?{_V} ?[12](?: 0)?)?"),
-    ("eupl", ["eupl"], f"eupl(?: ?{_V} ?1 [012])?"),
-    ("cddl", ["cddl"], f"cddl(?: ?{_V} ?1 [01])?"),
-    ("boost", ["bsl", "boost"], "bsl 1 0|boost(?: software)?"),
-    ("bsl", ["busl"], "busl(?: 1 1)?"),
-    ("artistic", ["artistic"], "artistic(?: [12] 0)?(?: perl| cl8)?"),
-    ("afl", ["afl"], "afl(?: [123] [012])?"),
-    ("osl", ["osl"], "osl(?: [123] [01])?"),
-    ("ofl", ["ofl"], "(?:sil )?ofl(?: 1 [01])?(?: rfn| no rfn)?"),
-    ("cc0", ["cc0"], "cc0(?: 1 0)?"),
-    ("cc-by", ["cc"], "cc by(?: [1-4] [05])?(?! n| s)"),
-    ("python", ["psf", "python"], "psf(?: 2 0)?|python(?: 2 0)?"),
-    ("php", ["php"], "php(?: 3 0(?:1)?)?"),
-    ("ncsa", ["ncsa"], "(?:uiuc )?ncsa"),
-    ("openssl", ["openssl"], "openssl"),
-    ("vim", ["vim"], "vim"),
-    ("zpl", ["zpl"], "zpl(?: [12] [01])?"),
-    ("wtfpl", ["wtfpl"], "wtfpl"),
-    ("beerware", ["beerware"], "beerware"),
-    ("ecl", ["ecl"], "ecl(?: [12] 0)?"),
-    ("cpl", ["cpl"], "cpl(?: 1 0)?"),
-    ("elastic", ["elastic"], "elastic(?: 2 0)?"),
-    ("blueoak", ["blueoak"], "blueoak 1 0 0"),
-]
-#: What must stand before and may stand after an identifier, the words that gate it, priority and confidence.
-CONTEXTS = [
-    ("spdx license identifier [(]?(?:{})(?: only| or later)?", " spdx license identifier ", 92, 1.0),
-    ("(?:(?:re|sub)?licen[cs]ed|released|distributed|available|published) under (?:the )?(?:terms of (?:the )?)?(?:{})(?: only| or later)?(?: style)?(?: licen[cs]es?)?", " under ", 82, 0.95),
-]
-# Names that stand alone, in both spellings.
-LONG = [
-    ("bsd", ["bsd"], f"(?:new |revised |simplified |modified |original )?bsd (?:style )?licen[cs]e|bsd [1-4] clause"),
-    ("gpl", ["gpl", "gplv2", "gplv3"], f"(?:gnu )?gpl ?{_V} ?[123](?: 0)?(?: only| or later)?|gnu gpl|gpl licen[cs]e"),
-    ("gpl", ["gnu"], "gnu general public licen[cs]e"),
-    ("lgpl", ["lgpl", "lesser", "library"], f"lgpl ?{_V} ?[23](?: [01])?(?: only| or later)?|(?:gnu )?(?:lesser|library) general public licen[cs]e"),
-    ("agpl", ["affero"], "(?:gnu )?affero general public licen[cs]e"),
-    ("apache", ["apache"], f"apache (?:software |public )?licen[cs]e(?: {_V} ?[12](?: [01])?)?"),
-    ("mit", ["mit", "expat", "x11"], "(?:mit x11|mit expat|mit|expat|x11) (?:style )?licen[cs]e"),
-    ("isc", ["isc"], "isc (?:style )?licen[cs]e"),
-    ("zlib", ["zlib"], "zlib(?: libpng)? (?:style )?licen[cs]e"),
-    ("mpl", ["mozilla"], f"mozilla public licen[cs]e(?: {_V} ?[12] [01])?"),
-    ("epl", ["eclipse"], f"eclipse public licen[cs]e(?: {_V} ?[12](?: 0)?)?"),
-    ("postgresql", ["postgresql"], "postgresql licen[cs]e"),
-]
-
-#: Template, priority and confidence of the rules made from names; {} is the name.
-TEMPLATES = [
-    ("spdx license identifier {}", 90, 1.0),
-    ("licensed under the {}", 80, 0.95),
-    ("licensed under {}", 79, 0.95),
-    ("released under the {}", 78, 0.9),
-    ("released under {}", 77, 0.9),
-    ("distributed under the {}", 76, 0.9),
-    ("available under the {}", 75, 0.85),
-    ("under the terms of the {}", 74, 0.85),
-    ("{}", 40, 0.7),
-]
-
 
 class Rule(NamedTuple):
     label: str
     pattern: re.Pattern
     priority: int
     confidence: float
-    keyword: bytes
-    needle: bytes
-    base: bool
+    keywords: frozenset[bytes]  # words of which one must occur
+    also: frozenset[bytes] = frozenset()  # if any, one of these too
+    base: bool = False
 
 
 def phrase(words: str) -> bytes:
     return EDGE % GAP.join(re.escape(w.encode()) for w in words.split())
 
 
-def _keyword(words: str) -> bytes:
-    return max(re.findall(r"[0-9a-z]+", words), key=len).encode()
-
-
-def _needle(words: str) -> bytes:
-    return b" %s " % b" ".join(re.findall(rb"[0-9a-z]+", words.encode()))
+def _signature(body: str) -> re.Pattern:
+    return re.compile(EDGE % body.encode().replace(b" ?", b"(?:%s)?" % GAP).replace(b" ", GAP), re.DOTALL)
 
 
-def _rule(label: str, words: str, priority: int, confidence: float, base: bool = False) -> Rule:
-    return Rule(label, re.compile(phrase(words)), priority, confidence, _keyword(words), _needle(words), base)
+def _lines(table: str) -> Iterator[tuple[str, frozenset[bytes], str]]:
+    for line in table.strip().splitlines():
+        label, keywords, body = line.split(" ", 2)
+        yield label, frozenset(k.encode() for k in keywords.split(",")), body
 
 
-def _signature(label: str, body: str, priority: int, confidence: float, gate: str, needle: str) -> Rule:
-    pattern = EDGE % body.encode().replace(b" ?", b"(?:%s)?" % GAP).replace(b" ", GAP)
-    return Rule(label, re.compile(pattern), priority, confidence, gate.encode(), needle.encode(), False)
+@functools.lru_cache(maxsize=1)
+def ordered_rules() -> list[Rule]:
+    """All rules, the base phrases first."""
+    made = [Rule(label, re.compile(phrase(words)), 100, 0.9, frozenset([words.split()[0].encode()]), base=True) for words, label in BASE.items()]
+    made += [Rule(label, _signature(body), 95, 1.0, keys) for label, keys, body in _lines(signatures.SENTENCES)]
+    made += [Rule(label, re.compile(body.encode(), re.DOTALL), 85, 0.9, keys) for label, keys, body in _lines(signatures.ADDRESSES)]
+    for form, needed, priority, confidence in signatures.CONTEXTS:
+        made += [Rule(label, _signature(form.format(body)), priority, confidence, keys, frozenset(needed.encode().split(b","))) for label, keys, body in _lines(signatures.IDENTIFIERS)]
+    made += [Rule(label, _signature(body), 45, 0.75, keys) for label, keys, body in _lines(signatures.NAMES)]
+    return made
 
 
 @functools.lru_cache(maxsize=1)
-def rules() -> dict[bytes, list[Rule]]:
-    """All rules by keyword: the longest word of the rule, or of the name in a rule made from one."""
-    made = [_rule(label, words, 100, 0.9, base=True) for words, label in BASE.items()]
-    made += [_rule(label, words, 95, 1.0) for label, words in SENTENCES]
-    for label, names in NAMES.items():
-        for name in names:
-            gate = {"keyword": _keyword(name), "needle": _needle(name)}
-            made += [_rule(label, form.format(name), p, c)._replace(**gate) for form, p, c in TEMPLATES]
-    for label, places in ADDRESSES.items():
-        made += [_rule(label, a, 85, 0.9)._replace(pattern=re.compile(re.escape(a.encode()))) for a in places]
-    for label, gates, body in SHORT:
-        for form, needle, p, c in CONTEXTS:
-            made += [_signature(label, form.format(body), p, c, gate, needle) for gate in gates]
-    for label, gates, body in LONG:
-        made += [_signature(label, f"(?:{body})", 45, 0.75, gate, f" {gate} ") for gate in gates]
-    by: dict[bytes, list[Rule]] = {}
-    for rule in made:
-        by.setdefault(rule.keyword, []).append(rule)
+def rules() -> dict[bytes, list[int]]:
+    """Places of the rules in ``ordered_rules`` by the words that open them."""
+    by: dict[bytes, list[int]] = {}
+    for k, rule in enumerate(ordered_rules()):
+        for word in rule.keywords:
+            by.setdefault(word, []).append(k)
     return by
 
 
@@ -272,24 +86,49 @@ class Detection(NamedTuple):
     rule: Rule
 
 
+class Cover:
+    """Spans none of which lies inside another, so starts and ends both ascend."""
+
+    def __init__(self):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+
+    def has(self, start: int, end: int) -> bool:
+        k = bisect_right(self.starts, start) - 1
+        return k >= 0 and self.ends[k] >= end
+
+    def add(self, start: int, end: int) -> None:
+        if not self.has(start, end):
+            inner = slice(bisect_left(self.starts, start), bisect_right(self.ends, end))
+            self.starts[inner], self.ends[inner] = [start], [end]
+
+
 def words_of(text: bytes) -> list[bytes]:
     return text.translate(_WORDS).split()
 
 
 def detect(text: bytes, words: list[bytes]) -> list[Detection]:
     """Settled detections of a lower-cased text and its words, by place."""
-    by = rules()
-    spaced, found = b"", []
-    for keyword in by.keys() & set(words):
-        spaced = spaced or b" %s " % b" ".join(words)
-        found += [Detection(m.start(), m.end(), r) for r in by[keyword] if r.needle in spaced for m in r.pattern.finditer(text)]
-    if not found:
-        return found
-    found.sort(key=lambda d: (-d.rule.priority, d.start - d.end, d.start, d.rule.label))
-    kept: list[Detection] = []
+    every, by = ordered_rules(), rules()
+    known = set(words)
+    opened = sorted({k for word in by.keys() & known for k in by[word] if not every[k].also or every[k].also & known})
+    found = [Detection(m.start(), m.end(), every[k]) for k in opened for m in every[k].pattern.finditer(text)]
+    return settle(found)
+
+
+def settle(found: list[Detection]) -> list[Detection]:
+    """What stays of overlapping detections, by place."""
+    found = sorted(found, key=lambda d: (-d.rule.priority, d.start - d.end, d.start, d.rule.label))
+    hidden, of_base, kept = Cover(), {}, []
     for d in found:
-        if d.rule.base or not any(k.start <= d.start and d.end <= k.end for k in kept if not k.rule.base or k.rule.label == d.rule.label):
-            kept.append(d)
+        if d.rule.base:
+            of_base.setdefault(d.rule.label, Cover()).add(d.start, d.end)
+        else:
+            own = of_base.get(d.rule.label)
+            if hidden.has(d.start, d.end) or own is not None and own.has(d.start, d.end):
+                continue
+            hidden.add(d.start, d.end)
+        kept.append(d)
     return sorted(kept, key=lambda d: (d.start, d.end, d.rule.label))
 
 
