@@ -5,6 +5,7 @@ import math
 import re
 import zlib
 
+import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -173,7 +174,7 @@ def plain_fingerprint(text):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
-@pytest.mark.parametrize("hot", [simhash.HOT_SHARD, 2])
+@pytest.mark.parametrize("hot", [simhash.SHARD, 2])
 def test_simhash_components(spark, hot):
     base = "the quick brown fox jumps over the lazy dog near the river bank while birds sing above and clouds move slowly to the east"
     words = base.split()
@@ -194,6 +195,42 @@ def test_simhash_components(spark, hot):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted({label[i] for i, _ in rows})
 
 
+def plain_links(points, radius):
+    return {(min(a, b), max(a, b)) for a in points for b in points if a != b and (a ^ b).bit_count() <= radius}
+
+
+@pytest.mark.parametrize("half", [*simhash.HALVES, simhash.WHOLE])
+def test_vantage_trees_lose_no_neighbour(half):
+    rng = np.random.default_rng(7)
+    centres = rng.integers(0, 1 << 63, 60, dtype=np.uint64)
+    near = [int(c) ^ sum({1 << int(b) for b in rng.integers(0, 64, rng.integers(0, 5))}) for c in centres for _ in range(12)]
+    tight = [1 << i | 1 << j for i in range(20) for j in range(i)]  # hardly anything splits these
+    points = np.array(sorted({*near, *tight, 0}), np.uint64)
+    pairs = {(int(points[i]), int(points[j])) for a, b in simhash.near_pairs(points, half) for i, j in zip(a, b)}
+    want = plain_links([int(p) for p in points], 3)
+    ours = {(min(p), max(p)) for p in pairs}
+    in_half = {(a, b) for a, b in want if ((a ^ b) & half).bit_count() <= (1 if half != simhash.WHOLE else 3)}
+    assert in_half <= ours <= want
+
+
+def test_shards_overlap_at_boundaries():
+    """Neighbours meet in a shard of one of the two trees, however the trees are grown."""
+    rng = np.random.default_rng(8)
+    centres = rng.integers(0, 1 << 63, 300, dtype=np.uint64)
+    near = [int(c) ^ sum({1 << int(b) for b in rng.integers(0, 64, 3)}) for c in centres]
+    points = np.array(sorted({*near, *map(int, centres)}), np.uint64)
+    met = set()
+    for half in simhash.HALVES:
+        tree = simhash.grow(rng.permutation(points)[:200], half, 8)
+        assert tree.shards > 8
+        seen = np.zeros(len(points), int)
+        for _, own in tree.route(points):
+            seen[own] += 1
+            met |= plain_links([int(p) for p in points[own]], 3)
+        assert seen.min() >= 1
+    assert met == plain_links([int(p) for p in points], 3)
+
+
 def test_simhash_keeps_one_of_repeated_rows(spark):
     df = spark.createDataFrame([(1, "same text here"), (1, "same text here"), (2, "quite another text of words"), (None, "no id at all in this row")], "doc_id long, text string")
     assert simhash.deduplicate(df).count() == 3
