@@ -2,15 +2,16 @@
 
 The canonical form of a text is its compatibility composition (NFKC), case-folded and composed again, with
 every run of white space made one space and the ends trimmed. Its fingerprint is 128 bits of xxhash: two
-xxhash64 values of the canonical form, of which the second starts from another seed. Texts of one
+xxhash64 values of the canonical form, of which the second starts from another seed. Documents of one
 fingerprint are compared as canonical bytes; should two differ, the later ones in byte order get a
-suffix, so equal fingerprints always mean equal canonical texts.
+suffix, so documents with equal fingerprints always have equal canonical texts. ``near_next`` and the
+fingerprints of edited texts rest on the 128 bits where no document has such a text.
 
 Null and empty texts have the empty canonical form. The next document is the one with the next larger
 doc_id, after the largest the smallest; where several rows share an id, the smallest text prefix stands
 for it. A row with a null id is nobody's next; its own next is the document with the smallest id. A
-table without any id has the empty text as next. An empty table gives an empty table; only doc_id and
-text are read.
+table without any id has the empty text as next. Repeated rows get equal values; a text of any length is
+one value. An empty table gives an empty table; only doc_id and text are read, so other columns cannot clash.
 """
 
 from __future__ import annotations
@@ -20,8 +21,6 @@ from pyspark.sql import functions as F
 
 from proofloom.llm.common import cut
 
-#: Ids in one bucket of the search for the next id, and the rows that one window over a whole table may see.
-IDS_PER_BUCKET = 1024
 #: White space of Unicode (the property White_Space).
 SPACES = r"[\t-\r \u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
 
@@ -34,9 +33,12 @@ def canonical(text: Column) -> Column:
 
 
 def wide_hash(canon: Column) -> Column:
-    """32 hex digits."""
-    halves = (F.xxhash64(canon), F.xxhash64(F.lit("second"), canon))
-    return F.concat(*(F.lpad(F.lower(F.hex(h)), 16, "0") for h in halves))
+    """32 hex digits. The canonical form is bound once, so that it is not worked out for each half."""
+
+    def digits(c: Column) -> Column:
+        return F.concat(*(F.lpad(F.lower(F.hex(h)), 16, "0") for h in (F.xxhash64(c), F.xxhash64(F.lit("second"), c))))
+
+    return F.transform(F.array(canon), digits)[0]
 
 
 def clashes(docs: DataFrame) -> DataFrame:
@@ -51,18 +53,12 @@ def clashes(docs: DataFrame) -> DataFrame:
 
 
 def following(ids: DataFrame) -> DataFrame:
-    """(id, next) for distinct non-null ids, next null after the largest: buckets of ids, then buckets of buckets."""
-    low, high, n = ids.agg(F.min("id"), F.max("id"), F.count("id")).first()
-    if n <= 2 * IDS_PER_BUCKET:
-        return ids.withColumn("next", F.lead("id").over(Window.orderBy("id")))
-    width = max(1, (high - low + 1) * IDS_PER_BUCKET // n)
-    bucketed = ids.withColumn("bucket", F.floor((F.col("id") - F.lit(low)) / F.lit(width)).cast("long"))
-    inner = bucketed.withColumn("next", F.lead("id").over(Window.partitionBy("bucket").orderBy("id")))
-    firsts = cut(bucketed.groupBy("bucket").agg(F.min("id").alias("first")))
-    after = following(firsts.select(F.col("bucket").alias("id"))).select(F.col("id").alias("bucket"), F.col("next").alias("after"))
-    starts = firsts.select(F.col("bucket").alias("after"), F.col("first").alias("beyond"))
-    ends = after.join(starts, "after").select("bucket", "beyond")
-    return inner.join(ends, "bucket", "left").select("id", F.coalesce("next", "beyond").alias("next"))
+    """(id, next) for distinct non-null ids, next null after the largest: ranges of ids of equal size, then the first of each."""
+    dealt = cut(ids.repartitionByRange("id").withColumn("part", F.spark_partition_id()))
+    inner = dealt.withColumn("next", F.lead("id").over(Window.partitionBy("part").orderBy("id")))
+    firsts = dealt.groupBy("part").agg(F.min("id").alias("first"))  # one row for each partition
+    beyond = firsts.select("part", F.lead("first").over(Window.orderBy("part")).alias("beyond"))
+    return inner.join(beyond, "part").select("id", F.coalesce("next", "beyond").alias("next"))
 
 
 def with_next(docs: DataFrame) -> DataFrame:
