@@ -3,18 +3,19 @@
 ``targets`` gives each source its share of the word budget by weight, stopping at a multiple of what the
 source has; the excess goes to the others by weight until none is above. ``mix`` turns a target into
 words taken from each document: whole passes over the source, then part of one more pass in a fixed
-pseudo-random order (md5 of the id), so that the words taken add up to the target rounded down.
+pseudo-random order (md5 of id and text), so that the words taken add up to the target rounded down.
 Positions follow from the source's weight schedule: its integral up to t is the share of the source's
 demand that training has used by t, so a document at cumulative demand u sits at the inverse of that
 integral. ``curriculum`` repeats documents by what was taken and sorts all of them by position.
 
-A running total over one source never sits in one task: documents are dealt into ``BUCKETS`` buckets by
-their order key, totals of earlier buckets are added afterwards, and only these bounded per-source
-tables see a window over a whole source. Windows over all sources have one row per source.
+A running total over one source never sits in one task: documents are dealt into 4,096 buckets by their
+order key, totals of earlier buckets are added afterwards, and only these bounded per-source tables see a
+window over a whole source. Windows over all sources have one row per source.
 
-Null texts have size 0, a null source is a source of its own that comes last, null ids share one order
-key. Rows that repeat are mixed one by one. An empty table gives an empty table. Other columns are kept
-only by ``curriculum``, whose own columns begin with two underscores.
+Null texts have size 0, a null source is a source of its own that comes last. Null ids and ids that repeat
+are told apart by their texts. Rows that repeat are mixed one by one. An empty table gives an empty table; a
+text of any length is one row. Other columns are kept only by ``curriculum``, whose own columns begin with
+two underscores.
 """
 
 from __future__ import annotations
@@ -35,16 +36,22 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def sizes(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size (words), k (order key) and row_key (id, text and source in one hash)."""
+    """doc_id, source, size (words), k (order key) and row_key (id, text and source in 128 bits)."""
     return docs.select(
         F.col("doc_id").cast("long"),
         F.col("source").cast("string"),
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("k"),
-        F.xxhash64("doc_id", "text", "source").alias("row_key"),
+        F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(" "), F.coalesce(F.col("text").cast("string"), F.lit(""))).cast("binary")).alias("k"),
+        row_key(),
     )
 
 
+def row_key() -> Column:
+    """Two hashes of a row: one of 64 bits is shared by some rows of a very large table."""
+    own = [F.col(c).cast("string") for c in ("doc_id", "text", "source")]
+    return F.struct(F.xxhash64(*own).alias("a"), F.xxhash64(F.lit("second"), *own).alias("b")).alias("row_key")
+
+
 def targets(sized: DataFrame, weights=WEIGHTS, budget=BUDGET, cap=CAP) -> DataFrame:
     """source, turn (place in the order of sources), source_size, target: one row per source."""
     per = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
@@ -114,7 +121,7 @@ def curriculum(docs: DataFrame, **settings) -> DataFrame:
     uses = mixed.groupBy("row_key", "pass", "words", "size").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("at"))
     uses = uses.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
     uses = uses.select(*(F.col(c).alias(f"__{c}") for c in ("row_key", "pass", "words", "size", "at", "copy")))
-    texts = docs.withColumn("__row", F.xxhash64("doc_id", "text", F.col("source").cast("string"))).dropDuplicates(["__row"])
+    texts = docs.withColumn("__row", row_key()).dropDuplicates(["__row"])
     joined = texts.join(uses, F.col("__row") == F.col("__row_key"))
     part = F.array_join(F.slice(F.split("text", r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])"), 1, F.col("__words").cast("int")), "")
     cutoff = F.when(F.col("__words") < F.col("__size"), part).otherwise(F.col("text"))
@@ -125,7 +132,7 @@ def curriculum(docs: DataFrame, **settings) -> DataFrame:
 ORACLE = r"""
 WITH sized AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         md5(coalesce(doc_id::VARCHAR, '')) AS k
+         md5(coalesce(doc_id::VARCHAR, '') || ' ' || coalesce(text, '')) AS k
   FROM documents),
 per AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
 turns AS (SELECT *, row_number() OVER (ORDER BY source ASC NULLS LAST) - 1 AS turn FROM per),
