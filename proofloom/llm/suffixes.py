@@ -1,30 +1,33 @@
 """Suffix-array dedup: bytes covered by a 50-byte string that a smaller document also has are removed.
 
-Sorting every suffix of a corpus moves each byte many times over, so suffixes are sorted only where a
-match is possible. The 50-byte string at each position has a leading token: the smallest hash among its
-16-byte grams. Equal strings have equal leading tokens, and neighbouring positions mostly share one, so
-a document is cut into runs of positions with one token each.
-
-1. Documents are dealt into blocks of bounded size by a hash of the id. Each block sends its distinct
-   tokens, range-partitioned by splitters taken from a sample. A bucket finds the tokens that more than
-   one document has and answers the blocks that sent them.
-2. Each block sends the text of its runs with such tokens, each distinct text once with its smallest
-   document. A token that very many blocks have is sent as its single 50-byte strings instead, spread
-   over the buckets by their own hash, so no bucket gathers the surroundings of a very common passage.
-   A bucket sorts the suffixes of its runs by multikey quicksort on eight-byte keys. Only texts with one
-   token can share a string, so buckets never cut a group of equal strings. Neighbours in the order that
-   agree on 50 bytes form a group, whose smallest document is returned to the blocks.
+Moving every suffix of a corpus with its 50 bytes would move each byte fifty times, so the suffixes that are
+moved are a sample that every string is sure to have: the anchor of a 50-byte string is the position of the
+16-byte gram with the smallest hash among its grams. Equal strings have their anchors at the same place, and
+neighbouring positions mostly share one, so a document is cut into runs of positions with one anchor each.
+
+1. Documents are dealt into blocks of bounded size. Each block sends a hash of each distinct anchor gram, by
+   uniform ranges, and learns which grams more than one document has.
+2. The suffix at each shared anchor is range-partitioned by its leading token, the 16 bytes of the gram, with
+   splitters sampled from all anchors. It takes along the text of its run, each distinct text once for each
+   block with its smallest document. A splitter never stands between equal leading tokens and strings with
+   one anchor gram share that token, so no group of equal strings crosses a boundary and there is nothing
+   left to compare across it. A gram that very many documents have is sent as its single 50-byte strings
+   instead, each under its own leading token, so no bucket gathers the surroundings of a very common passage.
+   A bucket sorts all suffixes of its runs by multikey quicksort on eight-byte keys. Neighbours in the order
+   that agree on 50 bytes form a group, whose smallest document is returned to the blocks.
 3. Each block compares that smallest document with its own and removes what is covered.
 
-Documents that share a token with no other are never sent. Null and empty texts have no strings. A null
-id counts as larger than any other; rows with the same id do not shorten each other, so repeated rows
-stay alike. An empty table gives an empty table. Other columns are kept by ``deduplicate`` as they are.
+Documents that share a gram with no other are never sent. Null and empty texts have no strings. A null id
+counts as larger than any other; rows with the same id do not shorten each other, so repeated rows stay
+alike. A very long text is one block by itself. An empty table gives an empty table. Other columns are kept
+by ``deduplicate`` as they are.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -37,17 +40,18 @@ from proofloom.llm.common import utf8
 
 MATCH = 50
 GRAM = 16
-#: Text bytes in a block of documents, and tokens in a bucket, on average.
+#: Text bytes in a block of documents, and text bytes whose suffixes make a bucket, on average.
 BLOCK_BYTES = 4_000_000
-BUCKET_TOKENS = 1_000_000
-#: Documents sampled for splitters, and tokens taken from each.
-SAMPLED_DOCS = 1000
-SAMPLED_TOKENS = 50
-#: Blocks that have a token beyond which it is sent string by string: fewer take under a hundredth of a bucket.
-HOT_BLOCKS = 2048
-#: Suffixes sorted at once.
+BUCKET_BYTES = 18_000_000
+#: Buckets at most (their splitters go to all tasks), and leading tokens sampled for each.
+MAX_BUCKETS = 1 << 20
+SAMPLED = 16
+SAMPLED_OF_DOC = 50
+#: Documents that have a gram beyond which it is sent string by string.
+HOT_DOCS = 20_000
+#: Suffixes sorted at once, and rows below which a part of the sort is finished by a plain sort.
 SORT_ROWS = 400_000
-_LEAF = 20_000
+_LEAF = 256
 _NO_DOC = np.iinfo(np.int64).max
 _CONCAT = 1 << 18
 _BLOCK = "__block"
@@ -55,6 +59,10 @@ _BLOCK = "__block"
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xBF58476D1CE4E5B9)]
 
 
+_PLACE = np.uint64(63)
+_PLACE_OFF = ~_PLACE
+
+
 def _mixed(high: np.ndarray, low: np.ndarray) -> np.ndarray:
     h = high * _MIX[0] ^ low * _MIX[1]
     h ^= h >> np.uint64(29)
@@ -68,9 +76,10 @@ def _words(data: np.ndarray, at: np.ndarray | slice) -> np.ndarray:
 
 
 def _leading(data: np.ndarray) -> np.ndarray:
-    """For each position with MATCH bytes ahead, the smallest gram hash among those bytes."""
+    """For each position with MATCH bytes ahead, the smallest gram hash among those bytes, with the gram's place in the last six bits."""
     words = _words(data, slice(None))
     least = _mixed(words[: -(GRAM - 8)], words[GRAM - 8 :])
+    least = (least & _PLACE_OFF) | (np.arange(len(least), dtype=np.uint64) & _PLACE)
     width, step = MATCH - GRAM + 1, 1
     while step * 2 <= width:
         least = np.minimum(least[:-step], least[step:])
@@ -79,8 +88,18 @@ def _leading(data: np.ndarray) -> np.ndarray:
     return np.minimum(least[:-rest], least[rest:]) if rest else least
 
 
-def runs(texts: list[bytes]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """(index, first positions, end positions, tokens) for each text that has a string of MATCH bytes."""
+class Runs(NamedTuple):
+    """The runs of one text: first and end positions, a uniform hash of the anchor gram, and the place of the gram."""
+
+    text: int
+    first: np.ndarray
+    end: np.ndarray
+    tokens: np.ndarray
+    anchors: np.ndarray
+
+
+def runs(texts: list[bytes]) -> Iterator[Runs]:
+    """For each text that has a string of MATCH bytes."""
     start = 0
     while start < len(texts):
         stop, size = start, 0
@@ -89,47 +108,58 @@ def runs(texts: list[bytes]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.n
             stop += 1
         if size >= MATCH:
             least = _leading(np.frombuffer(b"".join(texts[start:stop]), np.uint8))
+            hashes = least & _PLACE_OFF
             at = 0
             for i in range(start, stop):
                 n = len(texts[i]) - MATCH + 1
                 if n > 0:
-                    own = least[at : at + n]
+                    own = hashes[at : at + n]
                     change = np.flatnonzero(own[1:] != own[:-1]) + 1
                     first = np.append(0, change)
-                    yield i, first, np.append(change, n), own[first]
+                    place = (least[at + first] & _PLACE).astype(np.int64)
+                    yield Runs(i, first, np.append(change, n), _mixed(own[first], own[first]), first + ((place - at - first) & 63))
                 at += len(texts[i])
         start = stop
 
 
-class Buckets:
-    """Ranges of tokens of ``bits`` bits between sampled splitters, none wider than 32 bits."""
+class Ranges(NamedTuple):
+    """Uniform ranges of gram hashes, each 32 bits wide: 2 ** ``power`` of them."""
+
+    power: int
+
+    def token(self, hashes: np.ndarray) -> np.ndarray:
+        return hashes >> np.uint64(32 - self.power)
+
 
-    def __init__(self, sample: np.ndarray, buckets: int):
-        self.bits = np.uint64(64 - min(63, 31 + max(1, math.ceil(math.log2(buckets)))))
-        top = 1 << (64 - int(self.bits))
-        tokens = np.sort(self.token(sample))
-        cuts = [int(tokens[len(tokens) * k // buckets]) for k in range(1, buckets)] if len(tokens) >= buckets else []
-        edges = sorted({0, *cuts})
-        wide = [range(a + (1 << 32), b, 1 << 32) for a, b in zip(edges, [*edges[1:], top])]
-        self.edges = np.array(sorted({*edges, *(x for w in wide for x in w)}), np.uint64)
+def _lead(text: bytes, at: int) -> bytes:
+    return text[at : at + GRAM]
 
-    def token(self, leading: np.ndarray) -> np.ndarray:
-        return leading >> self.bits
 
-    def place(self, tokens: np.ndarray) -> np.ndarray:
-        return np.searchsorted(self.edges, tokens, side="right") - 1
+class Splitters:
+    """Ordered ranges of leading tokens. Equal tokens are always in one range."""
 
+    def __init__(self, sample: list[bytes], buckets: int):
+        ordered = np.sort(np.array(sample, f"S{GRAM}"))
+        self.edges = np.unique(ordered[len(ordered) * np.arange(1, buckets) // buckets]) if len(ordered) else ordered
+
+    def place(self, leads: list[bytes]) -> np.ndarray:
+        return np.searchsorted(self.edges, np.array(leads, f"S{GRAM}"), side="right")
+
+
+def _sample(docs: DataFrame, rows: int, wanted: int) -> list[bytes]:
+    """About ``wanted`` leading tokens of anchors."""
 
-def _sample(docs: DataFrame, rows: int) -> np.ndarray:
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            for _, _, _, tokens in runs(utf8(part.column(0))):
-                some = tokens[:: -(-len(tokens) // SAMPLED_TOKENS)]
-                yield pa.RecordBatch.from_arrays([pa.array(some.view(np.int64))], names=["token"])
+            texts, leads = utf8(part.column(0)), []
+            for own in runs(texts):
+                some = own.anchors[:: -(-len(own.anchors) // SAMPLED_OF_DOC)]
+                leads += [_lead(texts[own.text], a) for a in some.tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array(leads, pa.binary())], names=["lead"])
 
-    fraction = min(1.0, SAMPLED_DOCS / max(1, rows))
-    taken = docs.select("text").sample(fraction=fraction, seed=7).mapInArrow(run, "token long").toPandas()
-    return taken["token"].to_numpy(np.int64).view(np.uint64)
+    fraction = min(1.0, max(1000, wanted // 8) / max(1, rows))
+    taken = docs.select("text").sample(fraction=fraction, seed=7).mapInArrow(run, "lead binary").toPandas()
+    return [bytes(x) for x in taken["lead"]]
 
 
 def _ids(table: pa.Table) -> np.ndarray:
@@ -144,90 +174,93 @@ def _table(kind: pa.Schema, rows: list[tuple]) -> pa.Table:
     return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), kind)] if rows else [pa.array([], f.type) for f in kind], schema=kind)
 
 
-SENT = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("tokens", pa.binary()), ("several", pa.binary())])
+SENT = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("tokens", pa.binary()), ("docs", pa.binary())])
 SHARED = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("tokens", pa.binary()), ("hot", pa.binary())])
 PIECES = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("packed", pa.binary())])
 
 
-def _send_tokens(buckets: Buckets):
+def _send_tokens(ranges: Ranges):
     def run(table: pa.Table) -> pa.Table:
-        found = [np.unique(buckets.token(tokens)) for _, _, _, tokens in runs(_texts(table))]
+        found = [np.unique(ranges.token(own.tokens)) for own in runs(_texts(table))]
         if not found:
             return _table(SENT, [])
         tokens, counts = np.unique(np.concatenate(found), return_counts=True)
-        places = buckets.place(tokens)
+        places = tokens >> np.uint64(32)
         starts = np.flatnonzero(np.append(True, places[1:] != places[:-1]))
         block, rows = table.column(_BLOCK)[0].as_py(), []
+        low, docs = tokens.astype("<u4"), np.minimum(counts, 255).astype(np.uint8)
         for a, b in zip(starts, np.append(starts[1:], len(tokens))):
-            low = (tokens[a:b] - buckets.edges[places[a]]).astype("<u4")
-            rows.append((int(places[a]), block, low.tobytes(), np.packbits(counts[a:b] > 1).tobytes()))
+            rows.append((int(places[a]), block, low[a:b].tobytes(), docs[a:b].tobytes()))
         return _table(SENT, rows)
 
     return run
 
 
-def _find_shared(hot_blocks: int):
+def _find_shared(hot_docs: int):
     def run(table: pa.Table) -> pa.Table:
         blocks = table.column("block").to_pylist()
         lists = [np.frombuffer(t, "<u4") for t in table.column("tokens").to_pylist()]
-        several = [np.unpackbits(np.frombuffer(s, np.uint8), count=len(t)) for s, t in zip(table.column("several").to_pylist(), lists)]
-        every = np.concatenate(lists)
-        distinct, where, counts = np.unique(every, return_inverse=True, return_counts=True)
-        shared = counts > 1
-        shared[where[np.concatenate(several) > 0]] = True
+        docs = np.concatenate([np.frombuffer(d, np.uint8) for d in table.column("docs").to_pylist()])
+        distinct, where = np.unique(np.concatenate(lists), return_inverse=True)
+        counts = np.bincount(where, docs, len(distinct))
         rows, at = [], 0
         bucket = table.column("bucket")[0].as_py()
         for block, tokens in zip(blocks, lists):
             own = where[at : at + len(tokens)]
-            own = own[shared[own]]
+            own = own[counts[own] > 1]
             at += len(tokens)
             if len(own):
-                rows.append((block, bucket, distinct[own].tobytes(), np.packbits(counts[own] > hot_blocks).tobytes()))
+                rows.append((block, bucket, distinct[own].tobytes(), np.packbits(counts[own] > hot_docs).tobytes()))
         return _table(SHARED, rows)
 
     return run
 
 
-def _known(table: pa.Table, buckets: Buckets) -> tuple[np.ndarray, np.ndarray]:
+def _known(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """Shared tokens of a block in order, and which of them are hot."""
     tokens, hot = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint8)]
     for bucket, low, marks in zip(*(table.column(c).to_pylist() for c in ("bucket", "tokens", "hot"))):
         own = np.frombuffer(low, "<u4")
-        tokens.append(own + buckets.edges[bucket])
+        tokens.append(own + np.uint64(bucket << 32))
         hot.append(np.unpackbits(np.frombuffer(marks, np.uint8), count=len(own)))
     tokens, hot = np.concatenate(tokens), np.concatenate(hot)
     order = np.argsort(tokens)
     return tokens[order], hot[order] > 0
 
 
-def _pieces(texts: list[bytes], ids: np.ndarray, known: np.ndarray, hot: np.ndarray, buckets: Buckets):
-    """Uses of pieces by text, and for each distinct (token, piece) its smallest document.
+def _pieces(texts: list[bytes], ids: np.ndarray, known: np.ndarray, hot: np.ndarray, ranges: Ranges):
+    """Uses of pieces by text, and for each distinct (token, piece) its smallest document and its leading token.
 
     A use is (first position, piece). Hot tokens give one piece of MATCH bytes for each position, whose
-    token is the hash of its own ends.
+    token is the hash of its own ends and whose leading token are its own first bytes.
     """
     uses: list[list[tuple[int, tuple[int, bytes]]]] = [[] for _ in texts]
     least: dict[tuple[int, bytes], int] = {}
+    leads: dict[tuple[int, bytes], bytes] = {}
     if not len(known):
-        return uses, least
-    for i, first, end, leading in runs(texts):
-        tokens = buckets.token(leading)
+        return uses, least, leads
+    for own in runs(texts):
+        tokens = ranges.token(own.tokens)
         at = np.minimum(np.searchsorted(known, tokens), len(known) - 1)
         hit = np.flatnonzero(known[at] == tokens)
-        text, doc = texts[i], int(ids[i])
-        for a, b, token, single in zip(first[hit].tolist(), end[hit].tolist(), tokens[hit].tolist(), hot[at[hit]].tolist()):
+        text, doc, mine = texts[own.text], int(ids[own.text]), uses[own.text]
+        for a, b, token, anchor, single in zip(*(x[hit].tolist() for x in (own.first, own.end, tokens, own.anchors, hot[at]))):
             if not single:
-                found = [(a, (token, text[a : b + MATCH - 1]))]
-            else:
-                data = np.frombuffer(text, np.uint8, b - a + MATCH - 1, a)
-                words = _words(data, slice(None))[: b - a + MATCH - 8]
-                own = buckets.token(_mixed(words[: b - a], words[MATCH - 8 :]))
-                found = [(p, (t, text[p : p + MATCH])) for p, t in zip(range(a, b), own.tolist())]
-            uses[i] += found
-            for _, key in found:
+                key = (token, text[a : b + MATCH - 1])
+                mine.append((a, key))
                 if least.get(key, _NO_DOC) >= doc:
                     least[key] = doc
-    return uses, least
+                    leads.setdefault(key, text[anchor : anchor + GRAM])
+                continue
+            words = _words(np.frombuffer(text, np.uint8, b - a + MATCH - 1, a), slice(None))[: b - a + MATCH - 8]
+            singles = ranges.token(_mixed(words[: b - a], words[MATCH - 8 :]))
+            for p, t in zip(range(a, b), singles.tolist()):
+                key = (t, text[p : p + MATCH])
+                mine.append((p, key))
+                if least.get(key, _NO_DOC) >= doc:
+                    least[key] = doc
+                    leads.setdefault(key, key[1][:GRAM])
+    return uses, least, leads
 
 
 def _pack(tokens: np.ndarray, docs: np.ndarray, numbers: np.ndarray, pieces: list[bytes]) -> bytes:
@@ -246,29 +279,34 @@ def _unpack(packed: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[byt
     return tokens, docs, numbers, [data[e - k : e] for e, k in zip(ends, sizes.tolist())]
 
 
-def _send_pieces(buckets: Buckets):
+def _send_pieces(ranges: Ranges, splitters: Splitters):
     def run(docs: pa.Table, shared: pa.Table) -> pa.Table:
         if not docs.num_rows or not shared.num_rows:
             return _table(PIECES, [])
-        _, least = _pieces(_texts(docs), _ids(docs), *_known(shared, buckets), buckets)
+        _, least, leads = _pieces(_texts(docs), _ids(docs), *_known(shared), ranges)
         keys = sorted(least)
         if not keys:
             return _table(PIECES, [])
-        tokens = np.array([k[0] for k in keys], np.uint64)
-        owners = np.array([least[k] for k in keys], np.int64)
-        places = buckets.place(tokens)
+        places = splitters.place([leads[k] for k in keys])
+        numbers = np.argsort(places, kind="stable")
+        tokens = np.array([k[0] for k in keys], np.uint64)[numbers]
+        owners = np.array([least[k] for k in keys], np.int64)[numbers]
+        places = places[numbers]
         block = docs.column(_BLOCK)[0].as_py()
         starts = np.flatnonzero(np.append(True, places[1:] != places[:-1])).tolist()
         rows = []
         for a, b in zip(starts, [*starts[1:], len(keys)]):
-            rows.append((int(places[a]), block, _pack(tokens[a:b], owners[a:b], np.arange(a, b), [k[1] for k in keys[a:b]])))
+            rows.append((int(places[a]), block, _pack(tokens[a:b], owners[a:b], numbers[a:b], [keys[n][1] for n in numbers[a:b].tolist()])))
         return _table(PIECES, rows)
 
     return run
 
 
 def multikey_order(keys: list[np.ndarray]) -> np.ndarray:
-    """Order of rows by several keys: three-way partition on one key, equal rows go on with the next."""
+    """Order of rows by several keys: three-way partition on one key, equal rows go on with the next.
+
+    Parts of a few rows are finished by a plain sort, as quicksort commonly does.
+    """
     order = np.empty(len(keys[0]), np.int64)
     filled, stack = 0, [(np.arange(len(order)), 0)]
     while stack:
@@ -375,13 +413,13 @@ def covered(dups: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(starts.tolist(), ends.tolist()))
 
 
-def _remove(buckets: Buckets, kind: pa.Schema):
+def _remove(ranges: Ranges, kind: pa.Schema):
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
         texts, ids = _texts(docs), _ids(docs)
         answers = answers.select(["block", "bucket", "tokens", "hot"])
         sign = answers.column("bucket").to_numpy() >= 0 if answers.num_rows else np.zeros(0, bool)
         shared, verdicts = answers.filter(pa.array(sign)), _read_verdicts(answers.filter(pa.array(~sign)))
-        uses, least = _pieces(texts, ids, *_known(shared, buckets), buckets)
+        uses, least, _ = _pieces(texts, ids, *_known(shared), ranges)
         number = {key: n for n, key in enumerate(sorted(least))}
         all_spans, kept = [], []
         for text, doc, own in zip(texts, ids.tolist(), uses):
@@ -401,7 +439,7 @@ def _remove(buckets: Buckets, kind: pa.Schema):
     return run
 
 
-def removals(docs: DataFrame, block_bytes=BLOCK_BYTES, bucket_tokens=BUCKET_TOKENS, hot_blocks=HOT_BLOCKS, whole=False) -> DataFrame:
+def removals(docs: DataFrame, block_bytes=BLOCK_BYTES, bucket_bytes=BUCKET_BYTES, hot_docs=HOT_DOCS, whole=False) -> DataFrame:
     """The columns of ``docs`` (among them doc_id and text) and n_bytes, spans (removed byte ranges), kept.
 
     ``kept`` has the remaining bytes, or with ``whole`` a text, in which a character that lost some bytes is
@@ -410,17 +448,19 @@ def removals(docs: DataFrame, block_bytes=BLOCK_BYTES, bucket_tokens=BUCKET_TOKE
     docs = docs.drop("n_bytes", "spans", "kept").withColumns({"doc_id": F.col("doc_id").cast("long"), "text": F.col("text").cast("string")})
     rows, size = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     blocks = max(1, -(-size // block_bytes))
-    buckets = Buckets(_sample(docs, rows), max(1, -(-size // (18 * bucket_tokens))))
-    dealt = docs.withColumn(_BLOCK, F.pmod(F.xxhash64("doc_id"), F.lit(blocks)))
+    buckets = min(MAX_BUCKETS, max(1, -(-size // bucket_bytes)))
+    ranges = Ranges(min(31, math.ceil(math.log2(buckets))))
+    splitters = Splitters(_sample(docs, rows, SAMPLED * buckets), buckets)
+    dealt = docs.withColumn(_BLOCK, F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)))
     by_block = dealt.groupBy(_BLOCK)  # one shuffle of the texts serves all three steps
-    sent = by_block.applyInArrow(_send_tokens(buckets), "bucket int, block long, tokens binary, several binary")
-    shared = sent.groupBy("bucket").applyInArrow(_find_shared(hot_blocks), "block long, bucket int, tokens binary, hot binary")
-    pieces = by_block.cogroup(shared.groupBy("block")).applyInArrow(_send_pieces(buckets), "bucket int, block long, packed binary")
+    sent = by_block.applyInArrow(_send_tokens(ranges), "bucket int, block long, tokens binary, docs binary")
+    shared = sent.groupBy("bucket").applyInArrow(_find_shared(hot_docs), "block long, bucket int, tokens binary, hot binary")
+    pieces = by_block.cogroup(shared.groupBy("block")).applyInArrow(_send_pieces(ranges, splitters), "bucket int, block long, packed binary")
     verdicts = pieces.groupBy("bucket").applyInArrow(_sort_bucket, "block long, bucket int, tokens binary, hot binary")
     nothing = F.expr("cast(array() as array<struct<start:long,end:long>>)")
     out = docs.withColumns({"n_bytes": F.lit(0).cast("long"), "spans": nothing, "kept": F.lit("" if whole else b"")})
     kind = to_arrow_schema(out.schema)
-    return by_block.cogroup(shared.unionByName(verdicts).groupBy("block")).applyInArrow(_remove(buckets, kind), out.schema)
+    return by_block.cogroup(shared.unionByName(verdicts).groupBy("block")).applyInArrow(_remove(ranges, kind), out.schema)
 
 
 def deduplicate(docs: DataFrame, **settings) -> DataFrame:

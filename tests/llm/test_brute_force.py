@@ -124,7 +124,7 @@ def plain_removals(rows):
     return out
 
 
-@pytest.mark.parametrize("settings", [{}, {"block_bytes": 2000, "bucket_tokens": 50, "hot_blocks": 1}])
+@pytest.mark.parametrize("settings", [{}, {"block_bytes": 2000, "bucket_bytes": 3000, "hot_docs": 1}, {"block_bytes": 500, "bucket_bytes": 200, "hot_docs": 3}])
 def test_suffix_removals(docs, settings):
     known = docs.filter("doc_id is not null")
     got = {r["doc_id"]: (r["n_bytes"], sum(s["end"] - s["start"] for s in r["spans"]), len(r["spans"]), hashlib.sha256(bytes(r["kept"])).hexdigest()) for r in suffixes.removals(known.select("doc_id", "text"), **settings).collect()}
