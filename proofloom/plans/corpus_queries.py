@@ -193,15 +193,14 @@ def structure_bonus_availability(spark, sf_dir):
     return diagnostics.bonus_availability(tables.chunks(spark, sf_dir))
 
 
-@query("""SELECT doc_id, n_matches, longest, rule FROM (SELECT doc_id, 'email' AS rule, regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}') AS h FROM documents
-  UNION ALL SELECT doc_id, 'ipv4', regexp_extract_all(text, '\\b(?:\\d{1,3}\\.){3}\\d{1,3}\\b') FROM documents
-  UNION ALL SELECT doc_id, 'phone', regexp_extract_all(text, '\\+\\d{1,3}[ -]?\\d{2,4}[ -]?\\d{3}[ -]?\\d{3,4}') FROM documents
-  UNION ALL SELECT doc_id, 'aws_key', regexp_extract_all(text, '\\bAKIA[0-9A-Z]{16}\\b') FROM documents
-  UNION ALL SELECT doc_id, 'secret_key', regexp_extract_all(text, '\\bsk-[A-Za-z0-9_-]{16,}') FROM documents
-  UNION ALL SELECT doc_id, 'bearer', regexp_extract_all(text, '(?i:bearer)\\s+[A-Za-z0-9._-]{16,}') FROM documents
-  UNION ALL SELECT doc_id, 'private_key', regexp_extract_all(text, '-----BEGIN [A-Z ]*PRIVATE KEY-----') FROM documents
-  UNION ALL SELECT doc_id, 'jwt', regexp_extract_all(text, '\\beyJ[A-Za-z0-9_-]{8,}\\.[A-Za-z0-9_-]{8,}\\.') FROM documents),
-  LATERAL (SELECT len(h)::INTEGER AS n_matches, list_max(list_transform(h, lambda x: length(x)))::INTEGER AS longest) WHERE len(h) > 0""".replace("\\\\", "\\"))
+def _forbidden_sql(source: str, key: str, text: str) -> str:
+    quoted = {n: "'" + p.replace("'", "''") + "'" for n, p in json_files.FORBIDDEN.items()}
+    return f"SELECT {key}, rule, len(h)::INTEGER AS n_matches, list_max(list_transform(h, lambda x: length(x)))::INTEGER AS longest FROM (" + " UNION ALL ".join(
+        f"SELECT {key}, '{name}' AS rule, regexp_extract_all({text}, {pattern}, 1) AS h FROM {source}" for name, pattern in quoted.items()
+    ) + ") WHERE len(h) > 0"
+
+
+@query(_forbidden_sql("documents", "doc_id", "text"))
 def forbidden_data_scan(spark, sf_dir):
     return json_files.forbidden_data(tables.scan(spark, sf_dir, "documents"), "doc_id", "text")
 

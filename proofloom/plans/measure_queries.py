@@ -278,11 +278,6 @@ def admission_policies(spark, sf_dir):
     return statistics.admission_metrics(signals(spark, sf_dir), statistics.policy_grid(spark))
 
 
-@query()
-def selected_policy(spark, sf_dir):
-    return statistics.select_policy(admission_policies(spark, sf_dir))
-
-
 @query("""SELECT scenario_id, label, difficulty, CASE WHEN (row_number() OVER (PARTITION BY label, difficulty ORDER BY scenario_id) - 1) % 2 = 0 THEN 'DEV' ELSE 'HELD_OUT' END AS split
   FROM (SELECT l.doc_id AS scenario_id, quality AS label, toxic AS difficulty FROM labels l)""")
 def stratified_split(spark, sf_dir):
