@@ -1,8 +1,10 @@
 """Lexical retrieval over a table of questions at once: variants, matching, quotas, scoring, eligibility, top-k.
 
-Candidates come from an inverted join: the distinct words of a question meet the distinct words of the
-admissible chunks of the same institution and language, so no question is compared with every chunk.
-Everything after that is Column arithmetic on the arrays of a (question, chunk) pair.
+Candidates come from an inverted join within an institution and language. A variant that asks for several
+things at once meets chunks only on the one that fewest chunks have, so a common word pairs nothing by itself;
+alternatives meet on each of their words. Pairs are ids alone until a variant's quota is drawn: whether they
+match is read from the chunk's words, what they are worth from the places of the question's terms. Only the
+few candidates that are left meet the arrays of their chunk, and from there on all is Column arithmetic.
 
 Questions have question_id, institution_id, language, query (normalised). Chunks have chunk_id, document_id,
 chunk_index, institution_id, language, content, normalized, title, section_title, structure_type.
@@ -10,8 +12,6 @@ chunk_index, institution_id, language, content, normalized, title, section_title
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -109,23 +109,107 @@ def matches(words: Column, units: Column) -> Column:
     return F.aggregate(units, start, step, lambda acc: acc["all"] & acc["last"])
 
 
+def _grouped(units: Column) -> Column:
+    """array<struct<group, negated, phrase>>: units that are alternatives of each other have one group."""
+    number = lambda i: F.size(F.filter(F.slice(units, 1, i + 1), lambda u: ~u["alternative"]))
+    return F.transform(units, lambda u, i: F.struct(number(i).alias("group"), u["negated"].alias("negated"), u["phrase"].alias("phrase")))
+
+
+def meeting_words(variants: DataFrame, hits: DataFrame) -> DataFrame:
+    """question_id, turn, institution_id, language, word: the words on which each variant meets chunks.
+
+    Of the groups that must all match, the one with the fewest hits is met; of a phrase, its rarest word. ``variants`` have
+    units, ``hits`` one row for each (institution_id, language, word, chunk). A variant of negations alone has no word.
+    """
+    place = ["institution_id", "language"]
+    flat = variants.select(*place, "question_id", "turn", F.posexplode(_grouped(F.col("units"))).alias("unit", "u")).select(*place, "question_id", "turn", "unit", "u.*")
+    owner = ["question_id", "turn"]
+    open_ = flat.groupBy(*owner, "group").agg(F.max("negated").alias("no")).filter("NOT no").drop("no")
+    words = flat.join(open_, [*owner, "group"]).withColumn("word", F.explode(F.array_distinct("phrase")))
+    counts = hits.groupBy(*place, "word").agg(F.count(F.lit(1)).alias("n"))
+    rarest = words.join(counts, [*place, "word"], "left").groupBy(*place, *owner, "group", "unit").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word")).alias("rarest"))
+    best = rarest.groupBy(*owner, "group").agg(F.sum("rarest.n").alias("cost")).groupBy(*owner).agg(F.min(F.struct("cost", "group")).alias("best"))
+    chosen = rarest.join(best.select(*owner, F.col("best.group").alias("group")), [*owner, "group"])
+    return chosen.select(*place, *owner, F.col("rarest.word").alias("word")).distinct()
+
+
 def match_candidates(variants: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(variant, chunk) pairs that match, found through shared words and then tested in full.
+    """question_id, turn, chunk_id, document_id, chunk_index of the pairs that match.
 
-    A question asked with negations only has no word to meet on and matches nothing.
+    A variant of negations alone meets every chunk of its institution and language, as it asks for.
     """
-    units = variants.withColumn("units", parse_websearch(F.col("input")))
-    positive = F.array_distinct(F.flatten(F.transform(F.filter("units", lambda u: ~u["negated"]), lambda u: u["phrase"])))
-    asked = units.withColumn("word", F.explode(positive)).select("institution_id", "language", "word", "question_id", "turn")
-    held = chunks.select("institution_id", "language", "chunk_id", F.explode(F.array_distinct("words")).alias("word"))
-    met = held.join(asked, ["institution_id", "language", "word"]).select("question_id", "turn", "chunk_id").distinct()
-    pairs = met.join(units, ["question_id", "turn"]).join(chunks.drop("institution_id", "language"), "chunk_id")
-    return pairs.filter(matches(F.col("words"), F.col("units"))).drop("units")
+    place, owner, ids = ["institution_id", "language"], ["question_id", "turn"], ["chunk_id", "document_id", "chunk_index"]
+    asked = variants.select(*place, *owner, parse_websearch(F.col("input")).alias("units")).filter(F.size("units") > 0)
+    words = asked.select(*place, F.explode(F.flatten(F.transform("units", lambda u: u["phrase"]))).alias("word")).distinct()
+    hits = chunks.select(*place, *ids, F.explode(F.array_distinct("words")).alias("word")).join(words, [*place, "word"], "left_semi")
+    meet = meeting_words(asked, hits)
+    found = hits.join(meet, [*place, "word"]).select(*owner, *ids).distinct()
+    only_not = asked.filter(F.forall("units", lambda u: u["negated"] | u["alternative"]) & F.get("units", F.lit(0))["negated"])
+    found = found.unionByName(chunks.select(*place, *ids).join(only_not.join(meet, owner, "left_anti"), place).select(*owner, *ids))
+    simple = F.forall("units", lambda u: ~u["negated"] & (F.size(u["phrase"]) == 1)) & F.forall(F.slice("units", 2, 1000), lambda u: u["alternative"])
+    plain = found.join(asked.filter(simple).select(*owner), owner, "left_semi")  # alternatives of single words: met is matched
+    tested = found.join(asked.filter(~simple).select(*owner, "units"), owner).join(chunks.select("chunk_id", "words"), "chunk_id")
+    return plain.unionByName(tested.filter(matches(F.col("words"), F.col("units"))).select(*owner, *ids))
+
+
+def with_arrays(pairs: DataFrame, questions: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Pairs with everything known of their question and their chunk."""
+    own = [c for c in chunks.columns if c not in ("institution_id", "language", "document_id", "chunk_index")]
+    return pairs.join(questions.drop("turn", "strategy", "priority", "input", "quota"), "question_id").join(chunks.select(*own), "chunk_id")
 
 
-def term_frequency(pairs: DataFrame) -> DataFrame:
-    """Adds raw_score inside the JVM: how many places hold a question term, in tenths. Stands in for cover density."""
-    return pairs.withColumn("raw_score", F.size(F.filter("keys", lambda k: F.array_contains(F.col("terms"), k))) / F.lit(10.0))
+# ---- what a match is worth --------------------------------------------------------------------------------------
+
+
+def places_of_terms(questions: DataFrame, chunks: DataFrame) -> DataFrame:
+    """question_id, chunk_id, term (its number), position of every place of a question's terms in its institution's chunks."""
+    place = ["institution_id", "language"]
+    asked = questions.select(*place, "question_id", F.posexplode("terms").alias("term", "key"))
+    held = chunks.select(*place, "chunk_id", F.explode(F.arrays_zip("keys", "positions")).alias("p")).select(*place, "chunk_id", F.col("p.keys").alias("key"), F.col("p.positions").alias("position"))
+    return held.join(asked, [*place, "key"]).select("question_id", "chunk_id", "term", "position")
+
+
+def term_worth(places: DataFrame) -> DataFrame:
+    """question_id, chunk_id, raw_score of alternatives: each place that holds a term is a cover by itself and worth a tenth."""
+    return places.groupBy("question_id", "chunk_id").agg((F.count(F.lit(1)) / F.lit(10.0)).alias("raw_score"))
+
+
+def cover_worth(places: DataFrame, questions: DataFrame) -> DataFrame:
+    """question_id, chunk_id, raw_score of conjunctions by cover density.
+
+    A cover is a shortest stretch that holds every term: for each place, it begins at the latest place that still has all
+    terms behind it; of stretches with one beginning the shortest counts. A cover is worth a tenth, divided by one more
+    than the words in it that are no term.
+    """
+    pair = ["question_id", "chunk_id"]
+    rows = places.join(questions.select("question_id", F.size("terms").alias("n")), "question_id")
+    so_far = Window.partitionBy(*pair).orderBy("position").rangeBetween(Window.unboundedPreceding, 0)
+    last = [F.max(F.when(F.col("term") == k, F.col("position"))).over(so_far) for k in range(lx.MAX_TERMS)]
+    whole = F.forall(F.array(*(F.coalesce(x.isNotNull(), F.lit(False)) | (F.lit(k) >= F.col("n")) for k, x in enumerate(last))), lambda b: b)
+    ends = rows.withColumns({"start": F.least(*last), "whole": whole, "upto": F.count(F.lit(1)).over(so_far)}).filter("whole")
+    covers = ends.groupBy(*pair, "start").agg(F.min("position").alias("stop"), F.min("upto").alias("upto"))
+    before = rows.groupBy(*pair, "position").agg(F.count(F.lit(1)).alias("here"), F.min("n").alias("n")).withColumn("upto_start", F.sum("here").over(so_far))
+    opened = covers.join(before.select(*pair, F.col("position").alias("start"), "here", "upto_start"), [*pair, "start"])
+    inside = F.col("upto") - F.col("upto_start") + F.col("here")
+    noise = F.greatest(F.lit(0), F.col("stop") - F.col("start") - (inside - 1))
+    return opened.groupBy(*pair).agg(F.sum(F.lit(0.1) / (F.lit(1) + noise)).alias("raw_score"))
+
+
+CONJUNCTIVE = ("exact", "reduced_and", "canonical_relaxed_and")
+
+
+def scored(pairs: DataFrame, variants: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Pairs with strategy, priority, quota and raw_score: cover density for conjunctions, places for alternatives."""
+    told = pairs.join(variants.select("question_id", "turn", "strategy", "priority", "quota"), ["question_id", "turn"])
+    questions = variants.select("question_id", "institution_id", "language", "terms").dropDuplicates(["question_id"])
+    places = places_of_terms(questions, chunks)
+    both = ["question_id", "chunk_id"]
+    conjunctive = F.col("strategy").isin(*CONJUNCTIVE)
+    joint = told.filter(conjunctive).select(*both).distinct()
+    covers = cover_worth(places.join(joint, both, "left_semi"), questions)
+    apart = told.filter(~conjunctive).join(term_worth(places), both, "left")
+    rows = told.filter(conjunctive).join(covers, both, "left").unionByName(apart)
+    return rows.withColumn("raw_score", F.coalesce("raw_score", F.lit(0.0)))
 
 
 def take_quota(pairs: DataFrame) -> DataFrame:
@@ -136,12 +220,8 @@ def take_quota(pairs: DataFrame) -> DataFrame:
 
 def merge_variants(taken: DataFrame) -> DataFrame:
     """One row for each question and chunk: best strategy, largest raw score."""
-    payload = [c for c in taken.columns if c not in ("question_id", "chunk_id", "turn", "strategy", "priority", "input", "quota", "raw_score", "variant_rank")]
-    return taken.groupBy("question_id", "chunk_id").agg(
-        F.max_by("strategy", "priority").alias("strategy"),
-        F.max("priority").alias("priority"),
-        F.max("raw_score").alias("raw_score"),
-        *(F.first(c).alias(c) for c in payload),
+    return taken.groupBy("question_id", "chunk_id", "document_id", "chunk_index").agg(
+        F.max_by("strategy", "priority").alias("strategy"), F.max("priority").alias("priority"), F.max("raw_score").alias("raw_score")
     )
 
 
@@ -247,13 +327,14 @@ def ranked(rows: DataFrame, top_k: int) -> DataFrame:
     return rows.filter("status = 'kept'").withColumn("rank", F.row_number().over(total_order())).filter(F.col("rank") <= top_k)
 
 
-def candidates(questions: DataFrame, index: DataFrame, top_k: int = 5, raw_score: Callable[[DataFrame], DataFrame] = term_frequency) -> DataFrame:
+def candidates(questions: DataFrame, variants: DataFrame, index: DataFrame) -> DataFrame:
     """Decided candidates of every question: the table that ranking, traces and experiments share.
 
-    ``index`` are analysed chunks; they are read twice, for words and for arrays, so store or persist them.
+    ``questions`` are analysed, ``variants`` their planned variants, ``index`` analysed chunks. Each is read several times
+    (chunks for words, for places and for arrays), so all three should be stored tables.
     """
-    pairs = match_candidates(planned_variants(analyze_questions(questions), top_k), index)
-    return decide(features(merge_variants(take_quota(raw_score(pairs)))))
+    merged = merge_variants(take_quota(scored(match_candidates(variants, index), variants, index)))
+    return decide(features(with_arrays(merged, questions, index)))
 
 
 def trace(rows: DataFrame) -> DataFrame:

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,7 +10,7 @@ from proofloom.functions.text import normalize_text
 from proofloom.operators import answering, contracts, diagnostics, metrics, retrieval
 from proofloom.plans.declare import query
 from proofloom.plans.measure_queries import _DECIDED, _SIGNALS, LISTS, _fact_sql, _facts, presence, signals
-from proofloom.plans.search_queries import TOP_K, decided, index, search_chunks
+from proofloom.plans.search_queries import _TF_RANK, TOP_K, asked, decided, index, search_chunks
 from proofloom.plans.views import WORD, normal
 from proofloom.sources import tables
 
@@ -35,26 +32,12 @@ def postings(spark, sf_dir):
     return stems.postings(search_chunks(spark, sf_dir))
 
 
-def cover_density(pairs: DataFrame) -> DataFrame:
-    """Adds raw_score by cover density over the question terms that a chunk has."""
-    zipped = F.arrays_zip("keys", "positions")
-    places = F.transform("terms", lambda t: F.transform(F.filter(zipped, lambda z: z["keys"] == t), lambda z: z["positions"]))
-    rows = pairs.withColumns({"__places": places, "raw_score": F.lit(0.0)})
-
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            found = [stems.cover_density([x for x in p if x]) for p in part.column("__places").to_pylist()]
-            part = part.drop_columns(["__places"])
-            yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(found, pa.float64())], schema=part.schema)
-
-    return rows.mapInArrow(run, rows.drop("__places").schema)
-
-
-@query()
-def cover_density_topk(spark, sf_dir):
-    """Ranked evidence with the cover-density raw score instead of the stand-in."""
-    rows = retrieval.candidates(tables.questions(spark, sf_dir), index(spark, sf_dir), TOP_K, cover_density)
-    return retrieval.ranked(rows, TOP_K).select("question_id", "rank", "chunk_id", "raw_score", "score")
+@query(f"""WITH {_TF_RANK} SELECT question_id, chunk_id, round(density, 9) AS density FROM dens""")
+def cover_density(spark, sf_dir):
+    """Cover density of every question in every admissible chunk that holds all its terms."""
+    questions = asked(spark, sf_dir)
+    found = retrieval.cover_worth(retrieval.places_of_terms(questions, index(spark, sf_dir)), questions)
+    return found.select("question_id", "chunk_id", F.round("raw_score", 9).alias("density"))
 
 
 @query(f"""WITH {_DECIDED}, r AS (SELECT question_id, chunk_id, round(score, 6) AS score, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, coverage DESC, quality DESC, raw_score DESC,
@@ -135,8 +118,8 @@ def failure_conclusions(spark, sf_dir):
     rows = decided(spark, sf_dir)
     keys = ["question_id", "document_id"]
     there = lambda df, name: df.select(*keys).distinct().withColumn(name, F.lit(True))
-    asked = tables.questions(spark, sf_dir).select("question_id", "institution_id")
-    open_to = search_chunks(spark, sf_dir).select("institution_id", "document_id").distinct().join(asked, "institution_id")
+    owners = tables.questions(spark, sf_dir).select("question_id", "institution_id")
+    open_to = search_chunks(spark, sf_dir).select("institution_id", "document_id").distinct().join(owners, "institution_id")
     targets = tables.judgments(spark, sf_dir).select(*keys)
     for name, df in (("admissible", open_to), ("candidate", rows), ("kept", rows.filter("status = 'kept'")), ("returned", retrieval.ranked(rows, TOP_K))):
         targets = targets.join(there(df, name), keys, "left").fillna(False, [name])

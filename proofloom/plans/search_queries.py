@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +12,7 @@ from proofloom.plans.corpus_queries import admissible
 from proofloom.plans.declare import query
 from proofloom.plans.views import EN, WORD, normal
 from proofloom.sources import tables
+from proofloom.sources.stored import stored, stored_once
 
 TOP_K = 5
 
@@ -26,12 +26,23 @@ def search_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The analysed chunks, kept for the session: equal plans of later queries read them from there."""
-    return retrieval.analyze_chunks(search_chunks(spark, sf_dir)).persist(StorageLevel.MEMORY_AND_DISK)
+    """The analysed chunks, stored: readers of words, places or arrays scan only those columns."""
+    return stored_once(spark, sf_dir, "index", lambda: retrieval.analyze_chunks(search_chunks(spark, sf_dir)))
+
+
+def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The analysed questions, stored."""
+    return stored_once(spark, sf_dir, "asked", lambda: retrieval.analyze_questions(tables.questions(spark, sf_dir)))
 
 
 def decided(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.candidates(tables.questions(spark, sf_dir), index(spark, sf_dir), TOP_K)
+    """The decided candidates, stored: ranking, traces, measures and answers all read them."""
+
+    def make() -> DataFrame:
+        variants = stored(retrieval.planned_variants(asked(spark, sf_dir), TOP_K))
+        return retrieval.candidates(asked(spark, sf_dir), variants, index(spark, sf_dir))
+
+    return stored_once(spark, sf_dir, "decided", make)
 
 
 @query("SELECT question_id, institution_id, query FROM questions")
@@ -55,7 +66,7 @@ _PLAN = f"""p AS (SELECT question_id, query, informative, raw, list_contains(raw
 @query(f"WITH {_PLAN} SELECT question_id, turn, strategy, priority, input, (25 // n_variants + (CASE WHEN turn < 25 % n_variants THEN 1 ELSE 0 END))::INTEGER AS quota FROM plan")
 def query_plan_variants(spark, sf_dir):
     """Variants and quotas of every question (no benchmark question has an ordinal or a range)."""
-    plan = retrieval.planned_variants(retrieval.analyze_questions(tables.questions(spark, sf_dir)), TOP_K)
+    plan = retrieval.planned_variants(asked(spark, sf_dir), TOP_K)
     return plan.select("question_id", F.col("turn").cast("long"), "strategy", "priority", "input", "quota")
 
 
@@ -68,8 +79,8 @@ def budget_quotas(spark, sf_dir):
 
 def _matched(spark: SparkSession, sf_dir: str, text: Column) -> DataFrame:
     """How many admissible chunks match a query made from each question."""
-    asked = tables.question_terms(spark, sf_dir).filter(F.size("terms") >= 2).withColumns({"input": text, "turn": F.lit(0)})
-    pairs = retrieval.match_candidates(asked.drop("terms"), index(spark, sf_dir))
+    variants = tables.question_terms(spark, sf_dir).filter(F.size("terms") >= 2).withColumns({"input": text, "turn": F.lit(0)})
+    pairs = retrieval.match_candidates(stored(variants.drop("terms")), index(spark, sf_dir))
     return pairs.groupBy("question_id").agg(F.count(F.lit(1)).alias("n_chunks"), F.min("chunk_id").alias("first_chunk"))
 
 
@@ -98,10 +109,18 @@ def lexical_match_not(spark, sf_dir):
     return _matched(spark, sf_dir, F.concat(F.element_at("terms", 1), F.lit(" -"), F.element_at("terms", 2)))
 
 
+_NAMES = ", ".join(f"l{k}" for k in range(1, 13))
+_LAST = ", ".join(f"max(CASE WHEN i = {k} THEN position END) OVER w AS l{k}" for k in range(1, 13))
+_WHOLE = " AND ".join(f"(l{k} IS NOT NULL OR {k} > n)" for k in range(1, 13))
 _TF_RANK = f"""{_PLAN}, qt AS (SELECT question_id, unnest(informative) AS term, generate_subscripts(informative, 1) AS i FROM p),
   n AS (SELECT question_id, len(informative) AS n FROM p),
   ek AS (SELECT e.institution_id, k.chunk_id, k.canonical AS key, min(k.position) AS pos, count(*) AS places FROM ekeys k JOIN elig e USING (chunk_id) GROUP BY ALL),
   hits AS (SELECT q.question_id, ek.chunk_id, qt.term, qt.i, ek.pos, ek.places FROM qt JOIN questions q USING (question_id) JOIN ek ON ek.key = qt.term AND ek.institution_id = q.institution_id),
+  occ AS (SELECT q.question_id, k.chunk_id, qt.i, k.position, n.n FROM qt JOIN questions q USING (question_id) JOIN n USING (question_id) JOIN ekeys k ON k.canonical = qt.term JOIN elig e ON e.chunk_id = k.chunk_id AND e.institution_id = q.institution_id),
+  seen AS (SELECT *, {_LAST} FROM occ WINDOW w AS (PARTITION BY question_id, chunk_id ORDER BY position RANGE UNBOUNDED PRECEDING)),
+  stretches AS (SELECT question_id, chunk_id, least({_NAMES}) AS start, min(position) AS stop FROM seen WHERE {_WHOLE} GROUP BY ALL),
+  dens AS (SELECT question_id, chunk_id, sum(0.1::DOUBLE / (1 + greatest(0, stop - start - (inside - 1)))) AS density FROM (
+    SELECT s.question_id, s.chunk_id, s.start, s.stop, count(*) AS inside FROM stretches s JOIN occ o ON o.question_id = s.question_id AND o.chunk_id = s.chunk_id AND o.position BETWEEN s.start AND s.stop GROUP BY ALL) GROUP BY ALL),
   per AS (SELECT question_id, chunk_id, count(*) AS m, sum(places) AS places, max(pos) - min(pos) + 1 AS span, count(DISTINCT pos) AS spots FROM hits GROUP BY ALL),
   ordered AS (SELECT a.question_id, a.chunk_id, count(*) AS pairs_ok FROM hits a JOIN hits b ON a.question_id = b.question_id AND a.chunk_id = b.chunk_id AND b.i = a.i + 1 WHERE a.pos < b.pos GROUP BY ALL),
   streams AS (SELECT k.chunk_id, ' ' || string_agg(k.canonical, ' ' ORDER BY k.position) || ' ' AS stream FROM ekeys k WHERE NOT list_contains({EN}, k.surface)
@@ -117,9 +136,9 @@ _TF_RANK = f"""{_PLAN}, qt AS (SELECT question_id, unnest(informative) AS term,
 
 def or_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every (question, admissible chunk) with a term in common, with content signals."""
-    asked = retrieval.analyze_questions(tables.questions(spark, sf_dir)).filter(F.size("terms") > 0)
-    variant = asked.withColumns({"input": F.array_join("terms", " OR "), "turn": F.lit(0)})
-    pairs = retrieval.match_candidates(variant, index(spark, sf_dir))
+    some, held = asked(spark, sf_dir).filter(F.size("terms") > 0), index(spark, sf_dir)
+    variant = stored(some.withColumns({"input": F.array_join("terms", " OR "), "turn": F.lit(0)}))
+    pairs = retrieval.with_arrays(retrieval.match_candidates(variant, held), some, held)
     c = F.col
     return pairs.withColumns(retrieval.content_match(c("terms"), c("keys"), c("positions"), c("stream")))
 
@@ -136,8 +155,8 @@ _DECIDED = f"""{_TF_RANK},
   wordsof AS (SELECT chunk_id, document_id, chunk_index, institution_id, content, structure_type, regexp_extract_all({normal('content')}, {WORD}) AS words FROM elig),
   hit AS (SELECT plan.*, w.chunk_id, w.document_id, w.chunk_index FROM plan JOIN p USING (question_id) JOIN questions q USING (question_id) JOIN wordsof w ON w.institution_id = q.institution_id
     WHERE CASE strategy WHEN 'exact' THEN CASE WHEN p.advanced THEN false ELSE list_has_all(w.words, p.raw) END WHEN 'reduced_and' THEN list_has_all(w.words, p.informative) ELSE list_has_any(w.words, p.informative) END),
-  taken AS (SELECT hit.*, coalesce(m.raw_score, 0) AS raw_score FROM hit LEFT JOIN match m USING (question_id, chunk_id)
-    QUALIFY row_number() OVER (PARTITION BY question_id, turn ORDER BY coalesce(m.raw_score, 0) DESC, document_id, chunk_index, chunk_id) <= 25 // n_variants + (CASE WHEN turn < 25 % n_variants THEN 1 ELSE 0 END)),
+  worth AS (SELECT hit.*, coalesce(CASE WHEN strategy = 'reduced_or' THEN m.raw_score ELSE c.density END, 0) AS raw_score FROM hit LEFT JOIN match m USING (question_id, chunk_id) LEFT JOIN dens c USING (question_id, chunk_id)),
+  taken AS (SELECT * FROM worth QUALIFY row_number() OVER (PARTITION BY question_id, turn ORDER BY raw_score DESC, document_id, chunk_index, chunk_id) <= 25 // n_variants + (CASE WHEN turn < 25 % n_variants THEN 1 ELSE 0 END)),
   merged AS (SELECT question_id, chunk_id, document_id, chunk_index, arg_max(strategy, priority) AS strategy, max(priority) AS priority, max(raw_score) AS raw_score FROM taken GROUP BY ALL),
   feats AS (SELECT g.*, m.n, m.m, m.coverage, m.exact_phrase, m.ordered, m.proximity, m.compactness, m.title_overlap,
     CASE WHEN w.structure_type = 'table_row' AND m.coverage >= 0.5 AND m.compactness >= 0.5 THEN 1.0 ELSE 0.0 END AS bonus,
@@ -158,7 +177,7 @@ def eligibility_decision(spark, sf_dir):
 @query(f"""WITH {_DECIDED} SELECT question_id, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, coverage DESC, quality DESC, raw_score DESC, document_id::VARCHAR, chunk_index, chunk_id::VARCHAR) AS rank,
   chunk_id, document_id, round(score, 6) AS score FROM decided WHERE status = 'kept' QUALIFY rank <= 5""")
 def composite_topk(spark, sf_dir):
-    """Ranked evidence for every question; the raw score is the term-frequency stand-in."""
+    """Ranked evidence for every question, the raw score by cover density."""
     rows = retrieval.ranked(decided(spark, sf_dir), TOP_K)
     return rows.select("question_id", F.col("rank").cast("long"), "chunk_id", "document_id", F.round("score", 6).alias("score"))
 
