@@ -98,12 +98,17 @@ def fact_proximity(spark, sf_dir):
     return x.join(y, ["question_id", "document_id"]).groupBy("question_id", "document_id").agg(F.min(F.abs(F.col("a") - F.col("b"))).cast("long").alias("lines_apart"))
 
 
-@query()
+@query(f"""WITH {_fact_sql()}, jf AS (SELECT f.question_id, f.fact, f.needle, j.document_id FROM f JOIN judgments j USING (question_id)),
+  w AS (SELECT document_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS position FROM dwords WHERE document_id IN (SELECT document_id FROM jf)),
+  p AS (SELECT *, coalesce(sum(length(word) + 1) OVER (PARTITION BY document_id ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start, lead(word) OVER (PARTITION BY document_id ORDER BY position) AS after FROM w),
+  o AS (SELECT jf.question_id, jf.document_id, fact, start, length(needle) AS length FROM jf JOIN p ON p.document_id = jf.document_id AND word || ' ' || after = needle QUALIFY row_number() OVER (PARTITION BY jf.question_id, jf.document_id, fact ORDER BY start) <= 8),
+  d AS (SELECT a.question_id, a.document_id, a.fact AS fact_a, b.fact AS fact_b, min(greatest(0, b.start - a.start - a.length, a.start - b.start - b.length))::BIGINT AS distance FROM o a JOIN o b ON a.question_id = b.question_id AND a.document_id = b.document_id AND a.fact < b.fact GROUP BY ALL)
+  SELECT *, distance > 300 AS apart FROM d""")
 def fact_distances(spark, sf_dir):
-    """Character distance of the facts of a question in the documents that are judged relevant to it."""
+    """How many characters apart the facts of a question come in the documents that are judged for it."""
     docs = tables.documents(spark, sf_dir).select("document_id", normalize_text(F.col("text")).alias("normalized"))
     facts = _facts(spark, sf_dir).join(tables.judgments(spark, sf_dir), "question_id").select("question_id", "fact", "needle", "document_id")
-    return diagnostics.nearest_pairs(diagnostics.occurrences(facts, docs))
+    return diagnostics.nearest_pairs(diagnostics.occurrences(facts, docs)).withColumn("distance", F.col("distance").cast("long"))
 
 
 @query(f"""WITH {_DECIDED}, k AS (SELECT DISTINCT question_id, document_id FROM decided WHERE status = 'kept'),

@@ -304,13 +304,14 @@ def bootstrap_ci(spark, sf_dir):
 
 
 def _facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two facts a question: its first two words with content, and the next two."""
-    rows = tables.question_terms(spark, sf_dir).filter(F.size("terms") >= 4)
-    facts = F.explode(F.array(*(F.struct(F.lit(f"F{k + 1}").alias("fact"), F.element_at("terms", k + 1).alias("needle")) for k in range(2))))
+    """Two facts a question: its first two words, and the next two."""
+    words = F.regexp_extract_all("query", F.lit(r"(?U)([^\W_]+)"), F.lit(1))
+    rows = tables.questions(spark, sf_dir).select("question_id", words.alias("words")).filter(F.size("words") >= 4)
+    facts = F.explode(F.array(*(F.struct(F.lit(f"F{k + 1}").alias("fact"), F.array_join(F.slice("words", 2 * k + 1, 2), " ").alias("needle")) for k in range(2))))
     return rows.select("question_id", facts.alias("f")).select("question_id", "f.*")
 
 
-_FACTS = """f AS (SELECT question_id, unnest(['F1', 'F2']) AS fact, unnest(informative[1:2]) AS needle FROM qterms WHERE len(informative) >= 4),
+_FACTS = """f AS (SELECT question_id, unnest(['F1', 'F2']) AS fact, unnest([array_to_string(raw[1:2], ' '), array_to_string(raw[3:4], ' ')]) AS needle FROM qterms WHERE len(raw) >= 4),
   t AS (SELECT doc_id AS document_id, chunk_index, ' ' || array_to_string(regexp_extract_all({0}, '[\\p{{L}}\\p{{N}}]+'), ' ') || ' ' AS line FROM linesof WHERE trim(line) <> ''),
   pres AS (SELECT DISTINCT question_id, fact, document_id, chunk_index FROM f JOIN t ON contains(line, ' ' || needle || ' '))"""
 
@@ -333,12 +334,13 @@ def fact_presence(spark, sf_dir):
     return presence(spark, sf_dir).withColumn("chunk_index", F.col("chunk_index").cast("long"))
 
 
-@query(f"""WITH {_fact_sql()}, n AS (SELECT question_id, document_id, count(DISTINCT fact) AS k, max(c) = 2 AS one FROM (SELECT *, count(*) OVER (PARTITION BY question_id, document_id, chunk_index) AS c FROM pres) GROUP BY ALL)
-  SELECT question_id, document_id, k = 2 AS complete FROM n""")
+@query(f"""WITH {_fact_sql()}, per AS (SELECT question_id, document_id, chunk_index, bool_or(fact = 'F1') AS one, bool_or(fact = 'F2') AS two FROM pres GROUP BY ALL),
+  m AS (SELECT question_id, document_id, min(chunk_index) FILTER (WHERE one AND two) AS c, min(chunk_index) FILTER (WHERE one AND NOT two) AS a, min(chunk_index) FILTER (WHERE two AND NOT one) AS b, bool_or(one) AND bool_or(two) AS complete FROM per GROUP BY ALL)
+  SELECT question_id, document_id, complete, CASE WHEN c IS NOT NULL THEN c::VARCHAR WHEN complete THEN least(a, b)::VARCHAR || ',' || greatest(a, b)::VARCHAR ELSE coalesce(a, b)::VARCHAR END AS first_set FROM m""")
 def covering_sets(spark, sf_dir):
-    """Whether a document's first twelve chunks with facts hold them all, and by which sets (see the operator)."""
-    facts = _facts(spark, sf_dir)
-    return diagnostics.covering_sets(presence(spark, sf_dir), facts).select("question_id", "document_id", "complete")
+    """Whether a document's chunks hold all facts, and the first of the smallest sets that do (else of the facts there are)."""
+    found = diagnostics.covering_sets(presence(spark, sf_dir), _facts(spark, sf_dir))
+    return found.select("question_id", "document_id", "complete", F.array_join(F.get("sets", F.lit(0)).cast("array<string>"), ",").alias("first_set"))
 
 
 # ---- question similarity ---------------------------------------------------------------------------------------------

@@ -32,7 +32,7 @@ VIEWS = {
   CASE (doc_id + n) % 10 WHEN 9 THEN 'failed' WHEN 4 THEN 'pending' ELSE 'processed' END AS processing_status, strlen(text)::BIGINT AS size_bytes,
   sha256(text) AS checksum_sha256 FROM documents, (VALUES (1), (2)) v(n) WHERE n = 1 OR doc_id % 4 = 0""",
     "linesof": """SELECT doc_id, lang, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS chunk_index FROM documents""",
-    "chunks": """SELECT (doc_id * 10 + n) * 100000 + chunk_index AS chunk_id, doc_id * 10 + n AS version_id, doc_id AS document_id, 'i' || (doc_id % 2) AS institution_id,
+    "chunks": """SELECT (doc_id * 10 + n) * 1000000 + chunk_index AS chunk_id, doc_id * 10 + n AS version_id, doc_id AS document_id, 'i' || (doc_id % 2) AS institution_id,
   lang AS language, chunk_index, trim(line) AS content, CASE WHEN contains(trim(line), ' | ') THEN 'table_row' ELSE 'paragraph' END AS structure_type
   FROM linesof, (VALUES (1), (2)) v(n) WHERE (n = 1 OR doc_id % 4 = 0) AND trim(line) <> ''""",
     "latest": """SELECT document_id, institution_id, version_id AS latest_version_id, version_number AS latest_version_number FROM vers
@@ -48,9 +48,11 @@ VIEWS = {
   array_to_string(list_slice(string_split({normal('text')}, ' '), 1, 10), ' ') AS query, text FROM benchmark""",
     "qterms": f"""SELECT *, list_slice(list_filter(raw, lambda t, i: NOT (length(t) = 1 AND regexp_full_match(t, '\\p{{L}}')) AND NOT list_contains({EN}, t)
   AND list_position(raw, t) = i), 1, 12) AS informative FROM (SELECT *, regexp_extract_all(query, {WORD}) AS raw FROM questions)""",
-    "judgments": """SELECT b.item_id AS question_id, d.doc_id AS document_id, 2 AS grade FROM benchmark b JOIN documents d ON contains(d.text, b.text)""",
-    "messages": """SELECT conv_id * 100 + turn AS message_id, conv_id AS conversation_id, turn, role, text AS content,
-  CASE WHEN role = 'assistant' THEN conv_id * 100 + turn - 1 END AS reply_to_message_id FROM conversations""",
+    "dwords": f"""SELECT doc_id AS document_id, text, regexp_extract_all({normal('text')}, {WORD}) AS ws FROM documents""",
+    "judgments": """SELECT question_id, document_id, CASE WHEN contains(d.text, q.text) THEN 2 ELSE 1 END AS grade FROM qterms q JOIN dwords d
+  ON contains(d.text, q.text) OR (len(q.informative) > 0 AND list_has_all(d.ws, q.informative))""",
+    "messages": """SELECT conv_id * 10000 + turn AS message_id, conv_id AS conversation_id, turn, role, text AS content,
+  CASE WHEN role = 'assistant' THEN conv_id * 10000 + turn - 1 END AS reply_to_message_id FROM conversations""",
     "etoks": f"""SELECT chunk_id, unnest(toks) AS surface, generate_subscripts(toks, 1) - 1 AS position
   FROM (SELECT chunk_id, regexp_extract_all({normal('content')}, {TOKEN}) AS toks FROM elig)""",
     "ekeys": f"""SELECT chunk_id, position, surface, CASE

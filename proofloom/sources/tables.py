@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from proofloom.functions.lexical import informative_terms
 from proofloom.functions.text import normalize_text
+from proofloom.operators.meeting import rarest_meetings
 
 #: Words of a benchmark passage that make a question.
 QUESTION_WORDS = 10
@@ -62,7 +63,7 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = lines.withColumn("content", F.trim("line")).filter("content <> ''").withColumn("n", F.explode(numbers))
     version = i * 10 + F.col("n")
     return rows.select(
-        (version * 100_000 + F.col("chunk_index")).alias("chunk_id"),
+        (version * 1_000_000 + F.col("chunk_index")).alias("chunk_id"),
         version.alias("version_id"),
         i.alias("document_id"),
         F.concat(F.lit("i"), (i % 2).cast("string")).alias("institution_id"),
@@ -92,27 +93,32 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def judgments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """question_id, document_id, grade: 2 where a document has the passage, 1 where it has all content words of the question.
+    """question_id, document_id, grade: 2 where a document has the passage, 1 where it has all words with content of the question.
 
-    Documents are matched to passages through their lines, so nothing compares every pair.
+    Both grades meet documents on one word, the rarest of the passage's inner words or of the question's.
     """
-    passages = questions(spark, sf_dir).select("question_id", "text", F.split("text", "\n").alias("lines"))
-    first = F.trim(F.element_at("lines", 1))
-    docs = scan(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("body"))
-    words = F.array_distinct(F.split(F.col("body"), r"\s+"))
-    keyed = passages.withColumn("key", F.element_at(F.split(first, r"\s+"), 1))
-    hits = docs.withColumn("key", F.explode(words)).join(F.broadcast(keyed), "key").filter(F.col("body").contains(F.col("text")))
-    return hits.select("question_id", F.col("doc_id").alias("document_id"), F.lit(2).alias("grade")).distinct()
+    word = F.lit(r"(?U)([^\W_]+)")
+    asked = question_terms(spark, sf_dir)
+    bodies = scan(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), "text")
+    inner = asked.withColumn("words", F.regexp_extract_all("text", word, F.lit(1))).withColumn("words", F.slice("words", 2, F.greatest(F.size("words") - 2, F.lit(0))))
+    met = rarest_meetings(inner, ["question_id"], bodies.withColumn("words", F.regexp_extract_all("text", word, F.lit(1))), ["document_id"])
+    passages = asked.select("question_id", F.col("text").alias("passage"))
+    whole = met.join(passages, "question_id").join(bodies, "document_id").filter(F.col("text").contains(F.col("passage"))).select("question_id", "document_id", F.lit(2).alias("grade"))
+    plain = bodies.select("document_id", F.regexp_extract_all(normalize_text(F.col("text")), word, F.lit(1)).alias("words"))
+    terms = asked.select("question_id", F.col("terms").alias("words")).filter(F.size("words") > 0)
+    near = rarest_meetings(terms, ["question_id"], plain, ["document_id"]).join(terms.withColumnRenamed("words", "terms"), "question_id").join(plain, "document_id")
+    some = near.filter(F.size(F.array_except("terms", "words")) == 0).select("question_id", "document_id", F.lit(1).alias("grade"))
+    return whole.unionByName(some).groupBy("question_id", "document_id").agg(F.max("grade").alias("grade"))
 
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(spark, sf_dir, "conversations").select(
-        (F.col("conv_id") * 100 + F.col("turn")).alias("message_id"),
+        (F.col("conv_id") * 10_000 + F.col("turn")).alias("message_id"),
         F.col("conv_id").alias("conversation_id"),
         "turn",
         "role",
         F.col("text").alias("content"),
-        F.when(F.col("role") == "assistant", F.col("conv_id") * 100 + F.col("turn") - 1).alias("reply_to_message_id"),
+        F.when(F.col("role") == "assistant", F.col("conv_id") * 10_000 + F.col("turn") - 1).alias("reply_to_message_id"),
     )
 
 
