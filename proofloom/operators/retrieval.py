@@ -119,7 +119,7 @@ def meeting_words(variants: DataFrame, hits: DataFrame) -> DataFrame:
     """question_id, turn, institution_id, language, word: the words on which each variant meets chunks.
 
     Of the groups that must all match, the one with the fewest hits is met; of a phrase, its rarest word. ``variants`` have
-    units, ``hits`` one row for each (institution_id, language, word, chunk). A variant of negations alone has no word.
+    units, ``hits`` one row for each (institution_id, language, word, chunk). A variant with a negation in every group has no word.
     """
     place = ["institution_id", "language"]
     flat = variants.select(*place, "question_id", "turn", F.posexplode(_grouped(F.col("units"))).alias("unit", "u")).select(*place, "question_id", "turn", "unit", "u.*")
@@ -136,7 +136,7 @@ def meeting_words(variants: DataFrame, hits: DataFrame) -> DataFrame:
 def match_candidates(variants: DataFrame, chunks: DataFrame) -> DataFrame:
     """question_id, turn, chunk_id, document_id, chunk_index of the pairs that match.
 
-    A variant of negations alone meets every chunk of its institution and language, as it asks for.
+    A variant in which every group has a negation meets every chunk of its institution and language, as it asks for.
     """
     place, owner, ids = ["institution_id", "language"], ["question_id", "turn"], ["chunk_id", "document_id", "chunk_index"]
     asked = variants.select(*place, *owner, parse_websearch(F.col("input")).alias("units")).filter(F.size("units") > 0)
@@ -144,8 +144,7 @@ def match_candidates(variants: DataFrame, chunks: DataFrame) -> DataFrame:
     hits = chunks.select(*place, *ids, F.explode(F.array_distinct("words")).alias("word")).join(words, [*place, "word"], "left_semi")
     meet = meeting_words(asked, hits)
     found = hits.join(meet, [*place, "word"]).select(*owner, *ids).distinct()
-    only_not = asked.filter(F.forall("units", lambda u: u["negated"] | u["alternative"]) & F.get("units", F.lit(0))["negated"])
-    found = found.unionByName(chunks.select(*place, *ids).join(only_not.join(meet, owner, "left_anti"), place).select(*owner, *ids))
+    found = found.unionByName(chunks.select(*place, *ids).join(asked.join(meet, owner, "left_anti"), place).select(*owner, *ids))
     simple = F.forall("units", lambda u: ~u["negated"] & (F.size(u["phrase"]) == 1)) & F.forall(F.slice("units", 2, 1000), lambda u: u["alternative"])
     plain = found.join(asked.filter(simple).select(*owner), owner, "left_semi")  # alternatives of single words: met is matched
     tested = found.join(asked.filter(~simple).select(*owner, "units"), owner).join(chunks.select("chunk_id", "words"), "chunk_id")
