@@ -256,3 +256,46 @@ def test_empty_tables(empty, spark):
     ]
     for df in results:
         assert df.count() == 0
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """A very long text, ties, repeats and nulls, under extra columns that operators name themselves."""
+    rows = [(1, "MIT License and words " * 20000), (2, "x" * 300_000), (3, None), (4, ""), (4, ""), (None, "no id"), (5, "MIT License and words " * 20000)]
+    df = spark.createDataFrame([(i, t, "en", "s") for i, t in rows], "doc_id long, text string, lang string, source string")
+    return df.withColumns({c: F.lit("mine") for c in ("n_words", "detections", "fp", "label", "size", "taken", "position", "media", "payload", "tracks", "n_bytes", "spans", "kept", "ids", "decoded", "fingerprint", "id", "next", "digest")})
+
+
+def test_odd_rows_and_clashing_columns(odd):
+    reports = [licenses.report(odd), exact.fingerprints(odd), media.digests(odd), mixing.mix(odd), suffixes.digests(odd), bpe.digests(odd, TOKENIZER), simhash.near_duplicates(odd)]
+    for df in reports:
+        rows = df.collect()
+        assert sorted(str(r["doc_id"]) for r in rows) == sorted(["1", "2", "3", "4", "4", "None", "5"])
+        same = [tuple(v for k, v in r.asDict().items() if k not in ("doc_id", "row_key", "before", "taken", "position", "near_next", "edited_sha256", "edited_fingerprint", "near_edited", "n_removed", "n_spans", "kept_sha256")) for r in rows if r["doc_id"] in (1, 5)]
+        assert same[0] == same[1]
+    for df in (suffixes.deduplicate(odd), simhash.deduplicate(odd), mixing.curriculum(odd)):
+        assert df.columns == odd.columns
+        assert all(r["fp"] == r["kept"] == "mine" for r in df.collect())
+
+
+def test_media_of_several_tracks():
+    """An audio track before a video track: each keeps its own tables."""
+    one, two = media.pad(b"sound " * 300), media.pad(b"picture " * 200)
+    head = media.box(b"ftyp", b"isom")
+
+    def movie(first, second):
+        parts = []
+        for payload, at, codec in ((one, first, b"raw "), (two, second, b"avc1")):
+            inner = media._movie(len(payload) // 64, at)
+            trak = next(inner[body - 8 : stop] for kind, body, stop in media.boxes(inner, 8, len(inner)) if kind == b"trak")
+            parts.append(trak.replace(b"raw ", codec))
+        return media.box(b"moov", *parts)
+
+    start = len(head) + len(movie(0, 0)) + 8
+    data = head + movie(start, start + len(one)) + media.box(b"mdat", one, two)
+    found = media.tracks(data)
+    assert [t["codec"] for t in found] == ["raw", "avc1"]
+    assert [media.payload_of(data, t) for t in found] == [one, two]
+    assert found[1]["keyframes"][0].tolist() == [start + len(one), start + len(one) + 64]
+    with pytest.raises(ValueError, match="fragmented"):
+        media.tracks(head + media.box(b"moof"))
