@@ -22,6 +22,7 @@ table gives an empty table, and other columns are not read. A text of any length
 from __future__ import annotations
 
 import functools
+import itertools
 import json
 import unicodedata
 from array import array
@@ -35,8 +36,8 @@ from pyspark.sql import functions as F
 
 from proofloom.llm.common import batches, strings
 
-#: Words whose ids a Python worker remembers, and the letters of the longest of them.
-REMEMBERED_WORDS = 60_000
+#: Words in each of two generations whose ids a Python worker remembers, and the letters of the longest of them.
+REMEMBERED_WORDS = 80_000
 REMEMBERED_LENGTH = 64
 _ROOT = -1
 _SHIFT = 32
@@ -235,6 +236,7 @@ class Tokenizer:
         self._capitals = _capitals()
         self._symbols = byte_symbols()
         self._known: dict[str, list[int]] = {}
+        self._before: dict[str, list[int]] = {}
 
     def normalize(self, text: str) -> str:
         """Canonical composition and lower case letter by letter. White space only separates words, so stays."""
@@ -244,27 +246,31 @@ class Tokenizer:
         return lowered.translate(self._capitals) if max(lowered) > "\u1c88" else lowered
 
     def word(self, word: str) -> list[int]:
-        symbols = list(map(self._symbols.__getitem__, word.encode()))
-        symbols[-1] += self.end
-        ids = self.automaton.encode_symbols(symbols)
+        """Ids of a word that the present generation does not have; one that the generation before has is taken over."""
+        ids = self._before.get(word)
+        if ids is None:
+            symbols = list(map(self._symbols.__getitem__, word.encode()))
+            symbols[-1] += self.end
+            ids = self.automaton.encode_symbols(symbols)
         if len(word) <= REMEMBERED_LENGTH:
             if len(self._known) >= REMEMBERED_WORDS:
-                self._known.clear()
+                self._before, self._known = self._known, {}
             self._known[word] = ids
         return ids
 
     def encode(self, text: str) -> list[int]:
         out: list[int] = []
-        known = self._known.get
         pieces = self._split_added.split(text) if self._split_added and "<|" in text else [text]
         for piece in pieces:
             if piece in self.added:
                 out.append(self.added[piece])
                 continue
             lowered = self.normalize(piece)
-            words = self._words if lowered.isascii() or max(lowered) < _FIRST_NEWER else self._newer_words
-            for word in words(lowered):
-                out += known(word) or self.word(word)
+            words = (self._words if lowered.isascii() or max(lowered) < _FIRST_NEWER else self._newer_words)(lowered)
+            found = list(map(self._known.get, words))
+            if None in found:
+                found = [self.word(w) if ids is None else ids for w, ids in zip(words, found)]
+            out += itertools.chain.from_iterable(found)
         return out
 
     def decode(self, ids: list[int]) -> str:
