@@ -45,7 +45,7 @@ VIEWS = {
   AND version_id = latest_version_id AND is_active AND document_language = 'en' AND language = 'en'
   AND (valid_from IS NULL OR valid_from <= DATE '{REFERENCE_DATE}') AND (valid_until IS NULL OR valid_until >= DATE '{REFERENCE_DATE}')""",
     "questions": f"""SELECT item_id AS question_id, 'i' || (item_id % 2) AS institution_id, 'en' AS language,
-  array_to_string(list_slice(string_split({normal('text')}, ' '), 1, 10), ' ') AS query, text FROM benchmark""",
+  {normal('text')} AS query, text FROM benchmark""",
     "qterms": f"""SELECT *, list_slice(list_filter(raw, lambda t, i: NOT (length(t) = 1 AND regexp_full_match(t, '\\p{{L}}')) AND NOT list_contains({EN}, t)
   AND list_position(raw, t) = i), 1, 12) AS informative FROM (SELECT *, regexp_extract_all(query, {WORD}) AS raw FROM questions)""",
     "dwords": f"""SELECT doc_id AS document_id, text, regexp_extract_all({normal('text')}, {WORD}) AS ws FROM documents""",

@@ -9,9 +9,6 @@ from proofloom.functions.lexical import informative_terms
 from proofloom.functions.text import normalize_text
 from proofloom.operators.meeting import rarest_meetings
 
-#: Words of a benchmark passage that make a question.
-QUESTION_WORDS = 10
-
 
 def scan(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -81,13 +78,13 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first words of each benchmark passage, asked in English of one institution."""
+    """Each benchmark passage, asked whole in English of one institution."""
     normal = normalize_text(F.col("text"))
     return scan(spark, sf_dir, "benchmark").select(
         F.col("item_id").alias("question_id"),
         F.concat(F.lit("i"), (F.col("item_id") % 2).cast("string")).alias("institution_id"),
         F.lit("en").alias("language"),
-        F.array_join(F.slice(F.split(normal, " "), 1, QUESTION_WORDS), " ").alias("query"),
+        normal.alias("query"),
         "text",
     )
 
