@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import functools
 import tempfile
 import uuid
@@ -34,13 +35,30 @@ def _own_folder() -> str:
     return tempfile.mkdtemp(prefix="spark-")
 
 
+_SCOPE = ["queries"]
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession, name: str) -> Iterator[None]:
+    """What is cut within goes to a folder of this name, and what its last use left there is deleted first.
+
+    For steps that follow each other and each read only the stored result of the one before.
+    """
+    _delete(spark, f"{work_dir(spark)}/{name}")
+    before, _SCOPE[0] = _SCOPE[0], name
+    try:
+        yield
+    finally:
+        _SCOPE[0] = before
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: a cut in the lineage that outlives executors.
 
     ``discard`` deletes it early; the rest of a session goes by ``discard_all``.
     """
     spark = df.sparkSession
-    path = f"{work_dir(spark)}/{uuid.uuid4().hex}"
+    path = f"{work_dir(spark)}/{_SCOPE[0]}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back.proofloom_path = path
