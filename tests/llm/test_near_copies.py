@@ -39,6 +39,13 @@ def test_no_similar_pair_stays(spark, texts):
         assert any(similarity(texts[i], texts[j]) >= 0.8 for i in range(j))
 
 
+def test_groups_in_parts(spark, texts):
+    """A group dealt into small parts loses no similar pair."""
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = sorted(r["doc_id"] for r in near_copies.kept(near_copies._signed(docs, 5), group=10).collect())
+    assert [(i, j) for i in kept for j in kept if i < j and similarity(texts[i], texts[j]) >= 0.8] == []
+
+
 def test_parameters_reach_the_operator(spark):
     rows = [(1, "a b c d e f g h"), (2, "a b c d e f g h i"), (None, "a b c d e f g h")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
