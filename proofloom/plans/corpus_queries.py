@@ -249,7 +249,10 @@ def content_digest(spark, sf_dir):
     return digests.document_digests(chunks)
 
 
-@query()
+@query(f"""WITH c AS (SELECT document_id, chunk_index, sha256(chunk_index::VARCHAR || {_UNIT} || sha256(trim(line))) AS d FROM (SELECT doc_id AS document_id, chunk_index, line FROM linesof) WHERE trim(line) <> ''),
+  r AS (SELECT document_id::VARCHAR AS k, sha256(document_id::VARCHAR || {_UNIT} || sha256(string_agg(d, chr(10) ORDER BY chunk_index))) AS d FROM c GROUP BY document_id),
+  s AS (SELECT substr(md5(k), 1, 3) AS shelf, count(*) AS n, sha256(string_agg(d, chr(10) ORDER BY k)) AS d FROM r GROUP BY ALL)
+  SELECT sum(n)::BIGINT AS n_documents, sha256(string_agg(d, chr(10) ORDER BY shelf)) AS corpus_digest FROM s""")
 def corpus_digest(spark, sf_dir):
     chunks = tables.lines(spark, sf_dir).withColumn("content_sha256", F.sha2("content", 256))
     return digests.corpus_digest(digests.document_digests(chunks))
