@@ -51,7 +51,7 @@ SAMPLED_OF_DOC = 50
 HOT_DOCS = 20_000
 #: Suffixes sorted at once, and rows below which a part of the sort is finished by a plain sort.
 SORT_ROWS = 400_000
-_LEAF = 256
+_LEAF = 2048
 _NO_DOC = np.iinfo(np.int64).max
 _CONCAT = 1 << 18
 _BLOCK = "__block"
@@ -228,8 +228,8 @@ def _known(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return tokens[order], hot[order] > 0
 
 
-def _pieces(texts: list[bytes], ids: np.ndarray, known: np.ndarray, hot: np.ndarray, ranges: Ranges):
-    """Uses of pieces by text, and for each distinct (token, piece) its smallest document and its leading token.
+def _pieces(texts: list[bytes], ids: np.ndarray, known: np.ndarray, hot: np.ndarray, ranges: Ranges, leading: bool):
+    """Uses of pieces by text, and for each distinct (token, piece) its smallest document and, if asked for, its leading token.
 
     A use is (first position, piece). Hot tokens give one piece of MATCH bytes for each position, whose
     token is the hash of its own ends and whose leading token are its own first bytes.
@@ -250,7 +250,8 @@ def _pieces(texts: list[bytes], ids: np.ndarray, known: np.ndarray, hot: np.ndar
                 mine.append((a, key))
                 if least.get(key, _NO_DOC) >= doc:
                     least[key] = doc
-                    leads.setdefault(key, text[anchor : anchor + GRAM])
+                    if leading:
+                        leads[key] = text[anchor : anchor + GRAM]
                 continue
             words = _words(np.frombuffer(text, np.uint8, b - a + MATCH - 1, a), slice(None))[: b - a + MATCH - 8]
             singles = ranges.token(_mixed(words[: b - a], words[MATCH - 8 :]))
@@ -259,7 +260,8 @@ def _pieces(texts: list[bytes], ids: np.ndarray, known: np.ndarray, hot: np.ndar
                 mine.append((p, key))
                 if least.get(key, _NO_DOC) >= doc:
                     least[key] = doc
-                    leads.setdefault(key, key[1][:GRAM])
+                    if leading:
+                        leads[key] = key[1][:GRAM]
     return uses, least, leads
 
 
@@ -283,7 +285,7 @@ def _send_pieces(ranges: Ranges, splitters: Splitters):
     def run(docs: pa.Table, shared: pa.Table) -> pa.Table:
         if not docs.num_rows or not shared.num_rows:
             return _table(PIECES, [])
-        _, least, leads = _pieces(_texts(docs), _ids(docs), *_known(shared), ranges)
+        _, least, leads = _pieces(_texts(docs), _ids(docs), *_known(shared), ranges, True)
         keys = sorted(least)
         if not keys:
             return _table(PIECES, [])
@@ -419,7 +421,7 @@ def _remove(ranges: Ranges, kind: pa.Schema):
         answers = answers.select(["block", "bucket", "tokens", "hot"])
         sign = answers.column("bucket").to_numpy() >= 0 if answers.num_rows else np.zeros(0, bool)
         shared, verdicts = answers.filter(pa.array(sign)), _read_verdicts(answers.filter(pa.array(~sign)))
-        uses, least, _ = _pieces(texts, ids, *_known(shared), ranges)
+        uses, least, _ = _pieces(texts, ids, *_known(shared), ranges, False)
         number = {key: n for n, key in enumerate(sorted(least))}
         all_spans, kept = [], []
         for text, doc, own in zip(texts, ids.tolist(), uses):
