@@ -63,6 +63,11 @@ def _span(text: str) -> range:
     return range(int(first, 16), int(last or first, 16) + 1)
 
 
+def newer_points() -> frozenset[int]:
+    """Code points that are letters or numbers only since Unicode 17."""
+    return frozenset(itertools.chain.from_iterable(map(_span, _NEWER.split())))
+
+
 def splitter(pattern: str, newer: str):
     """``findall`` of a tokenizer file's word pattern, for which ``newer`` letters and numbers are neither."""
     known = pattern

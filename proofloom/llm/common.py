@@ -9,7 +9,7 @@ import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: An output batch is handed to Spark once its variable-length values pass this many bytes.
@@ -109,6 +109,12 @@ def strings(column: pa.Array) -> list[str]:
     return [v if v is not None else "" for v in column.to_pylist()]
 
 
+def row_key(df: DataFrame) -> Column:
+    """Two hashes of all columns of a row, nulls told from values: one of 64 bits is shared by some rows of a very large table."""
+    own = [x for c in df.columns for x in (F.col(c).isNull(), F.col(c))]
+    return F.struct(F.xxhash64(*own).alias("a"), F.xxhash64(F.lit("second"), *own).alias("b"))
+
+
 def fold_bucket(column: str, modulus: int):
     """crc32 of the id's decimal text, modulo: the fold a document belongs to. A null id is in fold 0."""
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % modulus, F.lit(0))

@@ -7,11 +7,12 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from proofloom.llm import bpe, exact, language, licenses, media, mixing, quality, simhash, suffixes, toxicity
+from proofloom.llm import bpe, byte_bpe, exact, importance, language, licenses, media, mixing, quality, simhash, suffixes, toxicity, whitening
 from proofloom.llm.common import read_table
 
-#: The tokenizer file of the queries; a parameter of the operator, since it is not part of the repository.
+#: The tokenizer files of the queries; parameters of the operators, since they are not part of the repository.
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
 def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,6 +56,18 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digests(read_table(spark, sf_dir, "documents"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read_table(spark, sf_dir, "embeddings"))
+
+
+def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.report(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.digests(read_table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_licenses": op1_licenses,
@@ -67,8 +80,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_bpe": op8_bpe,
         "op9_simhash": op9_simhash,
         "op10_media_columns": op10_media_columns,
+        "op11_whitening": op11_whitening,
+        "op12_importance": op12_importance,
+        "op13_byte_bpe": op13_byte_bpe,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixing": mixing.ORACLE}
+    return {"op2_mixing": mixing.ORACLE, "op12_importance": importance.ORACLE}
