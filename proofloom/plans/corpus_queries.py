@@ -193,11 +193,34 @@ def structure_bonus_availability(spark, sf_dir):
     return diagnostics.bonus_availability(tables.chunks(spark, sf_dir))
 
 
-def _forbidden_sql(source: str, key: str, text: str) -> str:
-    quoted = {n: "'" + p.replace("'", "''") + "'" for n, p in json_files.FORBIDDEN.items()}
-    return f"SELECT {key}, rule, len(h)::INTEGER AS n_matches, list_max(list_transform(h, lambda x: length(x)))::INTEGER AS longest FROM (" + " UNION ALL ".join(
-        f"SELECT {key}, '{name}' AS rule, regexp_extract_all({text}, {pattern}, 1) AS h FROM {source}" for name, pattern in quoted.items()
-    ) + ") WHERE len(h) > 0"
+#: The families once more for an engine without looks beside a match: what is looked at is a boundary, or is left out by the group.
+_WORDS_APART = r"\b({0})\b"
+_FORBIDDEN_TWINS = {
+    "windows_path": r"(?:\b|_)([a-zA-Z]:(?:/|\\)+[^\s<>:\"|?*/\\])",
+    "windows_unc_path": r"(?:\B|_)(\\\\[^\s<>:\"|?*/\\]+\\)",
+    "unix_path": r"(?:\B|_)(/(?:bin|boot|dev|etc|home|lib|media|mnt|opt|proc|root|run|sbin|srv|sys|tmp|usr|var)/)",
+    "macos_path": r"(?:\B|_)(/(?:Applications|Library|System|Users|Volumes|private)/)",
+    "private_key": r"(-----BEGIN (?:[A-Z\d]+ )*PRIVATE KEY-----)",
+    "jwt": _WORDS_APART.format(r"eyJ[\w-]{12,}\.[\w-]{3,}\.[\w-]{3,}"),
+    "api_key_or_token": _WORDS_APART.format(r"(?:AKIA|ASIA)[A-Z\d]{16,}|AIza[\w-]{30,}|(?:gh[oprsu]_|github_pat_)\w{20,}|xox[abprs]-[a-zA-Z\d-]{10,}|[prs]k(?:-|_live_)[\w-]{16,}"),
+    "credentials_in_url": r"\b([a-zA-Z][a-zA-Z\d.+\-]*://[\w.~!$&'()*+,;=%\-]+:[\w.~!$&'()*+,;=%\-]+@)",
+    "uuid": _WORDS_APART.format(r"[a-fA-F\d]{8}(?:-[a-fA-F\d]{4}){3}-[a-fA-F\d]{12}"),
+    "hex_digest": _WORDS_APART.format(r"(?:[a-fA-F\d]{20}){2}|(?:[a-fA-F\d]{16}){4}"),
+    "email_address": r"([\w!#$%&'*+/=?^`{|}~\-]+(?:\.[\w!#$%&'*+/=?^`{|}~\-]+)*@(?:[a-zA-Z\d\-]+\.)+[a-zA-Z]{2,})\b",
+}
+
+
+def _forbidden_sql(source: str, key: str, text: str, outside: str | None = None) -> str:
+    """Matches by rule; ``outside`` adds the addresses of hosts that are neither this one nor below it."""
+    quoted = {n: "'" + p.replace("'", "''") + "'" for n, p in _FORBIDDEN_TWINS.items()}
+    parts = [f"SELECT {key}, '{name}' AS rule, regexp_extract_all({text}, {pattern}, 1) AS h FROM {source}" for name, pattern in quoted.items()]
+    runs = rf"list_filter(regexp_extract_all({text}, '[\w.]*\w'), lambda r: regexp_full_match(r, '\d{{1,3}}(\.\d{{1,3}}){{3}}'))"
+    parts.append(f"SELECT {key}, 'ip_address', list_filter({runs}, lambda r: list_max(list_transform(string_split(r, '.'), lambda n: n::INTEGER)) <= 255) FROM {source}")
+    if outside:
+        links = rf"regexp_extract_all({text}, '\b((?:h|H)(?:t|T){{2}}(?:p|P)(?:s|S)?://[\w.~:/?#\[\]@!$&''()*+,;=%\-]+)', 1)"
+        host = r"lower(regexp_extract(u, '://(?:[^/?#]*@)?([^/?#@]*?)(?::\d*)?(?:[/?#]|$)', 1))"
+        parts.append(f"SELECT {key}, 'url_outside_allowlist', list_filter({links}, lambda u: NOT ({host} = '{outside}' OR ends_with({host}, '.{outside}'))) FROM {source}")
+    return f"SELECT {key}, rule, len(h)::INTEGER AS n_matches, list_max(list_transform(h, lambda x: length(x)))::INTEGER AS longest FROM (" + " UNION ALL ".join(parts) + ") WHERE len(h) > 0"
 
 
 @query(_forbidden_sql("documents", "doc_id", "text"))
@@ -205,6 +228,13 @@ def forbidden_data_scan(spark, sf_dir):
     return json_files.forbidden_data(tables.scan(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+@query(_forbidden_sql("(SELECT page_id, unnest(['/url', '/html']) AS pointer, unnest([url, html]) AS value FROM pages)", "page_id, pointer", "value", "ththre.example.com"))
+def forbidden_in_json(spark, sf_dir):
+    """Every string of the pages written as JSON objects, by its pointer."""
+    pages = tables.scan(spark, sf_dir, "pages").select("page_id", F.to_json(F.struct("url", "html")).alias("body"))
+    return json_files.forbidden_in_json(pages, "page_id", "body", allowed_host="ththre.example.com")
+
+
 @query("""SELECT page_id, host FROM (SELECT page_id, lower(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1)) AS host FROM pages)
   WHERE host <> '' AND NOT (host IN ('ththre.example.com'))""")
 def foreign_hosts(spark, sf_dir):

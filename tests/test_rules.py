@@ -38,6 +38,34 @@ def test_forbidden_families(spark, text, rule):
     assert {(r["id"], r["rule"]) for r in json_files.forbidden_data(rows, "id", "text").collect()} == {(1, rule)}
 
 
+@pytest.mark.parametrize("text, rule, n", [
+    ("/etc//var/", "unix_path", 2), ("x/etc/ and 1/usr/ are within words", "unix_path", 0), ("(/srv/)/opt/_/tmp/", "unix_path", 3), ("C:/a D:\\b xC:/d", "windows_path", 2), (r"\\\\a\\ \\\\b\\", "windows_unc_path", 2),
+    ("1.2.3.4 255.255.255.255 256.1.1.1 1.2.3.4.5 v1.2.3.4 9.9.9.9.", "ip_address", 3), ("a" * 64 + " " + "b" * 40 + " " + "c" * 41, "hex_digest", 2), ("a@b.org,c.d+e@f.co.uk @x.y a@b", "email_address", 2),
+    ("eyJ" + "a" * 12 + "." + "b" * 12 + "." + "c" * 12, "jwt", 1), ("s3://k:p@h ftp://u@h http://h:80/@", "credentials_in_url", 1), ("sk-" + "x" * 15 + " sk-" + "x" * 16 + " sk_live_" + "9" * 20, "api_key_or_token", 2),
+    ("-----BEGIN PRIVATE KEY----------BEGIN EC PRIVATE KEY-----", "private_key", 2), (None, "uuid", 0), ("", "uuid", 0),
+])
+def test_forbidden_counts_and_their_twin(spark, text, rule, n):
+    """Adjacent matches, words they stand within, and edges of the formats; the SQL twin has expressions of its own."""
+    import duckdb
+
+    from proofloom.plans.corpus_queries import _forbidden_sql
+
+    rows = spark.createDataFrame([(1, text)], "id long, text string")
+    got = sorted(map(tuple, json_files.forbidden_data(rows, "id", "text").collect()))
+    assert sum(r[2] for r in got if r[1] == rule) == n
+    con = duckdb.connect()
+    con.execute("CREATE TABLE t (id BIGINT, text VARCHAR)")
+    con.execute("INSERT INTO t VALUES (1, ?)", [text])
+    assert sorted(con.execute(_forbidden_sql("t", "id", "text")).fetchall()) == got
+
+
+def test_hosts_outside(spark):
+    text = "HTTP://Evil.example:80/x https://u:p@ok.example:8/y, http://a.ok.example http://notok.example?q http://ok.example.evil.test"
+    rows = spark.createDataFrame([(1, text)], "id long, text string")
+    found = {r["rule"]: r["n_matches"] for r in json_files.forbidden_data(rows, "id", "text", allowed_host="ok.example").collect()}
+    assert found["url_outside_allowlist"] == 3
+
+
 def test_providers_are_checked(spark):
     texts = spark.createDataFrame([(k, f"t{k}") for k in range(300)], "id long, text string")
     got = experiments.embed(texts, "id", "text", lambda ts: [[float(len(t)), 1.0] for t in ts], 2)
