@@ -111,7 +111,7 @@ def strings(column: pa.Array) -> list[str]:
 
 def row_key(df: DataFrame) -> Column:
     """Two hashes of all columns of a row, nulls told from values: one of 64 bits is shared by some rows of a very large table."""
-    own = [x for c in df.columns for x in (F.col(c).isNull(), F.col(c))]
+    own = [x for c, kind in df.dtypes for x in (F.col(c).isNull(), F.to_json(c) if "map<" in kind else F.col(c))]
     return F.struct(F.xxhash64(*own).alias("a"), F.xxhash64(F.lit("second"), *own).alias("b"))
 
 

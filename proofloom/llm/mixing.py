@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from proofloom.llm.common import cut
+from proofloom.llm.common import cut, row_key
 
 WEIGHTS = (3, 1, 2)
 BUDGET = 1.5
@@ -36,22 +36,16 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def sizes(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size (words), k (order key) and row_key (id, text and source in 128 bits)."""
+    """doc_id, source, size (words), k (order key) and row_key (the whole row in 128 bits)."""
     return docs.select(
         F.col("doc_id").cast("long"),
         F.col("source").cast("string"),
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(" "), F.coalesce(F.col("text").cast("string"), F.lit(""))).cast("binary")).alias("k"),
-        row_key(),
+        row_key(docs).alias("row_key"),
     )
 
 
-def row_key() -> Column:
-    """Two hashes of a row: one of 64 bits is shared by some rows of a very large table."""
-    own = [F.col(c).cast("string") for c in ("doc_id", "text", "source")]
-    return F.struct(F.xxhash64(*own).alias("a"), F.xxhash64(F.lit("second"), *own).alias("b")).alias("row_key")
-
-
 def targets(sized: DataFrame, weights=WEIGHTS, budget=BUDGET, cap=CAP) -> DataFrame:
     """source, turn (place in the order of sources), source_size, target: one row per source."""
     per = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
@@ -121,7 +115,7 @@ def curriculum(docs: DataFrame, **settings) -> DataFrame:
     uses = mixed.groupBy("row_key", "pass", "words", "size").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("at"))
     uses = uses.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
     uses = uses.select(*(F.col(c).alias(f"__{c}") for c in ("row_key", "pass", "words", "size", "at", "copy")))
-    texts = docs.withColumn("__row", row_key()).dropDuplicates(["__row"])
+    texts = docs.withColumn("__row", row_key(docs)).dropDuplicates(["__row"])
     joined = texts.join(uses, F.col("__row") == F.col("__row_key"))
     part = F.array_join(F.slice(F.split("text", r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])"), 1, F.col("__words").cast("int")), "")
     cutoff = F.when(F.col("__words") < F.col("__size"), part).otherwise(F.col("text"))
