@@ -43,8 +43,8 @@ from proofloom.llm.common import FLUSH_BYTES, strings
 LEAF = 64
 #: Ids that are decoded without cutting the list further.
 LEAF_IDS = 4096
-#: Pieces whose ids a Python worker remembers, the letters of the longest of them, and the pairs remembered as stable or not.
-REMEMBERED_PIECES = 200_000
+#: Pieces in each of two generations whose ids a Python worker remembers, the letters of the longest of them, and the pairs remembered as stable or not.
+REMEMBERED_PIECES = 250_000
 REMEMBERED_LENGTH = 48
 REMEMBERED_PAIRS = 500_000
 _NONE = 1 << 40
@@ -82,6 +82,8 @@ class Coder:
             raise ValueError(f"the vocabulary has no token for the bytes {missing}")
         self.ranks = ranks
         self.labels = {i: token for token, i in ranks.items()}
+        self._spelled = np.empty(max(self.labels) + 1, object)
+        self._spelled[list(self.labels)] = list(self.labels.values())
         self._stable: dict[tuple[int, int], bool] = {}
         self._split = [(chr(top - 1), splitter(pattern, top)) for top in (0x80, 0x10000, 0x110000)]
         self._known = _Known(self)
@@ -171,25 +173,29 @@ class Coder:
     def encode(self, text: str) -> list[int]:
         return np.frombuffer(self.cells(text), np.int32).tolist()
 
-    def decode(self, ids: list[int]) -> bytes:
+    def decode(self, ids: list[int] | np.ndarray) -> bytes:
         """Bytes of a list of ids: those of its halves, one after the other."""
         if len(ids) <= LEAF_IDS:
-            return b"".join(map(self.labels.__getitem__, ids))
+            return b"".join(self._spelled[np.asarray(ids, np.int32)].tolist())
         half = len(ids) // 2
         return self.decode(ids[:half]) + self.decode(ids[half:])
 
 
 class _Known(dict):
-    """Pieces of text with their ids as cells; short ones are remembered, up to a number of them."""
+    """Pieces of text with their ids as cells; short ones are remembered, and those of the generation before that come again."""
 
     def __init__(self, coder: Coder):
         super().__init__()
         self._coder = coder
+        self._before: dict[str, bytes] = {}
 
     def __missing__(self, piece: str) -> bytes:
-        cells = array("i", self._coder.piece(piece.encode())).tobytes()
+        cells = self._before.get(piece)
+        if cells is None:
+            cells = array("i", self._coder.piece(piece.encode())).tobytes()
         if len(piece) <= REMEMBERED_LENGTH:
             if len(self) >= REMEMBERED_PIECES:
+                self._before = dict(self)
                 self.clear()
             self[piece] = cells
         return cells
@@ -225,7 +231,7 @@ def encode_decode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
             for i, text in zip(part.column(0).to_pylist(), strings(part.column(1))):
                 ids.append(i)
                 cells.append(own.cells(text))
-                decoded.append(own.decode(np.frombuffer(cells[-1], np.int32).tolist()))
+                decoded.append(own.decode(np.frombuffer(cells[-1], np.int32)))
                 held += len(cells[-1]) + len(decoded[-1]) + 64
                 if held >= FLUSH_BYTES:
                     yield _token_batch(ids, cells, decoded)

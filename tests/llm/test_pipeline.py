@@ -3,6 +3,7 @@
 import pytest
 
 import corpus_pipeline
+from proofloom.llm import mixing
 from proofloom.llm.common import cut
 
 DATA = "/root/testdata/sf0.001"
@@ -39,3 +40,11 @@ def test_near_copies_leave_one(spark, odd):
 def test_empty_input(spark, odd):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, odd.limit(0), DATA).count() == 0
+
+
+def test_rows_that_differ_in_one_column_or_a_null(spark):
+    """Rows equal but for an extra column, and rows whose nulls stand elsewhere, are rows of their own."""
+    rows = [(1, "alpha beta", "s", "x"), (1, "alpha beta", "s", "y"), (1, "alpha beta", "s", None), (None, "alpha beta", None, "z"), (None, None, "alpha beta", "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    got = mixing.curriculum(docs, budget=1.0, cap=1).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(rows[:4], key=repr)
