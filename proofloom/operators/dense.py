@@ -1,21 +1,15 @@
-"""Exact nearest neighbours by cosine among admissible vectors, index coverage and staleness.
-
-The query vectors are a stated, bounded set that is broadcast; every vector of the table is scored against
-them where it lies, and a partial top-k leaves each task, so only k rows a query and task are shuffled.
-"""
+"""Nearest neighbours by cosine, index coverage and staleness, digests of vectors."""
 
 from __future__ import annotations
 
 import struct
-from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-#: Query vectors that are broadcast at once, about; more are asked in blocks, one after the other.
-MAX_QUERIES = 10_000
+from proofloom.operators import metric_index
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -27,24 +21,9 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(norm > 0, dot(a, b) / norm)
 
 
-def nearest(queries: DataFrame, vectors: DataFrame, k: int, ties: list[str]) -> DataFrame:
-    """query_id, the columns of ``vectors`` but the embedding, similarity, rank. No threshold: neighbours always come back."""
-    asked = queries.select("query_id", F.col("embedding").alias("__q"), F.sqrt(dot(F.col("embedding"), F.col("embedding"))).alias("__n"))
-    own = vectors.withColumn("__own", F.sqrt(dot(F.col("embedding"), F.col("embedding"))))
-    order = Window.partitionBy("query_id").orderBy(F.desc_nulls_last("similarity"), *ties)
-
-    def block(part: DataFrame) -> DataFrame:
-        packed = part.agg(F.collect_list(F.struct("query_id", "__q", "__n")).alias("__all"))
-        pairs = own.join(F.broadcast(packed)).withColumn("__a", F.explode("__all"))
-        norm = F.col("__a.__n") * F.col("__own")
-        scored = pairs.select(
-            F.col("__a.query_id").alias("query_id"), *(c for c in vectors.columns if c != "embedding"),
-            F.when(norm > 0, dot(F.col("embedding"), F.col("__a.__q")) / norm).alias("similarity"),
-        )
-        return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-
-    blocks = -(-asked.count() // MAX_QUERIES) or 1
-    return reduce(DataFrame.unionByName, [block(asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)) for b in range(blocks)])
+def nearest(queries: DataFrame, vectors: DataFrame, k: int, ties: list[str], scope: str | None = None) -> DataFrame:
+    """query_id, the columns of ``vectors`` but the embedding, similarity, rank, by an index made for this one search."""
+    return metric_index.nearest(queries, metric_index.build(vectors, ties, scope), k, scope)
 
 
 def coverage(admissible: DataFrame, index: DataFrame, key: str) -> DataFrame:

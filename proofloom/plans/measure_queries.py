@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proofloom.operators import diagnostics, fusion, metrics, retrieval, statistics
+from proofloom.operators import diagnostics, fusion, metric_index, metrics, retrieval, statistics
 from proofloom.plans.declare import query
 from proofloom.plans.search_queries import _DECIDED, decided, neighbours, vectors
 from proofloom.sources import tables
+from proofloom.sources.stored import once
 
 # Rankings of vectors stand for two conditions: the exact neighbours, and neighbours by the first half of the vector.
 # A vector is relevant (2) for a query of its label, and related (1) where the labels are next to each other.
@@ -20,11 +21,10 @@ def exact(spark: SparkSession, sf_dir: str, k: int = 5) -> DataFrame:
 
 
 def halved(spark: SparkSession, sf_dir: str, k: int = 5) -> DataFrame:
-    from proofloom.operators import dense
-
     rows = vectors(spark, sf_dir).withColumn("embedding", F.slice("embedding", 1, 32))
+    index = once(spark, sf_dir, "halved_metric_index", lambda: metric_index.build(rows, ["vec_id"]))
     asked = rows.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
-    found = dense.nearest(asked, rows, k, ["vec_id"])
+    found = metric_index.nearest(asked, index, k)
     return found.select(F.col("query_id").alias("question_id"), F.col("vec_id").alias("item"), F.col("rank").cast("long"), "similarity")
 
 

@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from proofloom.functions import lexical as lx
 from proofloom.functions.text import normalize_text
-from proofloom.operators import answering, dense, retrieval
+from proofloom.operators import answering, dense, metric_index, retrieval
 from proofloom.plans.corpus_queries import admissible
 from proofloom.plans.declare import query
 from proofloom.plans.views import EN, WORD, normal
 from proofloom.sources import tables
-from proofloom.sources.stored import stored, stored_once
+from proofloom.sources.stored import once, stored, stored_once
 
 TOP_K = 5
 
@@ -200,8 +200,9 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 def neighbours(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
     """Nearest vectors of the query set (ids divisible by 50) among all vectors; each finds itself first."""
     rows = vectors(spark, sf_dir)
+    index = once(spark, sf_dir, "metric_index", lambda: metric_index.build(rows, ["vec_id"]))
     asked = rows.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
-    return dense.nearest(asked, rows, k, ["vec_id"])
+    return metric_index.nearest(asked, index, k)
 
 
 DENSE = """near AS (SELECT q.vec_id AS query_id, v.vec_id, v.label, list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS similarity,

@@ -38,15 +38,20 @@ def discard_stored(spark: SparkSession) -> None:
     _BY_NAME.clear()
 
 
-_BY_NAME: dict[tuple[str, str, str], DataFrame] = {}
+_BY_NAME: dict[tuple[str, str, str], object] = {}
 
 
-def stored_once(spark: SparkSession, sf_dir: str, name: str, make) -> DataFrame:
-    """The table ``name`` made from a folder of tables, stored at its first use in an application.
+def once(spark: SparkSession, sf_dir: str, name: str, make):
+    """What ``make`` gives, made from a folder of tables at its first use in an application.
 
     It stands for the folder as it was then; ``discard_stored`` forgets it.
     """
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _BY_NAME:
-        _BY_NAME[key] = stored(make())
+        _BY_NAME[key] = make()
     return _BY_NAME[key]
+
+
+def stored_once(spark: SparkSession, sf_dir: str, name: str, make) -> DataFrame:
+    """The table ``name`` made from a folder of tables, stored at its first use."""
+    return once(spark, sf_dir, name, lambda: stored(make()))
