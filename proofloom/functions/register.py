@@ -1,4 +1,4 @@
-"""SQL names for what Spark lacks: scalar functions and a table function, for use from ``spark.sql``."""
+"""SQL names for what Spark lacks, for use from ``spark.sql``."""
 
 from __future__ import annotations
 
@@ -8,12 +8,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StringType
 
 from proofloom.functions import stems, text
-from proofloom.operators.chunking import chunk_text
 from proofloom.operators.dense import vector_digest
 
 
 def register(spark: SparkSession) -> None:
-    """normalize_text, strip_diacritics, stem, lexical_words, cover_density, vector_digest, and chunk_text(text, size, overlap) as a table."""
+    """normalize_text, strip_diacritics, stem, lexical_words, cover_density and vector_digest."""
 
     @F.pandas_udf(ArrayType(StringType()))
     def lexical_words(texts: pd.Series) -> pd.Series:
@@ -23,13 +22,6 @@ def register(spark: SparkSession) -> None:
     def cover_density(positions: pd.Series) -> pd.Series:
         return positions.map(lambda p: stems.cover_density([list(x) for x in p]), na_action="ignore")
 
-    @F.udtf(returnType="chunk_index int, start_char int, end_char int, page_number int, section_title string, structure_type string, chunking_strategy string, content string")
-    class ChunkText:
-        def eval(self, body: str, size: int, overlap: int):
-            for n, (a, b, page, section, kind, strategy) in enumerate(chunk_text(body or "", size, overlap)):
-                yield n, a, b, page, section, kind, strategy, body[a:b]
-
     text.register(spark)
     for name, function in {"stem": stems.stem, "lexical_words": lexical_words, "cover_density": cover_density, "vector_digest": vector_digest}.items():
         spark.udf.register(name, function)
-    spark.udtf.register("chunk_text", ChunkText)

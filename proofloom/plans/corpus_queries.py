@@ -142,39 +142,89 @@ def text_slices(spark, sf_dir):
     return rows.select("document_id", "slice", F.col("total_chars").cast("long"))
 
 
-@query(r"""WITH l AS (SELECT doc_id AS document_id, trim(line, ' ' || chr(9) || chr(13)) AS line, chunk_index AS line_index FROM linesof),
+_TYPED = r"""l AS (SELECT doc_id AS document_id, line AS raw, trim(line, ' ' || chr(9) || chr(13)) AS line, chunk_index AS line_index FROM linesof),
   n AS (SELECT *, coalesce(lag(line = '') OVER w, true) AS before, coalesce(lead(line = '') OVER w, false) AS after,
     coalesce(max(line <> '') OVER (PARTITION BY document_id ORDER BY line_index ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), false) AS rest,
     length(regexp_replace(line, '\P{L}', '', 'g')) AS letters, length(regexp_replace(line, '\P{Lu}', '', 'g')) AS upper_,
-    len(regexp_extract_all(line, '\S+')) AS words FROM l WINDOW w AS (PARTITION BY document_id ORDER BY line_index))
-  SELECT document_id, line_index, CASE WHEN line = '' THEN 'blank' WHEN contains(line, ' | ') THEN 'table_row'
+    len(regexp_extract_all(line, '\S+')) AS words FROM l WINDOW w AS (PARTITION BY document_id ORDER BY line_index)),
+  typed AS (SELECT document_id, line_index, raw, line, CASE WHEN line = '' THEN 'blank' WHEN contains(line, ' | ') THEN 'table_row'
     WHEN regexp_matches(line, '^(?:[-*•]\s+|\d+[.)]\s+|[A-Za-z][)]\s+)') THEN 'list_item'
     WHEN regexp_matches(line, '^#{1,6}\s+\S') OR regexp_matches(line, '^\d+(?:\.\d+)+(?:[.)])?\s+\S') OR (length(line) <= 120 AND line LIKE '%:')
       OR (letters >= 3 AND length(line) <= 120 AND upper_ >= letters * 0.8)
       OR (before AND after AND rest AND words BETWEEN 1 AND 8 AND length(line) <= 80 AND NOT regexp_matches(line, '[.!?;,]$')) THEN 'heading'
-    ELSE 'paragraph' END AS line_type FROM n""")
+    ELSE 'paragraph' END AS line_type FROM n)"""
+#: The units of a document without page breaks: its lines joined to headings, rows, items and paragraphs.
+_UNITS = rf"""{_TYPED},
+  placed AS (SELECT *, coalesce(sum(length(raw) + 1) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(raw) - length(ltrim(raw, ' ' || chr(9) || chr(13))) AS start_char,
+    last_value(CASE WHEN line_type = 'heading' THEN line END IGNORE NULLS) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS section_title,
+    CASE WHEN line_type = 'paragraph' AND coalesce(lag(line_type) OVER w, '') = 'paragraph' THEN 0 ELSE 1 END AS fresh FROM typed WINDOW w AS (PARTITION BY document_id ORDER BY line_index)),
+  numbered AS (SELECT *, sum(fresh) OVER (PARTITION BY document_id ORDER BY line_index) AS unit FROM placed),
+  pieces AS (SELECT document_id, unit, first(line_type) AS kind, arg_min(section_title, line_index) AS section_title, min(start_char) AS s, max(start_char + length(line)) AS e,
+    min(line_index) AS first_line, max(line_index) AS last_line FROM numbered WHERE line_type <> 'blank' GROUP BY document_id, unit)"""
+
+
+@query(f"WITH {_TYPED} SELECT document_id, line_index, line_type FROM typed")
 def line_classification(spark, sf_dir):
     rows = chunking.classify(chunking.lines(tables.documents(spark, sf_dir)))
     return rows.select("document_id", F.col("line_index").cast("long"), "line_type")
 
 
-@query()
+@query(f"""WITH {_UNITS} SELECT document_id, 1::INTEGER AS page_number, unit::BIGINT AS unit, kind AS structure_type, section_title, s::BIGINT AS start_char, e::BIGINT AS end_char FROM pieces""")
 def structural_units(spark, sf_dir):
-    return chunking.units(tables.documents(spark, sf_dir))
-
-
-@query()
+    pieces = chunking.units(tables.documents(spark, sf_dir))
+    return pieces.select("document_id", "page_number", F.col("unit").cast("long"), "structure_type", "section_title", F.col("start_char").cast("long"), F.col("end_char").cast("long"))
+
+
+#: Packing by recursion over the units of a run, and over the windows of a long unit.
+_CHUNKED = rf"""{_UNITS},
+  flagged AS (SELECT *, e - s > 1200 AS long, e - s > 1200 OR kind IN ('heading', 'table_row') AS alone FROM pieces),
+  runs AS (SELECT *, CASE WHEN NOT alone AND NOT coalesce(lag(alone) OVER w, true) AND lag(kind) OVER w = kind AND lag(section_title) OVER w IS NOT DISTINCT FROM section_title
+    AND NOT (kind = 'list_item' AND lag(last_line) OVER w + 1 < first_line) THEN 0 ELSE 1 END AS fresh FROM flagged WINDOW w AS (PARTITION BY document_id ORDER BY unit)),
+  dealt AS (SELECT *, sum(fresh) OVER (PARTITION BY document_id ORDER BY unit) AS run FROM runs),
+  turns AS (SELECT *, row_number() OVER (PARTITION BY document_id, run ORDER BY unit) AS turn FROM dealt WHERE NOT long),
+  fold AS (SELECT document_id, run, turn, kind, section_title, s, e, 1 AS n FROM turns WHERE turn = 1
+    UNION ALL SELECT t.document_id, t.run, t.turn, t.kind, t.section_title, CASE WHEN t.e - f.s <= 1200 THEN f.s ELSE t.s END, t.e, CASE WHEN t.e - f.s <= 1200 THEN f.n + 1 ELSE 1 END
+    FROM fold f JOIN turns t ON t.document_id = f.document_id AND t.run = f.run AND t.turn = f.turn + 1),
+  whole AS (SELECT document_id, section_title, s, max(e) AS e, CASE WHEN kind = 'list_item' AND max(n) > 1 THEN 'list_block' ELSE kind END AS kind, 'structured_v1' AS strategy FROM fold GROUP BY document_id, run, kind, section_title, s),
+  bodies AS (SELECT u.document_id, u.section_title, u.s, substr(d.text, u.s::BIGINT + 1, (u.e - u.s)::BIGINT) AS body, (u.e - u.s)::BIGINT AS n FROM dealt u JOIN docs d USING (document_id) WHERE u.long),
+  wins AS (SELECT document_id, section_title, s, body, n, 0::BIGINT AS pos, NULL::BIGINT AS stop FROM bodies
+    UNION ALL SELECT document_id, section_title, s, body, n, pos, CASE WHEN most = n THEN most WHEN lined > 0 THEN pos + 150 + lined WHEN spaced > 0 THEN pos + 150 + spaced ELSE most END
+    FROM (SELECT *, length(regexp_extract(zone, '(?s)^(.*\n)', 1)) AS lined, length(regexp_extract(zone, '(?s)^(.*[ \t])', 1)) AS spaced
+      FROM (SELECT *, least(pos + 1200, n) AS most, substr(body, pos + 151, least(pos + 1200, n) - pos - 150) AS zone
+        FROM (SELECT document_id, section_title, s, body, n, CASE WHEN stop IS NULL THEN 0 WHEN stop = n AND pos + 1200 >= n THEN n ELSE greatest(stop - 150, pos + 1) END AS pos FROM wins) WHERE pos < n))),
+  cuts AS (SELECT document_id, section_title, s + pos + length(raw) - length(ltrim(raw, w)) AS s, length(trim(raw, w)) AS len
+    FROM (SELECT *, substr(body, pos + 1, stop - pos) AS raw, ' ' || chr(9) || chr(10) || chr(13) AS w FROM wins WHERE stop IS NOT NULL)),
+  spans AS (SELECT * FROM whole UNION ALL SELECT document_id, section_title, s, s + len, 'fallback_fragment', 'character_fallback_v1' FROM cuts WHERE len > 0),
+  made AS (SELECT p.*, substr(d.text, p.s::BIGINT + 1, (p.e - p.s)::BIGINT) AS content, (row_number() OVER (PARTITION BY document_id ORDER BY p.s) - 1)::INTEGER AS chunk_index FROM spans p JOIN docs d USING (document_id))"""
+
+
+@query(f"""WITH RECURSIVE {_CHUNKED} SELECT document_id, chunk_index, content, {normal('content')} AS normalized_content, sha256(content) AS content_sha256, s::INTEGER AS start_char, e::INTEGER AS end_char,
+  1::INTEGER AS page_number, section_title, kind AS structure_type, strategy AS chunking_strategy FROM made""")
 def chunk_document(spark, sf_dir):
+    """Chunks of every document (the bundled texts have no page breaks)."""
     return chunking.chunk_documents(tables.documents(spark, sf_dir))
 
 
-@query("SELECT count(*) AS n_documents, 0::BIGINT AS n_bad FROM documents WHERE trim(text) <> ''")
+@query(f"""WITH RECURSIVE {_CHUNKED}, faulty AS (SELECT document_id, CASE WHEN chunk_index % 7 = 3 THEN s + 1 ELSE s END AS s, e, CASE WHEN chunk_index % 11 = 5 THEN content || '!' ELSE content END AS content,
+    CASE WHEN chunk_index % 13 = 6 THEN chunk_index - 1 ELSE chunk_index END AS chunk_index FROM made),
+  checked AS (SELECT f.*, substr(d.text, f.s::BIGINT + 1, (f.e - f.s)::BIGINT) AS span, count(*) OVER (PARTITION BY document_id, f.chunk_index) AS same, length(d.text) AS n FROM faulty f JOIN docs d USING (document_id))
+  SELECT count(DISTINCT document_id) AS n_documents, count(*) AS n_chunks, count_if(e <= s OR e > n)::BIGINT AS n_bad_offsets, count_if(span <> content)::BIGINT AS n_content_differs, count_if(same > 1)::BIGINT AS n_duplicate_index FROM checked""")
 def chunk_integrity(spark, sf_dir):
-    """Documents with chunks, and chunks that break an invariant (none may)."""
+    """The audit over the chunks with planted faults: some begin a character late, have text of their own, or repeat an index."""
     docs = tables.documents(spark, sf_dir)
-    audit = diagnostics.chunk_integrity(chunking.chunk_documents(docs), docs.select("document_id", "text"))
-    bad = F.col("bad_offsets") | F.col("content_differs") | F.col("blank") | F.col("crosses_page") | F.col("duplicate_index")
-    return audit.agg(F.count_distinct("document_id").alias("n_documents"), F.count_if(bad).alias("n_bad"))
+    i = F.col("chunk_index")
+    faulty = chunking.chunk_documents(docs).withColumns(
+        {
+            "start_char": F.when(i % 7 == 3, F.col("start_char") + 1).otherwise(F.col("start_char")),
+            "content": F.when(i % 11 == 5, F.concat("content", F.lit("!"))).otherwise(F.col("content")),
+            "chunk_index": F.when(i % 13 == 6, i - 1).otherwise(i),
+        }
+    )
+    audit = diagnostics.chunk_integrity(faulty, docs.select("document_id", "text"))
+    return audit.agg(
+        F.count_distinct("document_id").alias("n_documents"), F.count(F.lit(1)).alias("n_chunks"), F.count_if("bad_offsets").alias("n_bad_offsets"),
+        F.count_if("content_differs").alias("n_content_differs"), F.count_if("duplicate_index").alias("n_duplicate_index"),
+    )
 
 
 @query("SELECT document_id, structure_type, count(*) AS n_chunks FROM chunks GROUP BY ALL")

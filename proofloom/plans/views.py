@@ -81,4 +81,7 @@ def with_views(sql: str) -> str:
         return sql
     head = ", ".join(f"{n} AS ({VIEWS[n]})" for n in wanted)
     body = sql.strip()
-    return f"WITH {head}, {body[4:].lstrip()}" if body.upper().startswith("WITH") else f"WITH {head} {body}"
+    for start in ("WITH RECURSIVE", "WITH"):
+        if body.upper().startswith(start):
+            return f"{start} {head}, {body[len(start) :].lstrip()}"
+    return f"WITH {head} {body}"

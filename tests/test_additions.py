@@ -49,7 +49,6 @@ def test_sql_names(spark):
     assert spark.sql("SELECT normalize_text('Ünï  X')").first()[0] == "uni x"
     assert spark.sql("SELECT stem('running', 'english')").first()[0] == "run"
     assert spark.sql("SELECT lexical_words('A b-c')").first()[0] == ["a", "b", "c"]
-    assert [r["content"] for r in spark.sql("SELECT content FROM chunk_text('# T\n\nbody text', 1200, 150)").collect()] == ["# T", "body text"]
 
 
 def test_stream_and_its_restart(spark, tmp_path):

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import struct
 
 import pytest
@@ -80,35 +81,69 @@ def test_content_match(spark):
     assert got["compactness"] == pytest.approx(3 / 4) and got["proximity"] == pytest.approx(3 / 4)
 
 
-def test_chunks_of_a_structured_text():
+def chunked(spark, texts, **settings):
+    """Sorted (start, end, page, section, kind, strategy) by document, from the Column version; contents and indexes checked."""
+    df = spark.createDataFrame(list(enumerate(texts)), "document_id long, text string")
+    found = {k: [] for k in range(len(texts))}
+    for r in chunking.chunk_documents(df, **settings).orderBy("document_id", "chunk_index").collect():
+        assert r["content"] == texts[r["document_id"]][r["start_char"] : r["end_char"]]
+        assert r["chunk_index"] == len(found[r["document_id"]])
+        found[r["document_id"]].append((r["start_char"], r["end_char"], r["page_number"], r["section_title"], r["structure_type"], r["chunking_strategy"]))
+    return found
+
+
+def test_chunks_of_a_structured_text(spark):
     text = "# Title\n\nFirst line\nsecond line\n\n- one\n- two\n\n- three\na | b\n\fNEXT PAGE\nbody text here."
-    got = chunking.chunk_text(text)
+    got = chunked(spark, [text])[0]
     assert [(text[a:b], page, section, kind) for a, b, page, section, kind, _ in got] == [
         ("# Title", 1, "# Title", "heading"), ("First line\nsecond line", 1, "# Title", "paragraph"), ("- one\n- two", 1, "# Title", "list_block"), ("- three", 1, "# Title", "list_item"),
         ("a | b", 1, "# Title", "table_row"), ("NEXT PAGE", 2, "NEXT PAGE", "heading"), ("body text here.", 2, "NEXT PAGE", "paragraph"),
     ]
 
 
-@pytest.mark.parametrize("text", ["word " * 700, "x" * 3000, "line one\r\nline two\r" * 200])
-def test_long_pieces_are_cut_with_overlap(text):
-    got = chunking.chunk_text(text)
-    assert all(b - a <= 1200 for a, b, *_ in got)
-    assert got[0][0] == 0 and got[-1][1] == len(text.rstrip())
-    assert all(n[0] < p[1] and n[0] > p[0] for p, n in zip(got, got[1:]))
-    assert {g[5] for g in got} == {"character_fallback_v1"}
+def test_long_pieces_are_cut_with_overlap(spark):
+    texts = ["word " * 700, "x" * 3000, "line one\r\nline two\r" * 200]
+    for text, got in zip(texts, chunked(spark, texts).values()):
+        assert all(b - a <= 1200 for a, b, *_ in got)
+        assert got[0][0] == 0 and got[-1][1] == len(text.rstrip())
+        assert all(n[0] < p[1] and n[0] > p[0] for p, n in zip(got, got[1:]))
+        assert {g[5] for g in got} == {"character_fallback_v1"}
+
+
+@pytest.mark.parametrize(("size", "overlap"), [(1200, 150), (90, 10), (50, 0)])
+def test_chunks_equal_the_plain_version(spark, size, overlap):
+    from plain_chunker import chunk_text
 
+    rng = random.Random(1)
+    parts = ["# Head", "- item", "- two", "1) x", "a | b", "para text here", "UPPER CASE", "word " * 60, "x" * 400, "", "", " ", "\t", "  indented", "Ends:", "é\U0001f642 thing", "z" * 1500, "w " * 900, "\u2003wide"]
+    ends = ["\n", "\n", "\n\n", "\r\n", "\r", "\f", " "]
+    texts = ["".join(rng.choice(parts) + rng.choice(ends) for _ in range(rng.choice([0, 1, 5, 40]))) for _ in range(200)] + ["", " \n", "q " * 40_000, "# h\n" * 3000]
+    got = chunked(spark, texts, size=size, overlap=overlap)
+    for k, text in enumerate(texts):
+        assert got[k] == chunk_text(text, size, overlap), k
 
-def test_chunk_parameters():
+
+def test_chunks_of_repeated_and_null_keys(spark):
+    df = spark.createDataFrame([(1, "one.\n\ntwo."), (1, "one.\n\ntwo."), (None, "three"), (2, None), (3, " ")], "document_id long, text string")
+    got = [(r["document_id"], r["chunk_index"], r["content"]) for r in chunking.chunk_documents(df).collect()]
+    assert sorted(got, key=repr) == sorted([(1, 0, "one.\n\ntwo."), (1, 0, "one.\n\ntwo."), (None, 0, "three")], key=repr)
+    assert chunking.chunk_documents(df.limit(0)).collect() == []
+
+
+def test_chunk_parameters(spark):
+    df = spark.createDataFrame([(1, "x")], "document_id long, text string")
     for size, overlap in ((0, 0), (10, 10), (10, -1)):
         with pytest.raises(ValueError):
-            chunking.chunk_text("x", size, overlap)
+            chunking.chunk_documents(df, size=size, overlap=overlap)
+
 
+def test_relational_units_match_the_plain_ones(spark):
+    from plain_chunker import pieces
 
-def test_relational_units_match_the_packer(spark):
     text = "HEAD\npara one\npara two\n\n1) item\n  indented | row  \r\nlast\fpage two"
     df = spark.createDataFrame([(1, text)], "document_id long, text string")
     got = sorted((r["start_char"], r["end_char"], r["structure_type"], r["section_title"]) for r in chunking.units(df).collect())
-    assert got == [(p.start, p.end, p.kind, p.section) for p in chunking.pieces(text)]
+    assert got == [(p.start, p.end, p.kind, p.section) for p in pieces(text)]
 
 
 def test_integrity_audit_finds_faults(spark):

@@ -32,8 +32,7 @@ def plain(value):
 
 #: Queries that SQL cannot express, and the test that holds their results against a plain version or a golden case.
 OTHERWISE = {
-    "structural_units": "tests/test_golden.py", "chunk_document": "tests/test_golden.py", "vector_digests": "test_digests_reproduce",
-    "bootstrap_ci": "tests/test_golden.py", "postings": "tests/test_additions.py",
+    "vector_digests": "test_digests_reproduce", "bootstrap_ci": "tests/test_golden.py", "postings": "tests/test_additions.py",
 }
 
 
