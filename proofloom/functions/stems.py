@@ -6,12 +6,13 @@ worked out once for each distinct word, by a pandas UDF, and joined back.
 
 from __future__ import annotations
 
+import functools
 import re
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 from proofloom.functions.lexical import FUNCTIONAL, fts_configuration
 
@@ -159,6 +160,21 @@ def stem(words: pd.Series, configurations: pd.Series) -> pd.Series:
     return pd.Series([None if w is None else rules.get(c, str)(w) for w, c in zip(words, configurations)])
 
 
+STOPS = {"english": frozenset(FUNCTIONAL["en"].split()), "portuguese": frozenset(FUNCTIONAL["pt"].split()), "simple": frozenset()}
+
+
+@functools.lru_cache(maxsize=200_000)
+def lexeme(word: str, configuration: str) -> str:
+    """Stem of a word with content, empty for others."""
+    return "" if word in STOPS.get(configuration, ()) else {"english": english, "portuguese": portuguese}.get(configuration, str)(word)
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def lexemes(words: pd.Series, configurations: pd.Series) -> pd.Series:
+    """Lexemes of arrays of words, place by place; a worker remembers words that come again."""
+    return pd.Series([None if own is None else [lexeme(w, c) for w in own] for own, c in zip(words, configurations)])
+
+
 def postings(chunks: DataFrame) -> DataFrame:
     """chunk_id, lexeme, positions (from 1, as in a text-search vector) of normalised chunks with a language.
 

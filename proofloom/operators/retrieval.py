@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from proofloom.functions import lexical as lx
 from proofloom.functions.text import normalize_text
+from proofloom.operators.meeting import rarest_meetings
 
 # Weights of the composite score, its saturation and length constants, and the floor.
 WEIGHTS = {"coverage": 0.40, "exact_phrase": 0.16, "proximity": 0.14, "ordered": 0.08, "title_overlap": 0.07, "section_overlap": 0.05, "table_row_bonus": 0.06, "fts": 0.02, "strategy_quality": 0.02}
@@ -89,10 +90,11 @@ def parse_websearch(text: Column) -> Column:
 
 
 def has_phrase(words: Column, phrase: Column) -> Column:
-    """Whether the words of a phrase stand next to each other in order."""
+    """Whether the words of a phrase stand next to each other in order; an empty word of the phrase stands for any."""
     n = F.size(phrase)
     starts = F.sequence(F.lit(1), F.greatest(F.size(words) - n + 1, F.lit(1)))
-    long = F.exists(starts, lambda i: F.slice(words, i, n) == phrase)
+    like = lambda i: F.forall(F.zip_with(F.slice(words, i, n), phrase, lambda w, p: (p == "") | (w == p)), lambda b: b)
+    long = F.exists(starts, lambda i: F.when(F.array_contains(phrase, ""), like(i)).otherwise(F.slice(words, i, n) == phrase))
     return F.when(n == 1, F.array_contains(words, F.element_at(phrase, 1))).when(n > F.size(words), F.lit(False)).otherwise(long)
 
 
@@ -125,7 +127,7 @@ def meeting_words(variants: DataFrame, hits: DataFrame) -> DataFrame:
     flat = variants.select(*place, "question_id", "turn", F.posexplode(_grouped(F.col("units"))).alias("unit", "u")).select(*place, "question_id", "turn", "unit", "u.*")
     owner = ["question_id", "turn"]
     open_ = flat.groupBy(*owner, "group").agg(F.max("negated").alias("no")).filter("NOT no").drop("no")
-    words = flat.join(open_, [*owner, "group"]).withColumn("word", F.explode(F.array_distinct("phrase")))
+    words = flat.join(open_, [*owner, "group"]).withColumn("word", F.explode(F.array_distinct("phrase"))).filter("word <> ''")
     counts = hits.groupBy(*place, "word").agg(F.count(F.lit(1)).alias("n"))
     rarest = words.join(counts, [*place, "word"], "left").groupBy(*place, *owner, "group", "unit").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word")).alias("rarest"))
     best = rarest.groupBy(*owner, "group").agg(F.sum("rarest.n").alias("cost")).groupBy(*owner).agg(F.min(F.struct("cost", "group")).alias("best"))
@@ -136,11 +138,13 @@ def meeting_words(variants: DataFrame, hits: DataFrame) -> DataFrame:
 def match_candidates(variants: DataFrame, chunks: DataFrame) -> DataFrame:
     """question_id, turn, chunk_id, document_id, chunk_index of the pairs that match.
 
-    A variant in which every group has a negation meets every chunk of its institution and language, as it asks for.
+    A variant in which every group has a negation meets every chunk of its institution and language, as it asks for. Variants
+    with ``units`` are matched by these, else by their parsed input.
     """
     place, owner, ids = ["institution_id", "language"], ["question_id", "turn"], ["chunk_id", "document_id", "chunk_index"]
-    asked = variants.select(*place, *owner, parse_websearch(F.col("input")).alias("units")).filter(F.size("units") > 0)
-    words = asked.select(*place, F.explode(F.flatten(F.transform("units", lambda u: u["phrase"]))).alias("word")).distinct()
+    units = F.col("units") if "units" in variants.columns else parse_websearch(F.col("input"))
+    asked = variants.select(*place, *owner, units.alias("units")).filter(F.size("units") > 0)
+    words = asked.select(*place, F.explode(F.flatten(F.transform("units", lambda u: u["phrase"]))).alias("word")).filter("word <> ''").distinct()
     hits = chunks.select(*place, *ids, F.explode(F.array_distinct("words")).alias("word")).join(words, [*place, "word"], "left_semi")
     meet = meeting_words(asked, hits)
     found = hits.join(meet, [*place, "word"]).select(*owner, *ids).distinct()
@@ -160,12 +164,21 @@ def with_arrays(pairs: DataFrame, questions: DataFrame, chunks: DataFrame) -> Da
 # ---- what a match is worth --------------------------------------------------------------------------------------
 
 
-def places_of_terms(questions: DataFrame, chunks: DataFrame) -> DataFrame:
-    """question_id, chunk_id, term (its number), position of every place of a question's terms in its institution's chunks."""
-    place = ["institution_id", "language"]
-    asked = questions.select(*place, "question_id", F.posexplode("terms").alias("term", "key"))
-    held = chunks.select(*place, "chunk_id", F.explode(F.arrays_zip("keys", "positions")).alias("p")).select(*place, "chunk_id", F.col("p.keys").alias("key"), F.col("p.positions").alias("position"))
-    return held.join(asked, [*place, "key"]).select("question_id", "chunk_id", "term", "position")
+def places_of_terms(pairs: DataFrame, questions: DataFrame, chunks: DataFrame) -> DataFrame:
+    """question_id, chunk_id, term (its number), position of every place of a question's terms in the chunks it is paired with."""
+    both = pairs.select("question_id", "chunk_id").distinct().join(questions.select("question_id", "terms"), "question_id")
+    held = both.join(chunks.select("chunk_id", "keys", "positions"), "chunk_id")
+    found = F.filter(F.arrays_zip("keys", "positions"), lambda p: F.array_contains("terms", p["keys"]))
+    numbered = F.transform(found, lambda p: F.struct((F.array_position("terms", p["keys"]) - 1).cast("int").alias("term"), p["positions"].alias("position")))
+    return held.select("question_id", "chunk_id", F.explode(numbered).alias("p")).select("question_id", "chunk_id", "p.term", "p.position")
+
+
+def joint_pairs(questions: DataFrame, chunks: DataFrame) -> DataFrame:
+    """question_id, chunk_id where the chunk, of the question's institution and language, has the question's rarest term."""
+    needles = questions.select("question_id", F.col("institution_id").alias("__i"), F.col("language").alias("__l"), F.col("terms").alias("words"))
+    texts = chunks.select("chunk_id", "institution_id", "language", F.col("keys").alias("words"))
+    met = rarest_meetings(needles, ["question_id", "__i", "__l"], texts, ["chunk_id", "institution_id", "language"])
+    return met.filter("__i = institution_id AND __l = language").select("question_id", "chunk_id")
 
 
 def term_worth(places: DataFrame) -> DataFrame:
@@ -201,7 +214,7 @@ def scored(pairs: DataFrame, variants: DataFrame, chunks: DataFrame) -> DataFram
     """Pairs with strategy, priority, quota and raw_score: cover density for conjunctions, places for alternatives."""
     told = pairs.join(variants.select("question_id", "turn", "strategy", "priority", "quota"), ["question_id", "turn"])
     questions = variants.select("question_id", "institution_id", "language", "terms").dropDuplicates(["question_id"])
-    places = places_of_terms(questions, chunks)
+    places = places_of_terms(told, questions, chunks)
     both = ["question_id", "chunk_id"]
     conjunctive = F.col("strategy").isin(*CONJUNCTIVE)
     joint = told.filter(conjunctive).select(*both).distinct()

@@ -11,7 +11,8 @@ from proofloom.operators import answering, contracts, diagnostics, metrics, retr
 from proofloom.plans.declare import query
 from proofloom.plans.measure_queries import _DECIDED, _SIGNALS, LISTS, _fact_sql, _facts, presence, signals
 from proofloom.plans.search_queries import _TF_RANK, TOP_K, asked, decided, index, search_chunks
-from proofloom.plans.views import WORD, normal
+from proofloom.plans import stem_sql
+from proofloom.plans.views import EN, WORD, normal
 from proofloom.sources import tables
 
 
@@ -26,7 +27,8 @@ def postings_simple(spark, sf_dir):
     return rows.select("chunk_id.document_id", F.col("chunk_id.chunk_index").cast("long").alias("chunk_index"), "lexeme", F.array_join(F.col("positions").cast("array<string>"), " ").alias("positions"))
 
 
-@query()
+@query(f"""WITH w AS (SELECT chunk_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS place FROM (SELECT chunk_id, regexp_extract_all({normal('content')}, {WORD}) AS ws FROM elig)),
+  lx AS ({stem_sql.english('SELECT word FROM w')}) SELECT chunk_id, lexeme, list(place::INTEGER ORDER BY place) AS positions FROM w JOIN lx USING (word) WHERE NOT list_contains({EN}, word) GROUP BY ALL""")
 def postings(spark, sf_dir):
     """Stemmed lexemes with positions of the admissible chunks."""
     return stems.postings(search_chunks(spark, sf_dir))
@@ -36,7 +38,8 @@ def postings(spark, sf_dir):
 def cover_density(spark, sf_dir):
     """Cover density of every question in every admissible chunk that holds all its terms."""
     questions = asked(spark, sf_dir)
-    found = retrieval.cover_worth(retrieval.places_of_terms(questions, index(spark, sf_dir)), questions)
+    held = index(spark, sf_dir)
+    found = retrieval.cover_worth(retrieval.places_of_terms(retrieval.joint_pairs(questions, held), questions, held), questions)
     return found.select("question_id", "chunk_id", F.round("raw_score", 9).alias("density"))
 
 

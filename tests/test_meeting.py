@@ -68,7 +68,7 @@ def test_cover_density_equals_plain_search(spark):
     asked = [(0, ["alpha"]), (1, ["alpha", "beta"]), (2, ["gamma", "the", "of"])]
     chunks = spark.createDataFrame([(k, "i", "en", w, list(range(len(w)))) for k, w in texts], "chunk_id long, institution_id string, language string, keys array<string>, positions array<int>")
     questions = spark.createDataFrame([(q, "i", "en", t) for q, t in asked], "question_id long, institution_id string, language string, terms array<string>")
-    got = {(r["question_id"], r["chunk_id"]): r["raw_score"] for r in retrieval.cover_worth(retrieval.places_of_terms(questions, chunks), questions).collect()}
+    got = {(r["question_id"], r["chunk_id"]): r["raw_score"] for r in retrieval.cover_worth(retrieval.places_of_terms(retrieval.joint_pairs(questions, chunks), questions, chunks), questions).collect()}
     want = {(q, k): plain_density(t, w) for q, t in asked for k, w in texts if set(t) <= set(w)}
     assert got.keys() == want.keys()
     assert all(got[key] == pytest.approx(want[key]) for key in want)
