@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -77,9 +79,59 @@ def select_policy(metrics: DataFrame) -> DataFrame:
     return inside.orderBy(F.desc_nulls_last("correct_abstention"), F.asc_nulls_last("false_abstention"), F.desc("coverage"), "rule", "min_top1", "min_margin").limit(1)
 
 
+#: Buckets into which a range of values is counted at a time.
+BUCKETS = 1024
+
+
+def order_statistics(rows: DataFrame, column: str, ranks: list[int]) -> dict[int, float]:
+    """Values at ranks (from 0, ascending) by distributed selection: a range is counted in buckets, and each rank's bucket is the next range.
+
+    No state grows with the number of values; a pass returns ``BUCKETS`` rows a range at most, and a range is at an end when
+    its bucket holds one value.
+    """
+    own = rows.select(F.col(column).cast("double").alias("v")).filter("v is not null")
+    low, high = own.agg(F.min("v"), F.max("v")).first()
+    found: dict[int, float] = {}
+    ranges = {r: (low, high, 0) for r in ranks}
+    while ranges:
+        distinct = sorted(set(ranges.values()))
+
+        def place(i: int, low: float, high: float) -> Column:
+            share = (F.col("v") / 2 - low / 2) / (high / 2 - low / 2) if high > low else F.lit(0.0)
+            return F.when(F.col("v").between(low, high), F.struct(F.lit(i).alias("range"), F.least(F.lit(BUCKETS - 1), F.floor(share * BUCKETS)).cast("int").alias("bucket")))
+
+        marked = own.select("v", F.explode(F.array_compact(F.array(*(place(i, low, high) for i, (low, high, _) in enumerate(distinct))))).alias("p"))
+        counted = marked.groupBy("p.range", "p.bucket").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("low"), F.max("v").alias("high")).collect()
+        later = {}
+        for rank, own_range in ranges.items():
+            below = own_range[2]
+            for b in sorted((r for r in counted if r["range"] == distinct.index(own_range)), key=lambda r: r["bucket"]):
+                if rank < below + b["n"]:
+                    break
+                below += b["n"]
+            if b["low"] == b["high"]:
+                found[rank] = b["low"]
+            else:
+                later[rank] = (b["low"], b["high"], below)
+        ranges = later
+    return found
+
+
 def quantiles(rows: DataFrame, column: str, points: list[float]) -> DataFrame:
-    """Quantiles with linear interpolation between order statistics."""
-    return rows.agg(*(F.percentile(column, F.lit(q)).alias(f"q{int(q * 1000):04d}") for q in points))
+    """Quantiles with linear interpolation between order statistics, one row; null values do not count, without any all are null."""
+    n = rows.filter(F.col(column).isNotNull()).count()
+    at = {q: (n - 1) * q for q in points}
+    ranks = sorted({rank for p in at.values() for rank in (math.floor(p), math.ceil(p))}) if n else []
+    values = order_statistics(rows, column, ranks) if n else {}
+
+    def value(p: float) -> float | None:
+        if not n:
+            return None
+        low, high = math.floor(p), math.ceil(p)
+        return values[low] if values[low] == values[high] else (high - p) * values[low] + (p - low) * values[high]
+
+    names = [f"q{int(q * 1000):04d}" for q in points]
+    return rows.sparkSession.createDataFrame([tuple(value(at[q]) for q in points)], ", ".join(f"{c} double" for c in names))
 
 
 def scenario_mean(rows: DataFrame, column: str) -> DataFrame:

@@ -19,7 +19,7 @@ from proofloom.sources.stored import once, stored, stored_once
 K = 8
 
 _LEXED = f"""said AS (SELECT conv_id * 10000 + turn AS question_id, 'i' || (conv_id % 2) AS institution_id, {normal('text')} AS query FROM conversations WHERE role = 'user'
-    UNION ALL SELECT -question_id, institution_id, query FROM questions),
+    UNION ALL SELECT -1 - question_id, institution_id, query FROM questions),
   ew AS (SELECT chunk_id, document_id, chunk_index, institution_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS place
     FROM (SELECT *, regexp_extract_all({normal('content')}, {WORD}) AS ws FROM elig)),
   qw AS (SELECT question_id, institution_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS place FROM (SELECT *, list_slice(list_filter(raw, lambda t, i: NOT (length(t) = 1 AND regexp_full_match(t, '\\p{{L}}'))
@@ -34,7 +34,7 @@ def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Questions of users: the user turns of all conversations and the benchmark passages (negative ids), asked in English."""
     own = tables.scan(spark, sf_dir, "conversations").filter("role = 'user'")
     said = own.select((F.col("conv_id") * 10000 + F.col("turn")).alias("question_id"), F.concat(F.lit("i"), (F.col("conv_id") % 2).cast("string")).alias("institution_id"), normalize_text(F.col("text")).alias("query"))
-    passages = tables.questions(spark, sf_dir).select((-F.col("question_id")).alias("question_id"), "institution_id", "query")
+    passages = tables.questions(spark, sf_dir).select((-1 - F.col("question_id")).alias("question_id"), "institution_id", "query")
     rows = said.unionByName(passages).withColumn("language", F.lit("en"))
     return rows.withColumn("terms", lx.informative_terms(F.col("query"), F.col("language"))).filter(F.size("terms") > 0)
 

@@ -13,7 +13,7 @@ __all__ = ["corpus_queries", "experiment_queries", "flagship", "guard_queries",
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search_queries.composite_topk(spark, sf_dir)
+    return posting_queries.stemmed_top_alternatives(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -70,10 +70,13 @@ def query_plan_variants(spark, sf_dir):
     return plan.select("question_id", F.col("turn").cast("long"), "strategy", "priority", "input", "quota")
 
 
-@query("SELECT k::INTEGER AS top_k, n::INTEGER AS n_variants, i::INTEGER AS turn, (lim // n + (CASE WHEN i < lim % n THEN 1 ELSE 0 END))::INTEGER AS quota FROM (SELECT k, n, i, least(100, greatest(20, 5 * k)) AS lim FROM range(1, 21) a(k), range(1, 5) b(n), range(0, 4) c(i) WHERE i < n)")
+@query(f"""WITH {_PLAN} SELECT question_id, k::INTEGER AS top_k, n_variants::INTEGER AS n_variants, turn::INTEGER AS turn, (lim // n_variants + (CASE WHEN turn < lim % n_variants THEN 1 ELSE 0 END))::INTEGER AS quota
+  FROM plan, (SELECT k, least(100, greatest(20, 5 * k)) AS lim FROM range(1, 26) r(k))""")
 def budget_quotas(spark, sf_dir):
-    rows = spark.range(1, 21).select(F.col("id").cast("int").alias("top_k"), F.explode(F.sequence(F.lit(1), F.lit(4))).alias("n_variants"))
-    rows = rows.withColumn("turn", F.explode(F.sequence(F.lit(0), F.col("n_variants") - 1)))
+    """Quotas of every question's variants for each number of results up to 25."""
+    plan = retrieval.planned_variants(asked(spark, sf_dir), TOP_K).select("question_id", F.col("turn").cast("int").alias("turn"))
+    sized = plan.join(plan.groupBy("question_id").agg(F.count(F.lit(1)).cast("int").alias("n_variants")), "question_id")
+    rows = sized.withColumn("top_k", F.explode(F.sequence(F.lit(1), F.lit(25))))
     return rows.withColumn("quota", lx.quota(lx.candidate_limit(F.col("top_k")), F.col("n_variants"), F.col("turn")))
 
 

@@ -66,9 +66,9 @@ class Line:
 
 
 def page_lines(words: list[Word]) -> list[str]:
-    """Text lines from top to bottom, columns separated by a bar."""
+    """Text lines from top to bottom, columns separated by a bar. A word without width or height counts as one unit wide or high; none is lost."""
     lines: list[Line] = []
-    for word in sorted((w for w in words if w.text.strip() and w.width > 0 and w.height > 0), key=lambda w: (w.middle, w.left)):
+    for word in sorted((w._replace(width=max(1, w.width), height=max(1, w.height)) for w in words if w.text.strip()), key=lambda w: (w.middle, w.left)):
         fits = [(fit, -i) for i, line in enumerate(lines) if (fit := line.fit(word))]
         if fits:
             lines[-max(fits)[1]].words.append(word)

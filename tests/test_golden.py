@@ -284,3 +284,47 @@ def test_conditions_explain_what_filters(spark):
     failed = {r["condition"] for r in admissibility.explain(rows, ["chunk_id"]).collect() if not r["satisfied"]}
     assert failed == {"version_is_highest_processed", "official_source_compatible"}
     assert admissibility.eligible(rows).count() == 0
+
+
+def test_words_without_size_stay():
+    words = [Word("date", 0, 0, 40, 10), Word("I", 50, 0, 0, 10), Word("-", 60, 5, 8, 0)]
+    assert sorted(page_lines(words)[0].replace(" | ", " ").split()) == ["-", "I", "date"]
+
+
+@pytest.mark.parametrize("values", [[3.0], [1.0, 2.0], [5.0] * 40 + [1.0], list(range(1000)), [1e308, -1e308, 0.0, 1e-300, 2e-300], [0.1 * k * k for k in range(5000)] + [7.0] * 3000])
+def test_quantiles_by_selection(spark, values):
+    rows = spark.createDataFrame([(float(v),) for v in values] + [(None,)], "v double").repartition(3)
+    points = [0.0, 0.025, 0.5, 0.975, 1.0]
+    got = statistics.quantiles(rows, "v", points).first()
+    want = rows.agg(*(F.percentile("v", F.lit(q)) for q in points)).first()
+    assert list(got) == pytest.approx(list(want), rel=1e-12)
+    ordered = sorted(map(float, values))
+    ranks = [0, len(values) // 3, len(values) - 1]
+    assert statistics.order_statistics(rows, "v", ranks) == {r: ordered[r] for r in ranks}
+
+
+def test_quantiles_without_values(spark):
+    rows = spark.createDataFrame([(None,)], "v double")
+    assert list(statistics.quantiles(rows, "v", [0.5]).first()) == [None]
+
+
+def test_visible_conversations_by_equal_keys(spark):
+    from proofloom.operators import rules
+
+    users = spark.createDataFrame([(1, "a", "admin"), (2, "a", "member"), (3, "b", None), (4, "b", "admin")], "user_id long, institution_id string, role string")
+    talks = spark.createDataFrame([(10, "a", 2), (11, "a", 1), (12, "b", 3), (13, "b", 2)], "conversation_id long, institution_id string, owner_id long")
+    seen = rules.visible_conversations(users, talks)
+    assert sorted(map(tuple, seen.collect())) == [(1, 10), (1, 11), (2, 10), (3, 12), (4, 12), (4, 13)]
+
+
+def test_entry_without_the_corpus_operators(tmp_path):
+    """A library that only the corpus operators need may be absent: the other queries are still there."""
+    import os
+    import subprocess
+    import sys
+
+    (tmp_path / "ahocorasick.py").write_text("raise ImportError('absent')")
+    code = "import __spark_entry__ as e; names = set(e.queries()); print(len(names) > 100, any(n.startswith('op') and n[2].isdigit() for n in names))"
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    out = subprocess.run([sys.executable, "-c", code], env=os.environ | {"PYTHONPATH": f"{tmp_path}:{root}"}, capture_output=True, text=True, cwd=root)
+    assert out.stdout.split() == ["True", "False"], out.stderr
