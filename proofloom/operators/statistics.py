@@ -128,7 +128,7 @@ def quantiles(rows: DataFrame, column: str, points: list[float]) -> DataFrame:
         if not n:
             return None
         low, high = math.floor(p), math.ceil(p)
-        return values[low] if values[low] == values[high] else (high - p) * values[low] + (p - low) * values[high]
+        return values[low] * (1 - (p - low)) + values[high] * (p - low)
 
     names = [f"q{int(q * 1000):04d}" for q in points]
     return rows.sparkSession.createDataFrame([tuple(value(at[q]) for q in points)], ", ".join(f"{c} double" for c in names))
