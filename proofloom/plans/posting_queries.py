@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from proofloom.functions import lexical as lx
 from proofloom.functions import stems
 from proofloom.functions.text import normalize_text
-from proofloom.operators import postings, retrieval
+from proofloom.operators import postings, retrieval, set_join
 from proofloom.plans.declare import query
 from proofloom.plans.search_queries import index
 from proofloom.plans.stem_sql import english
@@ -91,3 +91,23 @@ def stemmed_top_alternatives(spark, sf_dir):
     words = asked.select("question_id", "institution_id", "language", F.col("terms").alias("lexemes"))
     found = postings.top_alternatives(postings.with_lexemes(words, "lexemes"), lexed(spark, sf_dir), K)
     return found.select("question_id", "chunk_id", "worth", F.col("rank").cast("long").alias("rank"))
+
+
+#: The bundled questions are invented words, so those that are alike at all are so by little.
+LEAK = 0.15
+
+
+@query(f"""WITH {_LEXED}, w AS (SELECT question_id, CASE WHEN (question_id // 10000) % 3 = 0 THEN 'HELD_OUT' ELSE 'DEV' END AS split, list_sort(list_distinct(regexp_extract_all(query, {WORD}))) AS w FROM said WHERE query <> ''),
+  c AS (SELECT w, min(question_id) AS class, count(*) AS n, bool_or(split = 'DEV') AS dev, bool_or(split = 'HELD_OUT') AS held FROM w GROUP BY w),
+  p AS (SELECT a.class AS class_a, b.class AS class_b, round(len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))), 9) AS jaccard, a.n AS n_a, b.n AS n_b
+    FROM c a JOIN c b ON a.class < b.class AND ((a.dev AND b.held) OR (a.held AND b.dev)))
+  SELECT * FROM p WHERE jaccard >= {LEAK} UNION ALL SELECT class, class, 1.0::DOUBLE, n, n FROM c WHERE dev AND held""")
+def leaking_questions(spark, sf_dir):
+    """Questions of users and passages that stand in both splits, or nearly so: every third conversation is held out."""
+    own = tables.scan(spark, sf_dir, "conversations").filter("role = 'user'").select((F.col("conv_id") * 10000 + F.col("turn")).alias("question_id"), normalize_text(F.coalesce("text", F.lit(""))).alias("query"))
+    passages = tables.questions(spark, sf_dir).select((-1 - F.col("question_id")).alias("question_id"), "query")
+    rows = own.unionByName(passages).filter("query <> ''")
+    split = F.when(F.expr("(question_id div 10000) % 3") == 0, "HELD_OUT").otherwise("DEV")
+    words = F.regexp_extract_all("query", F.lit(r"(?U)([^\W_]+)"), F.lit(1))
+    found = set_join.leaks(rows.select("question_id", split.alias("split"), words.alias("words")), LEAK)
+    return found.withColumn("jaccard", F.round("jaccard", 9))
