@@ -1,10 +1,10 @@
-"""Queries of what happens to tables over time: versions after their attempts, and drift between two runs."""
+"""Queries of what happens to tables over time: versions after their attempts, drift between two runs, restored diacritics."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from proofloom.operators import digest_tree
+from proofloom.operators import digest_tree, restoration
 from proofloom.plans.declare import query
 from proofloom.sources import tables
 from proofloom.sources.stored import stored
@@ -60,3 +60,38 @@ def run_drift(spark, sf_dir):
     trees = [stored(digest_tree.tree(rows)) for rows in (before, after)]
     leaves = digest_tree.differing(*trees).filter(F.col("level") == digest_tree.DEPTH)
     return digest_tree.changes(before, after, leaves, ["doc_id"]).withColumnRenamed("doc_id", "document_id")
+
+
+# ---- restored diacritics ----------------------------------------------------------------------------------------
+
+
+def restored_pairs(spark, sf_dir):
+    """Every text beside itself without marks, with claims of its marked words; some pairs and claims are wrong on purpose."""
+    i = F.col("question_id")
+    rows = tables.scan(spark, sf_dir, "documents").select(F.col("doc_id").alias("question_id"), F.coalesce("text", F.lit("")).alias("restored"))
+    bare = rows.withColumn("original", restoration.stripped(F.col("restored")))
+    marked = F.array_sort(F.array_distinct(F.transform("marked", lambda w: F.struct(w["accented"].alias("accented"), w["plain"].alias("plain")))))
+    own = restoration.paired(bare).withColumn("own", marked)
+    own = own.withColumn("own", F.when(i % 5 == 0, F.filter("own", lambda c, at: at > 0)).otherwise(F.col("own")))
+    claim = lambda plain, accented: F.struct(F.lit(plain).alias("plain"), F.lit(accented).alias("accented"))
+    false = F.array_compact(F.array(F.when(i % 7 == 0, claim("zzz", "zzź")), F.when(i % 11 == 0, claim("abcq", "abcq")), F.when(i % 17 == 0, claim("abdq", "ábcq"))))
+    claims = F.concat(F.transform("own", lambda c: F.struct(c["plain"].alias("plain"), c["accented"].alias("accented"))), false)
+    return own.select("question_id", F.when(i % 13 == 0, F.concat(F.lit("x "), F.col("original"))).otherwise(F.col("original")).alias("original"), "restored", claims.alias("claims"))
+
+
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[\p{L}\p{N}]+')"
+_MARKED = f"""w AS (SELECT doc_id, unnest({_WORDS}) AS word FROM documents WHERE doc_id % 13 <> 0), m AS (SELECT doc_id, word, strip_accents(word) AS plain FROM w WHERE strip_accents(word) <> word)"""
+
+
+@query(f"WITH {_MARKED} SELECT plain, word AS accented, count(*) AS n_places, count(DISTINCT doc_id) AS n_questions FROM m GROUP BY ALL")
+def restored_words(spark, sf_dir):
+    """Which words were restored to which, with the number of places and texts."""
+    return restoration.restored_words(restored_pairs(spark, sf_dir))
+
+
+@query(f"""WITH {_MARKED} SELECT doc_id AS question_id, 'undeclared' AS problem, min(word) AS word FROM m WHERE doc_id % 5 = 0 GROUP BY doc_id
+  UNION ALL SELECT doc_id, 'reworded', NULL FROM documents WHERE doc_id % 13 = 0
+  UNION ALL SELECT doc_id, unnest(p), word FROM documents, (VALUES (7, 'zzź', ['not_in_text']), (11, 'abcq', ['nothing_restored', 'not_in_text']), (17, 'ábcq', ['not_a_restoration', 'not_in_text'])) v(k, word, p) WHERE doc_id % k = 0 AND doc_id % 13 <> 0""")
+def restoration_problems(spark, sf_dir):
+    """False, empty, absent and missing claims of restored words, and pairs that differ in more than marks."""
+    return restoration.claim_problems(restored_pairs(spark, sf_dir))

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from proofloom.plans import corpus_queries, experiment_queries, guard_queries, history_queries, measure_queries, posting_queries, rule_queries, search_queries
+from proofloom.plans import corpus_queries, dominance_queries, experiment_queries, guard_queries, history_queries, measure_queries, posting_queries, rule_queries, search_queries
 from proofloom.plans.declare import ORACLES, QUERIES
 
-__all__ = ["corpus_queries", "experiment_queries", "flagship", "guard_queries", "history_queries", "measure_queries", "oracle_sql", "posting_queries", "queries", "rule_queries", "search_queries"]
+__all__ = ["corpus_queries", "dominance_queries", "experiment_queries", "flagship", "guard_queries", "history_queries", "measure_queries", "oracle_sql", "posting_queries", "queries", "rule_queries", "search_queries"]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
