@@ -89,8 +89,8 @@ def skyline(items: DataFrame, group: str, item: str, signals: list[str], block:
     """group, item of the items that no other of their group beats; of equal items all stay. Null signals count as least.
 
     Groups are dealt into blocks of about ``block`` rows by a hash of the item, and a block loses what it can beat by itself. What
-    is left is counted, dealt anew and reduced again, ``ROUNDS`` times in all; then each two blocks of a group meet once. No task ever
-    holds more than two blocks, whatever the size of the group, and meetings grow with the square of what the rounds leave (the
+    is left is counted, dealt anew and reduced again, ``ROUNDS`` times in all; then each two blocks of a group meet once. A call
+    holds a few blocks at most, whatever the size of the group, and meetings grow with the square of what the rounds leave (the
     skyline, mostly), not of the group.
     """
     least = F.lit(float("-inf"))
@@ -103,10 +103,16 @@ def skyline(items: DataFrame, group: str, item: str, signals: list[str], block:
         return rows.join(counts.withColumnRenamed(group, "__g"), F.col(group).eqNullSafe(F.col("__g"))).drop("__g").withColumn("__b", F.pmod(F.xxhash64(item, F.lit(turn)), F.col("__blocks")).cast("int"))
 
     def alone(part: pd.DataFrame) -> pd.DataFrame:
-        return part.loc[_best_of(part[signals].to_numpy()), columns]
+        points, kept = part[signals].to_numpy(), np.zeros(len(part), dtype=bool)
+        for at in part.groupby([group, "__b"], dropna=False).indices.values():
+            kept[at] = _best_of(points[at])
+        return part.loc[kept, columns]
 
+    # Small groups share a task's call: blocks are packed by hash, about ``block`` rows together.
+    calls = max(1, -(-items.count() // block))
     for turn in range(ROUNDS):
-        local = stored(deal(left, turn).groupBy(group, "__b").applyInPandas(alone, ", ".join(f"`{c}` {kinds[c]}" for c in columns)))
+        packed = deal(left, turn).withColumn("__call", F.pmod(F.xxhash64(group, "__b"), F.lit(calls)))
+        local = stored(packed.groupBy("__call").applyInPandas(alone, ", ".join(f"`{c}` {kinds[c]}" for c in columns)))
         left = local.drop("__blocks", "__b")
     # A row of block b goes to the meeting of b with each other block; a meeting is named by its two blocks.
     others = F.filter(F.sequence(F.lit(0), F.col("__blocks") - 1), lambda o: o != F.col("__b"))

@@ -51,7 +51,7 @@ def signal_dominance(spark, sf_dir):
     return rows.select("question_id", "target", "item", dominance.named(F.col("favours"), SIGNALS).alias("favours_target"), "dominated", "score_gap")
 
 
-@query(f"""WITH {_PAIRS}, g AS (SELECT question_id, target, count(*) AS n_competitors, count_if(m = 0) AS n_dominating, bit_and(m) AS m FROM p GROUP BY ALL)
+@query(f"""WITH {_PAIRS}, g AS (SELECT question_id, target, count(*) AS n_competitors, count_if(m = 0)::BIGINT AS n_dominating, bit_and(m) AS m FROM p GROUP BY ALL)
   SELECT question_id, target, n_competitors, n_dominating, array_to_string(list_filter([{_NAMES}], lambda x: x IS NOT NULL), ',') AS common_signals,
     CASE WHEN n_dominating > 0 THEN 'insufficient_signals' ELSE 'reweightable' END AS diagnosis FROM g""")
 def ranking_cases(spark, sf_dir):
