@@ -6,18 +6,34 @@ both, and the alignment is by position.
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from proofloom.functions.text import strip_diacritics
 
-_PLAIN = "^[\\u0000-\\u007f]*$"
+def _marks() -> tuple[str, str]:
+    """Letters that decompose to one letter and marks, with marks by themselves at the end; and those letters, so that marks go."""
+    pairs, alone = [], []
+    for code in [*range(0x80, 0xD800), *range(0xF900, 0x10000)]:
+        c = chr(code)
+        rest = "".join(x for x in unicodedata.normalize("NFD", c) if not unicodedata.combining(x))
+        if not rest:
+            alone.append(c)
+        elif len(rest) == 1 and rest != c:
+            pairs.append((c, rest))
+    return "".join(p[0] for p in pairs) + "".join(alone), "".join(p[1] for p in pairs)
+
+
+_FROM, _TO = _marks()
 
 
 def stripped(text: Column) -> Column:
-    """Text without its marks; texts of ASCII only do not leave the JVM."""
-    plain = text.rlike(_PLAIN)
-    return F.when(plain, text).otherwise(strip_diacritics(F.when(~plain, text)))
+    """Text without the marks of its letters, by canonical decomposition, inside the JVM; case and ligatures stay.
+
+    Characters beyond U+FFFF and Hangul syllables stay as they are.
+    """
+    return F.translate(text, _FROM, _TO)
 
 
 def words(text: Column) -> Column:
@@ -59,7 +75,6 @@ def claim_problems(pairs: DataFrame) -> DataFrame:
     declared = F.transform("claims", lambda c: c["accented"])
     missing = F.array_except(F.array_distinct(F.transform("marked", lambda w: w["accented"])), declared)
     each = sound.select("question_id", F.explode("claims").alias("c"), text.alias("t"))
-    # Claims are few and short; their marks are taken off after they stand in rows of their own.
     judged = each.select("question_id", "c", stripped(F.col("c.accented")).alias("bare"), F.array_contains("t", F.col("c.accented")).alias("there"))
     wrong = F.array_compact(F.array(
         F.when(~F.col("bare").eqNullSafe(F.col("c.plain")), "not_a_restoration"), F.when(F.col("c.plain").eqNullSafe(F.col("c.accented")), "nothing_restored"),
