@@ -72,7 +72,9 @@ def _mixed(high: np.ndarray, low: np.ndarray) -> np.ndarray:
 
 def _words(data: np.ndarray, at: np.ndarray | slice) -> np.ndarray:
     """The eight bytes from each position as an integer that orders like the bytes."""
-    return np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, 8)[at]).view(">u8").ravel().astype(np.uint64)
+    two = data[:-1].astype(np.uint16) << np.uint16(8) | data[1:]
+    four = two[:-2].astype(np.uint32) << np.uint32(16) | two[2:]
+    return (four[:-4].astype(np.uint64) << np.uint64(32) | four[4:])[at]
 
 
 def _leading(data: np.ndarray) -> np.ndarray:
@@ -109,16 +111,23 @@ def runs(texts: list[bytes]) -> Iterator[Runs]:
         if size >= MATCH:
             least = _leading(np.frombuffer(b"".join(texts[start:stop]), np.uint8))
             hashes = least & _PLACE_OFF
-            at = 0
-            for i in range(start, stop):
-                n = len(texts[i]) - MATCH + 1
-                if n > 0:
-                    own = hashes[at : at + n]
-                    change = np.flatnonzero(own[1:] != own[:-1]) + 1
-                    first = np.append(0, change)
-                    place = (least[at + first] & _PLACE).astype(np.int64)
-                    yield Runs(i, first, np.append(change, n), _mixed(own[first], own[first]), first + ((place - at - first) & 63))
-                at += len(texts[i])
+            lengths = np.array([len(t) for t in texts[start:stop]])
+            begins, counts = np.cumsum(lengths) - lengths, lengths - MATCH + 1
+            new = np.append(True, hashes[1:] != hashes[:-1])
+            edges = np.concatenate([begins, (begins + counts)[counts > 0]])
+            new[edges[edges < len(new)]] = True
+            at = np.flatnonzero(new)
+            text = np.searchsorted(begins, at, side="right") - 1
+            ends = np.append(at[1:], len(new))
+            inside = at - begins[text] < counts[text]
+            at, text, ends = at[inside], text[inside], ends[inside]
+            first, end = at - begins[text], ends - begins[text]
+            anchors = first + ((least[at] & _PLACE).astype(np.int64) - at & 63)
+            tokens = _mixed(hashes[at], hashes[at])
+            cuts = np.searchsorted(text, np.arange(len(lengths) + 1)).tolist()
+            for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])):
+                if a < b:
+                    yield Runs(start + i, first[a:b], end[a:b], tokens[a:b], anchors[a:b])
         start = stop
 
 
@@ -228,41 +237,61 @@ def _known(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return tokens[order], hot[order] > 0
 
 
-def _pieces(texts: list[bytes], ids: np.ndarray, known: np.ndarray, hot: np.ndarray, ranges: Ranges, leading: bool):
-    """Uses of pieces by text, and for each distinct (token, piece) its smallest document and, if asked for, its leading token.
+class Pieces:
+    """Distinct pieces of a block by number: text, token, smallest document and, if asked for, leading token.
 
-    A use is (first position, piece). Hot tokens give one piece of MATCH bytes for each position, whose
-    token is the hash of its own ends and whose leading token are its own first bytes.
+    A text has one anchor gram, and so one token; a piece of MATCH bytes under a hot gram is always sent by itself.
     """
-    uses: list[list[tuple[int, tuple[int, bytes]]]] = [[] for _ in texts]
-    least: dict[tuple[int, bytes], int] = {}
-    leads: dict[tuple[int, bytes], bytes] = {}
+
+    def __init__(self, leading: bool):
+        self.leading = leading
+        self.numbers: dict[bytes, int] = {}
+        self.tokens: list[int] = []
+        self.least: list[int] = []
+        self.leads: list[bytes] = []
+
+    def add(self, piece: bytes, token: int, doc: int, lead: int) -> int:
+        """The number of a piece of a document whose leading token starts at ``lead``."""
+        n = self.numbers.setdefault(piece, len(self.least))
+        if n == len(self.least):
+            self.tokens.append(token)
+            self.least.append(doc)
+            if self.leading:
+                self.leads.append(piece[lead : lead + GRAM])
+        elif doc < self.least[n]:
+            self.least[n] = doc
+        return n
+
+
+def _pieces(texts: list[bytes], ids: np.ndarray, known: np.ndarray, hot: np.ndarray, ranges: Ranges, leading: bool) -> tuple[list[list[tuple[int, int, int]]], Pieces]:
+    """Uses of pieces by text, as (first position, positions, number of the piece), and the pieces.
+
+    Numbers depend on the texts and ids alone, not on the order of the rows. Hot tokens give one piece of MATCH
+    bytes for each position, whose token is the hash of its own ends and whose leading token are its own first bytes.
+    """
+    uses: list[list[tuple[int, int, int]]] = [[] for _ in texts]
+    pieces = Pieces(leading)
     if not len(known):
-        return uses, least, leads
-    for own in runs(texts):
+        return uses, pieces
+    order = sorted(range(len(texts)), key=lambda i: (ids[i], texts[i]))
+    add = pieces.add
+    for own in runs([texts[i] for i in order]):
         tokens = ranges.token(own.tokens)
         at = np.minimum(np.searchsorted(known, tokens), len(known) - 1)
         hit = np.flatnonzero(known[at] == tokens)
-        text, doc, mine = texts[own.text], int(ids[own.text]), uses[own.text]
+        if not len(hit):
+            continue
+        row = order[own.text]
+        text, doc, mine = texts[row], int(ids[row]), uses[row]
         for a, b, token, anchor, single in zip(*(x[hit].tolist() for x in (own.first, own.end, tokens, own.anchors, hot[at]))):
             if not single:
-                key = (token, text[a : b + MATCH - 1])
-                mine.append((a, key))
-                if least.get(key, _NO_DOC) >= doc:
-                    least[key] = doc
-                    if leading:
-                        leads[key] = text[anchor : anchor + GRAM]
+                mine.append((a, b - a, add(text[a : b + MATCH - 1], token, doc, anchor - a)))
                 continue
             words = _words(np.frombuffer(text, np.uint8, b - a + MATCH - 1, a), slice(None))[: b - a + MATCH - 8]
             singles = ranges.token(_mixed(words[: b - a], words[MATCH - 8 :]))
             for p, t in zip(range(a, b), singles.tolist()):
-                key = (t, text[p : p + MATCH])
-                mine.append((p, key))
-                if least.get(key, _NO_DOC) >= doc:
-                    least[key] = doc
-                    if leading:
-                        leads[key] = key[1][:GRAM]
-    return uses, least, leads
+                mine.append((p, 1, add(text[p : p + MATCH], t, doc, 0)))
+    return uses, pieces
 
 
 def _pack(tokens: np.ndarray, docs: np.ndarray, numbers: np.ndarray, pieces: list[bytes]) -> bytes:
@@ -285,25 +314,39 @@ def _send_pieces(ranges: Ranges, splitters: Splitters):
     def run(docs: pa.Table, shared: pa.Table) -> pa.Table:
         if not docs.num_rows or not shared.num_rows:
             return _table(PIECES, [])
-        _, least, leads = _pieces(_texts(docs), _ids(docs), *_known(shared), ranges, True)
-        keys = sorted(least)
+        _, found = _pieces(_texts(docs), _ids(docs), *_known(shared), ranges, True)
+        keys = list(found.numbers)
         if not keys:
             return _table(PIECES, [])
-        places = splitters.place([leads[k] for k in keys])
+        places = splitters.place(found.leads)
         numbers = np.argsort(places, kind="stable")
-        tokens = np.array([k[0] for k in keys], np.uint64)[numbers]
-        owners = np.array([least[k] for k in keys], np.int64)[numbers]
+        tokens = np.array(found.tokens, np.uint64)[numbers]
+        owners = np.array(found.least, np.int64)[numbers]
         places = places[numbers]
         block = docs.column(_BLOCK)[0].as_py()
         starts = np.flatnonzero(np.append(True, places[1:] != places[:-1])).tolist()
         rows = []
         for a, b in zip(starts, [*starts[1:], len(keys)]):
-            rows.append((int(places[a]), block, _pack(tokens[a:b], owners[a:b], numbers[a:b], [keys[n][1] for n in numbers[a:b].tolist()])))
+            rows.append((int(places[a]), block, _pack(tokens[a:b], owners[a:b], numbers[a:b], [keys[n] for n in numbers[a:b].tolist()])))
         return _table(PIECES, rows)
 
     return run
 
 
+def _leaf(rows: np.ndarray, depth: int, keys: list[np.ndarray]) -> np.ndarray:
+    """A few rows in order: sorted by one key, and only those that it leaves equal by all the others."""
+    own = keys[depth][rows]
+    by = np.argsort(own)
+    rows, own = rows[by], own[by]
+    tied = np.append(False, own[1:] == own[:-1])
+    if depth + 1 < len(keys) and tied.any():
+        tied[:-1] |= tied[1:]
+        at = np.flatnonzero(tied)
+        some = rows[at]
+        rows[at] = some[np.lexsort([*(k[some] for k in keys[depth + 1 :][::-1]), own[at]])]
+    return rows
+
+
 def multikey_order(keys: list[np.ndarray]) -> np.ndarray:
     """Order of rows by several keys: three-way partition on one key, equal rows go on with the next.
 
@@ -315,7 +358,7 @@ def multikey_order(keys: list[np.ndarray]) -> np.ndarray:
         rows, depth = stack.pop()
         if depth == len(keys) or len(rows) <= _LEAF:
             if depth < len(keys) and len(rows) > 1:
-                rows = rows[np.lexsort([k[rows] for k in keys[depth:][::-1]])]
+                rows = _leaf(rows, depth, keys)
             order[filled : filled + len(rows)] = rows
             filled += len(rows)
             continue
@@ -333,10 +376,15 @@ def _least_by_string(pieces: list[bytes], docs: np.ndarray) -> list[np.ndarray]:
     begins = np.cumsum(lengths) - lengths
     inner = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
     at = np.repeat(begins, counts) + inner
-    keys = [_words(data, at + k) for k in (*range(0, MATCH - 8, 8), MATCH - 8)]
+    words = _words(data, slice(None))
+    keys = [words[at + k] for k in (*range(0, MATCH - 8, 8), MATCH - 8)]
+    del words
     order = multikey_order(keys)
     new = np.ones(len(order), bool)
-    new[1:] = np.any([k[order[1:]] != k[order[:-1]] for k in keys], axis=0)
+    new[1:] = False
+    for k in keys:
+        own = k[order]
+        new[1:] |= own[1:] != own[:-1]
     owner = np.repeat(docs, counts)
     least = np.minimum.reduceat(owner[order], np.flatnonzero(new))
     out = np.empty(len(order), np.int64)
@@ -421,15 +469,16 @@ def _remove(ranges: Ranges, kind: pa.Schema):
         answers = answers.select(["block", "bucket", "tokens", "hot"])
         sign = answers.column("bucket").to_numpy() >= 0 if answers.num_rows else np.zeros(0, bool)
         shared, verdicts = answers.filter(pa.array(sign)), _read_verdicts(answers.filter(pa.array(~sign)))
-        uses, least, _ = _pieces(texts, ids, *_known(shared), ranges, False)
-        number = {key: n for n, key in enumerate(sorted(least))}
+        uses, found = _pieces(texts, ids, *_known(shared), ranges, False)
+        least = found.least
         all_spans, kept = [], []
         for text, doc, own in zip(texts, ids.tolist(), uses):
             dups = np.zeros(max(0, len(text) - MATCH + 1), bool)
-            for at, key in own:
-                per = verdicts.get(number[key])
-                size = len(key[1]) - MATCH + 1
-                dups[at : at + size] = least[key] < doc if per is None else np.minimum(per, least[key]) < doc
+            for at, size, number in own:
+                if least[number] < doc:
+                    dups[at : at + size] = True
+                elif (per := verdicts.get(number)) is not None:
+                    dups[at : at + size] = per < doc
             spans = covered(dups)
             all_spans.append([{"start": a, "end": b} for a, b in spans])
             bounds = [0, *(x for s in spans for x in s), len(text)]
