@@ -46,7 +46,10 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @step
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without those that share 0.8 of their five-word shingles with one of a smaller id; ties fall to the smaller id."""
+    """Documents without those that share 0.8 of their five-word shingles with one of a smaller id; ties fall to the smaller id.
+
+    Candidates are what the vantage-point search over SimHash fingerprints links, as in op9, and what shares a shard of shingles.
+    """
     return near_copies.deduplicate(docs)
 
 

@@ -1,14 +1,16 @@
-"""Near copies by the Jaccard similarity of word shingles: banded candidates, a wide SimHash radius, an exact check.
+"""Near copies by SimHash: vantage-point search over fingerprints, banded candidates beyond its radius, an exact check.
 
-Texts with the same set of shingles are one class. A class is dealt to ``BANDS`` shards, each keyed by
+Texts with the same set of shingles are one class. The vantage-point trees of ``simhash`` find all classes whose
+fingerprints differ in at most ``LINKED`` bits. No tree halves 64 bits at the ten or so in which texts of similarity
+0.8 differ, so farther ones are sought in shards of the shingles besides: a class is dealt to ``BANDS`` shards, each keyed by
 ``ROWS`` minima of seeded hashes over its shingles: two classes of similarity s meet with probability
-1 - (1 - s ** ROWS) ** BANDS, which is 0.9996 at 0.8. Classes that meet are a candidate where their
-SimHash fingerprints differ in at most ``RADIUS`` bits (at similarity 0.8 about ten do), and a candidate
+1 - (1 - s ** ROWS) ** BANDS, which is 0.9996 at 0.8. Classes that meet there are a candidate where their
+fingerprints differ in at most ``RADIUS`` bits, those within ``LINKED`` bits always are, and a candidate
 counts only where the shingle sets themselves reach the similarity.
 
 A class goes if a class with a smaller least id reaches the similarity, whether that one stays or not; so what
 stays depends on the texts and ids alone, no two classes that stay were found similar, and the smallest of a chain
-of similar texts always stays. Classes that are connected through shared shards make a group, every candidate lies
+of similar texts always stays. Classes that are connected through near fingerprints or shared shards make a group, every candidate lies
 within one, and the group only says which classes have to meet. It is dealt by a hash into blocks of about ``BLOCK``
 bytes of text. A block is read in the order of the least ids: each class is held against those before it, up to the
 first that is similar, so pairs are never rows and a task holds one block. What is left of a group of several blocks
@@ -32,12 +34,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from proofloom.llm import simhash
 from proofloom.llm.common import cut, utf8
 from proofloom.llm.simhash import SEED, components, majority, shingles
 
 SHINGLE = 5
 SIMILARITY = 0.8
 RADIUS = 24
+#: Differing bits within which the vantage-point trees find every pair.
+LINKED = simhash.RADIUS
 BANDS, ROWS = 20, 5
 #: Bytes of text that meet in one task, but for a single longer text.
 BLOCK = 8_000_000
@@ -82,8 +87,18 @@ def _signed(docs: DataFrame, size: int) -> DataFrame:
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *added]))
 
 
-def _connected(live: DataFrame) -> DataFrame:
-    """node (class), label (of its group) of the classes that share a shard with another.
+def _linked(live: DataFrame, linked: int) -> DataFrame:
+    """Edges (u, v) that connect the classes whose fingerprints differ in at most ``linked`` bits."""
+    firsts = cut(live.groupBy("fp").agg(F.min("class").alias("first")))
+    same = live.join(firsts, "fp").filter("class <> first").select(F.col("class").alias("u"), F.col("first").alias("v"))
+    near = simhash.links(firsts, radius=linked).distinct()
+    for end in ("u", "v"):
+        near = near.join(firsts.select(F.col("fp").alias(end), F.col("first").alias(f"first_{end}")), end)
+    return same.unionByName(near.select(F.col("first_u").alias("u"), F.col("first_v").alias("v")))
+
+
+def _connected(live: DataFrame, linked: int) -> DataFrame:
+    """node (class), label (of its group) of the classes that have a near fingerprint or share a shard with another.
 
     A class is linked to the smallest of the first classes of its shards, and so are those first classes: one link a class, not one a shard.
     """
@@ -91,7 +106,7 @@ def _connected(live: DataFrame) -> DataFrame:
     firsts = keys.groupBy("key").agg(F.min("class").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     met = keys.join(firsts, "key").filter("class <> first").groupBy("class").agg(F.min("first").alias("v"), F.collect_set("first").alias("firsts"))
     between = met.select(F.explode("firsts").alias("u"), "v").filter("u <> v").distinct()
-    return components(met.select(F.col("class").alias("u"), "v").unionByName(between))
+    return components(met.select(F.col("class").alias("u"), "v").unionByName(between).unionByName(_linked(live, linked)))
 
 
 def shingle_set(text: bytes, size: int) -> frozenset[bytes]:
@@ -99,10 +114,10 @@ def shingle_set(text: bytes, size: int) -> frozenset[bytes]:
     return frozenset(xxhash.xxh64_digest(s, SEED) for s in shingles(text, size))
 
 
-def _read_blocks(size: int, similarity: float, radius: int):
+def _read_blocks(size: int, similarity: float, radius: int, linked: int):
     """class of those that go; the rows (label, turn, part, asks, answers, class, fp, bands, text) come sorted by the first three and least id.
 
-    A row that asks is held against the rows before it that answer, have a band with it and a near fingerprint.
+    A row that asks is held against the rows before it that answer and have a fingerprint within ``linked`` bits, or within the radius and a band with it.
     """
 
     def similar(a: frozenset, b: frozenset) -> bool:
@@ -112,22 +127,25 @@ def _read_blocks(size: int, similarity: float, radius: int):
         return common >= similarity * (len(a) + len(b) - common)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, fps, sets, holders = None, [], [], {}
+        block, fps, sets, holders = None, np.zeros(1024, np.uint64), [], {}
         for part in parts:
             gone = []
             columns = [part.column(k).to_pylist() for k in range(8)]
             for label, turn, other, asks, answers, own, fp, keys, text in zip(*columns, utf8(part.column(8))):
                 if (label, turn, other) != block:
-                    block, fps, sets, holders = (label, turn, other), [], [], {}
-                mine = shingle_set(text, size)
+                    block, sets, holders = (label, turn, other), [], {}
+                mine, own_fp = shingle_set(text, size), np.uint64(fp & _MASK)
                 if asks:
-                    met = {k for key in keys for k in holders.get(key, ()) if (fps[k] ^ fp & _MASK).bit_count() <= radius}
-                    if any(similar(sets[k], mine) for k in sorted(met)):
+                    away = np.bitwise_count(fps[: len(sets)] ^ own_fp)
+                    met = {k for key in keys for k in holders.get(key, ()) if away[k] <= radius}
+                    if any(similar(sets[k], mine) for k in sorted(met.union(np.flatnonzero(away <= linked).tolist()))):
                         gone.append(own)
                 if answers:
                     for key in keys:
                         holders.setdefault(key, []).append(len(sets))
-                    fps.append(fp & _MASK)
+                    if len(sets) == len(fps):
+                        fps = np.append(fps, np.zeros_like(fps))
+                    fps[len(sets)] = own_fp
                     sets.append(mine)
             yield pa.RecordBatch.from_arrays([pa.array(gone, pa.int64())], names=["class"])
 
@@ -145,7 +163,8 @@ def kept(signed: DataFrame, size: int = SHINGLE, similarity: float = SIMILARITY,
     sized = sized.withColumn("least", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)))
     live = sized.groupBy(F.col("__class").alias("class")).agg(F.min_by(F.struct("doc_id", "rows", "least"), "least").alias("id"), F.first("fp").alias("fp"), F.first("bands").alias("bands"))
     live = cut(live.select("class", "id.doc_id", "id.rows", "id.least", "fp", "bands"))
-    labels = _connected(live)
+    linked = min(LINKED, radius)
+    labels = _connected(live, linked)
     texts = signed.select("__class", F.col("text").cast("string").alias("text")).join(labels, F.col("__class") == F.col("node"), "left_semi")
     texts = texts.groupBy("__class").agg(F.min("text").alias("text"))
     members = live.join(labels, F.col("class") == F.col("node")).join(texts, F.col("class") == F.col("__class"))
@@ -156,7 +175,7 @@ def kept(signed: DataFrame, size: int = SHINGLE, similarity: float = SIMILARITY,
 
     def read(rows: DataFrame) -> DataFrame:
         ordered = rows.select(*fields, "least").repartition(*place).sortWithinPartitions(*place, "least", "class")
-        return cut(ordered.select(*fields).mapInArrow(_read_blocks(size, similarity, radius), "class long"))
+        return cut(ordered.select(*fields).mapInArrow(_read_blocks(size, similarity, radius, linked), "class long"))
 
     yes, no = F.lit(True), F.lit(False)
     went = read(dealt.withColumns({"turn": F.lit(0).cast("long"), "asks": yes, "answers": yes}))

@@ -102,3 +102,18 @@ def test_parameters_reach_the_operator(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     count = lambda **kind: near_copies.deduplicate(docs, **kind).count()
     assert (count(), count(similarity=0.9), count(radius=0)) == (1, 2, 2)
+
+
+def test_fingerprints_alone_link(spark, texts):
+    """The vantage-point search finds every pair within its bits, without any shard of shingles."""
+    rng = random.Random(6)
+    long = [f"l{k}" for k in range(900)]
+    rows = list(enumerate([*texts[:30], " ".join(long), *(edited(rng, long, 1) for _ in range(25))]))
+    signed = near_copies._signed(spark.createDataFrame(rows, "doc_id long, text string"), 5)
+    fps = {r["doc_id"]: r["__fp"] & near_copies._MASK for r in signed.collect()}
+    near = lambda i, j: (fps[i] ^ fps[j]).bit_count() <= near_copies.LINKED
+    want = [j for j, b in rows if not any(i < j and near(i, j) and similarity(a, b) >= 0.8 for i, a in rows)]
+    assert len(want) < len(rows)
+    bare = signed.withColumn("__bands", near_copies.F.expr("cast(array() as array<long>)"))
+    for block in (near_copies.BLOCK, 9000):
+        assert sorted(r["doc_id"] for r in near_copies.kept(bare, block=block).collect()) == want
