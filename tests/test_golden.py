@@ -56,6 +56,16 @@ def test_plans(spark):
     assert plan(spark, "classes or exams", "en") == [("exact", "classes or exams")]
 
 
+@pytest.mark.parametrize("text", ["onor or. rooms", "ing or, rooms", "rooms (or halls)", "or: rooms"])
+def test_joining_word_beside_marks_is_syntax(spark, text):
+    """As in the SQL of the plans, which looks for the word and not for a blank on each side of it."""
+    assert plan(spark, text, "en") == [("exact", text)]
+
+
+def test_words_that_begin_like_the_joining_word_are_plain(spark):
+    assert [v[0] for v in plan(spark, "orange floor", "en")] == ["exact", "reduced_or"]
+
+
 def test_normalisation(spark):
     texts = ["Ünï  STRASSE ß", "ﬁn ½ Ⅳ", "ΑΒΓ ς", "a b\tc d", "", None]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
