@@ -10,7 +10,7 @@ from proofloom.plans import registry
 TEXTS = ["Onha inor onor or. Es in reerwh.", "Ntwh ing or, es be.", "Rooms or halls", "Oror onor, orly.", "The of", "", None]
 
 
-@pytest.mark.parametrize("name", ["budget_quotas"])
+@pytest.mark.parametrize("name", ["budget_quotas", "query_plan_variants"])
 def test_joining_word_beside_marks(spark, tmp_path, name):
     pq.write_table(pa.table({"item_id": pa.array(range(len(TEXTS)), pa.int64()), "text": pa.array(TEXTS, pa.string())}), tmp_path / "benchmark.parquet")
     con = duckdb.connect()
