@@ -8,13 +8,14 @@ from pyspark.sql import functions as F
 from proofloom.functions import lexical as lx
 from proofloom.functions import stems
 from proofloom.functions.text import normalize_text
-from proofloom.operators import postings, retrieval, set_join
+from proofloom.operators import blocks, postings, set_join
+from proofloom.plans.corpus_queries import admissible
 from proofloom.plans.declare import query
 from proofloom.plans.search_queries import index
 from proofloom.plans.stem_sql import english
-from proofloom.plans.views import EN, WORD, normal
+from proofloom.plans.views import EN, REFERENCE_DATE, WORD, normal
 from proofloom.sources import tables
-from proofloom.sources.stored import once, stored, stored_once
+from proofloom.sources.stored import once, stored_once
 
 K = 8
 
@@ -39,9 +40,17 @@ def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("terms", lx.informative_terms(F.col("query"), F.col("language"))).filter(F.size("terms") > 0)
 
 
-def lexed(spark: SparkSession, sf_dir: str) -> postings.PostingIndex:
-    """Posting lists of the admissible chunks, stored."""
-    return once(spark, sf_dir, "postings", lambda: postings.build(index(spark, sf_dir)))
+def lexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks of the lexemes of the admissible chunks, stored."""
+
+    def make() -> DataFrame:
+        valid = F.coalesce(F.col("valid_from") <= REFERENCE_DATE, F.lit(True)) & F.coalesce(F.col("valid_until") >= REFERENCE_DATE, F.lit(True))
+        docs = tables.documents(spark, sf_dir).filter(F.col("is_active") & (F.col("language") == "en") & valid)
+        n_bytes = docs.groupBy("institution_id").agg(F.sum(F.octet_length("text")).alias("n")).agg(F.max("n")).first()[0]
+        chunks = admissible(spark, sf_dir).select(F.col("chunk_institution").alias("institution_id"), F.col("chunk_language").alias("language"), *blocks.IDS, "content")
+        return blocks.build(chunks, n_bytes)
+
+    return once(spark, sf_dir, "lexed", make)
 
 
 @query(f"WITH {_LEXED} SELECT word, lexeme FROM lx")
@@ -54,9 +63,8 @@ def lexeme_table(spark, sf_dir):
 def _found(spark: SparkSession, sf_dir: str, text: Column) -> DataFrame:
     """How many admissible chunks match, by lexemes, a query made from each question's terms."""
     asked = stored_once(spark, sf_dir, "turns", lambda: turns(spark, sf_dir))
-    variants = stored(postings.lexeme_units(asked.filter(F.size("terms") >= 2).withColumns({"input": text, "turn": F.lit(0)})).drop("terms", "input"))
-    chunks = lexed(spark, sf_dir).texts.withColumnRenamed("lexemes", "words")
-    return retrieval.match_candidates(variants, chunks).groupBy("question_id").agg(F.count(F.lit(1)).alias("n_chunks"), F.min("chunk_id").alias("first_chunk"))
+    variants = asked.filter(F.size("terms") >= 2).withColumn("input", text)
+    return blocks.match_counts(variants, lexed(spark, sf_dir))
 
 
 def _twin(condition: str) -> str:
@@ -86,10 +94,10 @@ def stemmed_match_not(spark, sf_dir):
 @query(f"""WITH {_LEXED}, s AS (SELECT question_id, chunk_id, document_id, chunk_index, len(list_filter(words, lambda w: list_contains(t, w)))::INTEGER AS worth FROM pairs)
   SELECT question_id, chunk_id, worth, row_number() OVER (PARTITION BY question_id ORDER BY worth DESC, document_id, chunk_index, chunk_id) AS rank FROM s WHERE worth > 0 QUALIFY rank <= {K}""")
 def stemmed_top_alternatives(spark, sf_dir):
-    """The chunks with most places of each question's lexemes; levels of impact that can't matter are not read."""
+    """The chunks with most places of each question's lexemes."""
     asked = stored_once(spark, sf_dir, "turns", lambda: turns(spark, sf_dir))
     words = asked.select("question_id", "institution_id", "language", F.col("terms").alias("lexemes"))
-    found = postings.top_alternatives(postings.with_lexemes(words, "lexemes"), lexed(spark, sf_dir), K)
+    found = blocks.top_alternatives(postings.with_lexemes(words, "lexemes"), lexed(spark, sf_dir), K)
     return found.select("question_id", "chunk_id", "worth", F.col("rank").cast("long").alias("rank"))
 
 
