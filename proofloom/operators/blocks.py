@@ -201,18 +201,19 @@ class Block:
     def best(self, words: list[str], k: int) -> tuple[np.ndarray, np.ndarray]:
         """Slots and worth of the k texts of most worth over 0, the first ones where it is equal."""
         worth = self.worth(words)
-        least = int(worth.max(initial=0))
-        n = 0
-        while least and (n := int(np.count_nonzero(worth >= least))) < k and least > 1:
-            least -= 1
-        if not n:
+        least, most = 0, int(worth.max(initial=0))
+        if not most:
             return np.empty(0, np.int64), np.empty(0, np.int64)
-        slots = np.flatnonzero(worth >= least)
+        while least < most:  # the largest worth that k texts reach
+            middle = (least + most + 1) // 2
+            if np.count_nonzero(worth >= middle) >= k:
+                least = middle
+            else:
+                most = middle - 1
+        slots = np.flatnonzero(worth > least)
+        if least:
+            slots = np.sort(np.concatenate([slots, np.flatnonzero(worth == least)[: k - len(slots)]]))
         own = worth[slots].astype(np.int64)
-        if n > k:
-            over = np.count_nonzero(own > least)
-            keep = (own > least) | (np.cumsum(own == least) <= k - over)
-            slots, own = slots[keep], own[keep]
         return slots, own
 
 
