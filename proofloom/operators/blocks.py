@@ -57,6 +57,18 @@ class _Numbers(dict):
         return found
 
 
+class _Plain(_Numbers):
+    """Number of each word as it is, an empty one too."""
+
+    def __init__(self, configuration: str):
+        super().__init__(configuration)
+        self.of = {None: 0}
+
+    def __missing__(self, word: str) -> int:
+        self[word] = found = self.of.setdefault(word, len(self.of))
+        return found
+
+
 def build(chunks: DataFrame, n_bytes: int | None = None) -> DataFrame:
     """Stored blocks of the lexemes of chunks (institution_id, language, chunk_id, document_id, chunk_index, content).
 
@@ -64,18 +76,27 @@ def build(chunks: DataFrame, n_bytes: int | None = None) -> DataFrame:
     """
     if n_bytes is None:
         n_bytes = chunks.groupBy(*PLACE).agg(F.sum(F.octet_length("content")).alias("n")).agg(F.max("n")).first()[0]
-    n_blocks = max(1, -(-(n_bytes or 0) // BLOCK_BYTES))
+    return _dealt(chunks, "content", max(1, -(-(n_bytes or 0) // BLOCK_BYTES)))
+
+
+def build_sets(sets: DataFrame, n_blocks: int) -> DataFrame:
+    """Stored blocks of sets (institution_id, language, chunk_id, document_id, chunk_index, words), their words as they are."""
+    return _dealt(sets, "words", n_blocks)
+
+
+def _dealt(chunks: DataFrame, column: str, n_blocks: int) -> DataFrame:
     kind = {f.name: f.dataType.simpleString() for f in chunks.schema}
-    schema = ", ".join([*(f"{c} {kind[c]}" for c in PLACE), "block int", *(f"{c} array<{kind[c]}>" for c in IDS), "vocabulary string", "lengths array<int>", "tokens array<int>"])
-    dealt = chunks.select(*PLACE, fts_configuration(F.col("language")).alias("configuration"), F.pmod(F.xxhash64("chunk_id"), F.lit(n_blocks)).cast("int").alias("block"), *IDS, "content")
+    schema = ", ".join([*(f"{c} {kind[c]}" for c in PLACE), "block int", *(f"{c} array<{kind[c]}>" for c in IDS), "vocabulary array<string>", "lengths array<int>", "tokens array<int>"])
+    dealt = chunks.select(*PLACE, fts_configuration(F.col("language")).alias("configuration"), F.pmod(F.xxhash64("chunk_id"), F.lit(n_blocks)).cast("int").alias("block"), *IDS, column)
 
     def pack(key: tuple, table: pa.Table) -> pa.Table:
-        numbers = _Numbers(table.column("configuration")[0].as_py())
+        numbers = (_Numbers if column == "content" else _Plain)(table.column("configuration")[0].as_py())
+        read = (lambda text: tx.words(plain(text))) if column == "content" else list
         lengths, tokens = [], []
-        for batch in table.select(["content"]).to_batches(4096):
+        for batch in table.select([column]).to_batches(4096):
             flat: list[int] = []
             for text in batch.column(0).to_pylist():
-                own = [numbers[w] for w in tx.words(plain(text))] if text else []
+                own = [numbers[w] for w in read(text)] if text else []
                 lengths.append(len(own))
                 flat += own
             tokens.append(np.array(flat, np.int32))
@@ -85,7 +106,7 @@ def build(chunks: DataFrame, n_bytes: int | None = None) -> DataFrame:
         for c in IDS:
             ids = table.column(c).combine_chunks()
             columns[c] = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)
-        columns["vocabulary"] = pa.array(["\n".join(list(numbers.of)[1:])])
+        columns["vocabulary"] = lists(list(numbers.of)[1:], pa.string())
         columns["lengths"], columns["tokens"] = lists(np.array(lengths, np.int32), pa.int32()), lists(np.concatenate(tokens), pa.int32())
         return pa.table(columns)
 
@@ -104,8 +125,7 @@ class Block:
         slot = np.empty(self.n, np.int32)
         slot[self.row] = np.arange(self.n, dtype=np.int32)
         self.text = np.repeat(slot, lengths)  # of each token
-        words = table.column("vocabulary")[0].as_py()
-        self.number = {w: i for i, w in enumerate(words.split("\n"), 1)} if words else {}
+        self.number = {w: i for i, w in enumerate(table.column("vocabulary")[0].as_py(), 1)}
         self.order = np.argsort(self.tokens, kind="stable").astype(np.int32)
         self.start = np.searchsorted(self.tokens[self.order], np.arange(len(self.number) + 2))
         self.held: dict[int, np.ndarray] = {}
@@ -240,12 +260,12 @@ def _written(texts: pd.Series, configurations: pd.Series) -> pd.Series:
     return pd.Series([None if t is None else lexeme_query(t, c) for t, c in zip(texts, configurations)], dtype=object)
 
 
-def met(questions: DataFrame, blocks: DataFrame, answer: Callable[[Block, pa.Table], pa.Table], by: list[str], schema: str) -> DataFrame:
-    """What ``answer`` gives for each block, in the order of ``by``, and each slice of the questions of its institution and language.
+def met(questions: DataFrame, blocks: DataFrame, answer: Callable[[Block, pa.Table], pa.Table], by: list[str], schema: str, size: int | None = None) -> DataFrame:
+    """What ``answer`` gives for each block, in the order of ``by``, and each slice of the questions of its institution and language. ``size``: of a slice.
 
     ``questions``: question_id, institution_id, language and what ``answer`` reads; a stored table.
     """
-    n_slices = max(1, -(-questions.count() // SLICE))
+    n_slices = max(1, -(-questions.count() // (size or SLICE)))
     n_blocks = blocks.groupBy(*PLACE).agg((F.max("block") + 1).alias("n"))
     sliced = questions.withColumn("slice", F.pmod(F.xxhash64("question_id"), F.lit(n_slices)).cast("int"))
     sliced = sliced.join(F.broadcast(n_blocks), PLACE).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).drop("n")

@@ -1,21 +1,27 @@
-"""Pairs of similar sets by prefix filtering: exact, and never a join on a common word.
+"""Pairs of similar sets: exact, and never a join on a common word.
 
-Equal sets are one class, named by its smallest id, so copies never pair with each other. The words of each set are
-ordered by rising frequency. Two sets of Jaccard similarity t or more have a word in common among the first
-n - ceil(t n) + 1 of each, so only these prefixes, made of the rarest words, meet. A meeting counts only if the sizes
-allow the similarity and if what stands behind the two places can still hold enough common words; the few pairs that
-are left are compared in full.
+Equal sets are one class, named by its smallest id, so copies never pair with each other. Classes lie in blocks; a slice of
+classes meets a block within one task, which counts common words by adding up rows of small counts (``blocks``), so only
+pairs that reach the similarity leave the task. Two sets of Jaccard similarity t or more have a word in common among
+the first n - ceil(t n) + 1 of each, the rarest first (``prefixes``, ``candidates``); where t is low these prefixes are nearly
+the whole sets, so ``similar_classes`` does not use them.
 
 Null sets are left out; two empty sets are equal. Null words count as no word; a word that repeats counts once.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from proofloom.operators import blocks
 from proofloom.sources.stored import stored
 
+#: Sets in a block, and in a slice that meets it.
+BLOCK, SLICE = 16_384, 8_192
+
 #: Guards comparisons of sizes against the last bits of a product.
 _TINY = 1e-9
 
@@ -52,11 +58,30 @@ def similar_classes(distinct: DataFrame, threshold: float) -> DataFrame:
     if not 0 < threshold <= 1:
         raise ValueError("the threshold lies over 0 and up to 1")
     rows = stored(distinct)
-    pairs = candidates(prefixes(rows, threshold), threshold)
-    both = pairs.join(rows.select(F.col("class").alias("class_a"), F.col("words").alias("a")), "class_a").join(rows.select(F.col("class").alias("class_b"), F.col("words").alias("b")), "class_b")
-    common = F.size(F.array_intersect("a", "b"))
-    scored = both.select("class_a", "class_b", (common / (F.size("a") + F.size("b") - common)).alias("jaccard"))
-    return scored.filter(F.col("jaccard") >= F.lit(threshold - _TINY))
+    kind = rows.schema["class"].dataType.simpleString()
+    place = [F.lit("").alias("institution_id"), F.lit("").alias("language")]
+    sets = rows.select(*place, F.col("class").alias("chunk_id"), F.col("class").alias("document_id"), F.lit(0).alias("chunk_index"), "words")
+    held = blocks.build_sets(sets, max(1, -(-rows.count() // BLOCK)))
+    asked = rows.select(F.col("class").alias("question_id"), *place, "words")
+
+    def answer(block: blocks.Block, questions: pa.Table) -> pa.Table:
+        sizes = np.bincount(block.text, minlength=block.n)
+        ids = block.id("chunk_id", np.arange(block.n))
+        keys = ids.to_numpy(zero_copy_only=False)
+        own = questions.column("question_id").combine_chunks()
+        needed = sizes * (threshold / (1 + threshold)) - _TINY
+        rows, slots, values = [], [np.empty(0, np.int64)], [np.empty(0)]
+        for i, (key, words) in enumerate(zip(own.to_pylist(), questions.column("words").to_pylist())):
+            behind = int(np.searchsorted(keys, key, side="right"))
+            common = block.worth(words)[behind:]
+            met = np.flatnonzero(common - len(words) * threshold / (1 + threshold) >= needed[behind:])
+            both = common[met].astype(np.int64)
+            jaccard = both / np.maximum(len(words) + sizes[behind:][met] - both, 1)
+            good = jaccard >= threshold - _TINY
+            rows.append(np.full(np.count_nonzero(good), i)), slots.append(met[good] + behind), values.append(jaccard[good])
+        return pa.table({"class_a": own.take(pa.array(np.concatenate(rows))), "class_b": ids.take(pa.array(np.concatenate(slots))), "jaccard": np.concatenate(values)})
+
+    return blocks.met(asked, held, answer, ["chunk_id"], f"class_a {kind}, class_b {kind}, jaccard double", SLICE)
 
 
 def leaks(questions: DataFrame, threshold: float) -> DataFrame:

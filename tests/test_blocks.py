@@ -5,7 +5,7 @@ import random
 import pytest
 
 from proofloom.functions import stems
-from proofloom.operators import blocks
+from proofloom.operators import blocks, set_join
 from proofloom.plans import registry
 
 WORDS = "running runs the rooms room halls hall of floors floor dying or skies sky 7 42 é été".split()
@@ -74,3 +74,17 @@ def test_best_equal_a_plain_loop(spark, tables):
 def test_no_pair_of_question_and_chunk_is_shuffled(spark, name):
     plan = registry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
     assert "FlatMapCoGroupsInArrow" in plan and "SortMergeJoin" not in plan
+
+
+def test_similar_sets_in_many_blocks(spark, monkeypatch):
+    """Sets of common words: all pairs that reach the similarity, and no join on a word."""
+    monkeypatch.setattr(set_join, "BLOCK", 13)
+    monkeypatch.setattr(set_join, "SLICE", 9)
+    rng = random.Random(7)
+    sets = {i: set(rng.sample([*WORDS, "", "two words", "a\nline"], rng.randint(1, 9))) for i in range(70)}
+    df = spark.createDataFrame([(i, sorted(s)) for i, s in sets.items()], "class long, words array<string>")
+    got = set_join.similar_classes(df, 0.3)
+    plan = got._jdf.queryExecution().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "SortMergeJoin" not in plan
+    alike = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in sets for b in sets if a < b}
+    assert {(r["class_a"], r["class_b"]): r["jaccard"] for r in got.collect()} == {p: j for p, j in alike.items() if j >= 0.3 - 1e-9}
